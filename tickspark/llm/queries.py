@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickspark.llm.langid import languages, learn
 from tickspark.llm.packing import packed_documents
 from tickspark.llm.simhash import simhash_components
 
@@ -38,3 +39,9 @@ def tokenizer_path() -> str:
 @query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return languages(docs, learn(docs))
