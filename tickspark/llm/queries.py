@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickspark.llm import mixing
 from tickspark.llm.langid import languages, learn
 from tickspark.llm.packing import packed_documents
 from tickspark.llm.simhash import simhash_components
@@ -45,3 +46,14 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return languages(docs, learn(docs))
+
+
+#: Target shares of the tokens of each domain.
+WEIGHTS = {"clean": 0.85, "low": 0.12, "toxic": 0.03}
+
+
+@query
+def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = mixing.learn(docs, table(spark, sf_dir, "labels"), mixing.quality_domain(), list(WEIGHTS))
+    return mixing.mixed(docs, model, WEIGHTS)
