@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickspark.llm import mixing
+from tickspark.llm import secrets as scan
 from tickspark.llm.langid import languages, learn
 from tickspark.llm.packing import packed_documents
 from tickspark.llm.simhash import simhash_components
@@ -57,3 +58,8 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = mixing.learn(docs, table(spark, sf_dir, "labels"), mixing.quality_domain(), list(WEIGHTS))
     return mixing.mixed(docs, model, WEIGHTS)
+
+
+@query
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.secrets(table(spark, sf_dir, "documents"), scan.train(spark, scan.labelled_findings()))
