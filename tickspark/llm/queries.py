@@ -12,6 +12,7 @@ from tickspark.llm import secrets as scan
 from tickspark.llm.docprint import compare_neighbours
 from tickspark.llm.langid import languages, learn
 from tickspark.llm.packing import packed_documents
+from tickspark.llm.pii import personal_data
 from tickspark.llm.simhash import simhash_components
 from tickspark.llm.vectors import near_vectors
 
@@ -92,3 +93,8 @@ WITH RECURSIVE v AS (
 SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
 FROM embeddings e JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 """
+
+
+@query
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
