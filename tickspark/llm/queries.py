@@ -11,6 +11,7 @@ from tickspark.llm import mixing
 from tickspark.llm import secrets as scan
 from tickspark.llm.docprint import compare_neighbours
 from tickspark.llm.langid import languages, learn
+from tickspark.llm.licenses import scan_licenses
 from tickspark.llm.packing import packed_documents
 from tickspark.llm.pii import personal_data
 from tickspark.llm.simhash import simhash_components
@@ -98,3 +99,8 @@ FROM embeddings e JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id
 @query
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
