@@ -87,25 +87,38 @@ def _structure(value: Column, word: Column, before: Column, far: Column, after:
     return F.struct(*(c.alias(n) for c, n in zip(feature_columns(value, word, before, far, after), FEATURES, strict=True)))
 
 
+def _within(array: Column, body) -> Column:
+    """body(array) with array evaluated once: inside a lambda it would be again for every element."""
+    return F.element_at(F.transform(F.array(array), body), 1)
+
+
 def candidates(text: Column) -> Column:
     """Array of (value, word, before, far, after, nth) of the words of a text that hold a candidate string.
 
-    A candidate has 12 characters or more, one of them a digit, or any such string behind a name that announces a secret.
+    A candidate has 12 characters or more, one of them a digit, or any such string behind a name that announces a secret
+    and a sign.
     """
-    words = F.split(text, WORD)
 
-    def of(i: Column) -> Column:
-        # F.get gives null out of range
+    def of(words: Column, i: Column) -> Column:
         word = F.get(words, i)
-        value = F.regexp_replace(F.regexp_replace(F.regexp_extract(word, rf"({CANDIDATE})[^A-Za-z0-9]*$|({CANDIDATE})", 0), "[^A-Za-z0-9_+/=.~-]+$", ""), TRIMMED, "")
+        value = F.regexp_replace(F.regexp_extract(word, CANDIDATE, 0), TRIMMED, "")
         value = F.regexp_replace(value, r"^[A-Za-z_.-]{1,40}=(?=.{12})", "")
         return F.struct(value.alias("value"), word.alias("word"), F.get(words, i - 1).alias("before"), F.get(words, i - 2).alias("far"), F.get(words, i + 1).alias("after"), i.alias("nth"))
 
-    at = F.filter(
-        F.transform(words, lambda w, i: F.when(w.rlike(CANDIDATE) & (w.rlike("[0-9]") | F.lower(F.concat_ws(" ", F.get(words, i - 2), F.get(words, i - 1), w)).rlike(ANNOUNCES)), i)),
-        lambda i: i.isNotNull(),
-    )
-    return F.filter(F.transform(at, of), lambda c: F.length(c["value"]) >= 12)
+    def found(words: Column) -> Column:
+        def wanted(w: Column, i: Column) -> Column:
+            sign = F.concat_ws(" ", F.get(words, i - 2), F.get(words, i - 1), w)
+            named = w.rlike("[:=\"'`]") & sign.rlike(rf"(?i)({ANNOUNCES})[\"']?\s*[:=]")
+            return F.when((F.length(w) >= 12) & (w.rlike("[0-9]") | named) & w.rlike(CANDIDATE), i)
+
+        at = F.filter(F.transform(words, wanted), lambda i: i.isNotNull())
+        return F.filter(F.transform(at, lambda i: of(words, i)), lambda c: F.length(c["value"]) >= 12)
+
+    return _within(F.split(text, WORD), found)
+
+
+#: A text without it has no candidate.
+MAY_HOLD = rf"[0-9]|(?i:{ANNOUNCES})[\"']?\s*[:=]"
 
 
 @dataclass
@@ -248,14 +261,16 @@ def with_findings(docs: DataFrame, forest: list[Node], least: float = 0.5, name:
         F.transform(candidates(F.coalesce(F.col("text"), F.lit(""))), scored),
         lambda c: F.struct(c["nth"].alias("nth"), c["value"].alias("value"), probability(forest, c["f"]).alias("score")),
     )
-    found = F.when(F.col("text").rlike(CANDIDATE), F.filter(found, lambda c: c["score"] >= least))
+    found = F.when(F.col("text").rlike(MAY_HOLD), F.filter(found, lambda c: c["score"] >= least))
     return docs.withColumn(name, F.coalesce(found, F.array().cast("array<struct<nth:int,value:string,score:double>>")))
 
 
 def secrets(docs: DataFrame, forest: list[Node], least: float = 0.5) -> DataFrame:
     """(doc_id, nth, secret, score): a row for each secret found in docs(doc_id, text)."""
     rows = with_findings(docs.select("doc_id", "text"), forest, least)
-    return rows.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.nth", F.col("f.value").alias("secret"), "f.score")
+    # outer: else the optimiser adds a filter on the array's size, which would be made twice
+    rows = rows.select("doc_id", F.explode_outer("findings").alias("f")).where("f IS NOT NULL")
+    return rows.select("doc_id", "f.nth", F.col("f.value").alias("secret"), "f.score")
 
 
 def redacted(docs: DataFrame, forest: list[Node], least: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
