@@ -15,6 +15,7 @@ from tickspark.llm.licenses import scan_licenses
 from tickspark.llm.packing import packed_documents
 from tickspark.llm.pii import personal_data
 from tickspark.llm.simhash import simhash_components
+from tickspark.llm.substrings import without_repeats
 from tickspark.llm.vectors import near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +105,8 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"))
