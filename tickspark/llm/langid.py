@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 FEATURE_BITS = 17
@@ -259,3 +260,22 @@ def languages(docs: DataFrame, model: Model | None) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_labelled(model), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+
+
+def _marked(model: Model | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(model) if model else None
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            found = list(labeller.documents(texts)) if labeller else [(UNKNOWN, 0.0)] * len(texts)
+            langs, scores = zip(*found, strict=True) if found else ((), ())
+            yield pa.record_batch([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "lang_score"])
+
+    return run
+
+
+def with_language(docs: DataFrame, model: Model | None) -> DataFrame:
+    """docs with lang_pred and lang_score, which replace columns of these names; see languages for the cases."""
+    rows = docs.drop("lang_pred", "lang_score")
+    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
+    return rows.mapInArrow(_marked(model), schema)
