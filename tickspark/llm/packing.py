@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import os
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,33 +27,63 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, part long, bin long, offset long, load long, n_bins long, bound long"
 #: Words whose ids a worker keeps; beyond it starts anew. It bounds memory and doesn't change results.
 CACHED_WORDS = 300_000
+#: What may follow a letter run without changing how it is split (an apostrophe may).
+TAIL = b'.,!%*&#$|:;?"()-'
 
 
-class WordIds(dict):
-    """The ids of white-space separated words as little-endian unsigned 32-bit numbers.
+class WordIds:
+    """The ids of white-space separated words, lower-cased in ASCII, as little-endian unsigned 32-bit numbers.
 
-    The vocabulary's pre-tokenizer drops white space and no token crosses it, so a text's ids are its words' ids.
+    The vocabulary lower-cases texts and no token crosses white space, so a text's ids are its words' ids. A new word
+    that is letters with punctuation behind it is two pre-tokens; letter runs are encoded together, a space apart.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def ids(self, text: str | None) -> bytes:
-        words = (text or "").encode().split()
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            new = [w for w in set(words) if w not in self]
-        for k in range(0, len(new), 1000):
-            part = new[k : k + 1000]
-            for word, x in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self[word] = np.array(x.ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, words))
+        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a pre-token
+        for token, k in vocab.items():
+            self.last[k] = token.endswith("</w>")
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        words = [(t or "").encode().lower().split() for t in texts]
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        self.learn(set().union(*words).difference(self.known))
+        of = self.known.__getitem__
+        return [b"".join(map(of, ws)) for ws in words]
+
+    def learn(self, words: set[bytes]) -> None:
+        known, runs, parts, whole = self.known, {}, [], []
+        for w in words:
+            run = w.rstrip(TAIL)
+            if run.isalpha() or ((letters := run.decode()).isalpha() and max(letters) < "\u0530"):
+                if len(run) < len(w):
+                    parts.append((w, run, w[len(run) :]))
+                if run not in known:
+                    runs[run] = None
+            else:
+                whole.append(w)
+        ids = np.array(self.tokenizer.encode(b" ".join(runs).decode(), add_special_tokens=False).ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
+        if len(ends) == len(runs):
+            data, at = ids.tobytes(), 0
+            for run, to in zip(runs, ends, strict=True):
+                known[run], at = data[at:to], to
+            self.encode({tail for _, _, tail in parts if tail not in known})
+            for w, run, tail in parts:
+                known[w] = known[run] + known[tail]
+        else:  # a letter run that this vocabulary's pattern splits
+            whole = words
+        self.encode(whole)
+
+    def encode(self, words: Iterable[bytes]) -> None:
+        words = list(words)
+        for w, x in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
+            self.known[w] = np.array(x.ids, "<u4").tobytes()
 
 
 @cache
@@ -60,18 +91,29 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def some(batch: pa.RecordBatch, most: int = 64, size: int = 400_000) -> Iterator[pa.RecordBatch]:
+    """Slices of at most most rows and, but for a longer text, about size bytes of the second column."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+        to = min(max(to, at + 1), at + most)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, end = word_ids(path), end_id.to_bytes(4, "little")
         for batch in batches:
             rows: list[tuple] = []
-            for k in range(batch.num_rows):
-                doc_id, text = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                ids = known.ids(text) + end
-                total = len(ids) // 4
-                for piece, start in enumerate(range(0, total, capacity)):
-                    to = min(total, start + capacity)
-                    rows.append((doc_id, piece, start, to - start, crc32(ids[4 * start : 4 * to])))
+            for part in some(batch):
+                for doc_id, ids in zip(part.column(0).to_pylist(), known.ids(part.column(1).to_pylist()), strict=True):
+                    ids += end
+                    total = len(ids) // 4
+                    for piece, start in enumerate(range(0, total, capacity)):
+                        to = min(total, start + capacity)
+                        rows.append((doc_id, piece, start, to - start, crc32(ids[4 * start : 4 * to])))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
