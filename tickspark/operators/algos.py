@@ -33,7 +33,9 @@ def factorials(spark: SparkSession, n: int) -> DataFrame:
 def doublings(spark: SparkSession, n: int) -> DataFrame:
     """(square, grains, total) of the first n squares, at most 64, where each has twice the grains of the one before."""
     rows = spark.range(1, n + 1).withColumnRenamed("id", "square")
-    grains = F.pow(F.lit(2.0), F.col("square") - 1).cast("decimal(38,0)")
+    # two factors that 64 bits hold: a double wouldn't be exact
+    a, b = (F.expr(f"CAST(shiftleft(1L, CAST({e} AS INT)) AS DECIMAL(19,0))") for e in ("(square - 1) div 2", "square div 2"))
+    grains = (a * b).cast("decimal(38,0)")
     return rows.select("square", grains.alias("grains"), (grains * 2 - 1).cast("decimal(38,0)").alias("total"))
 
 

@@ -129,7 +129,7 @@ def side_measures(side: str) -> list[Column]:
     c = F.col(side)
     out = [F.sum(F.size(c)).alias(f"{side}_levels"), F.count_if(F.size(c) == 0).alias(f"{side}_empty")]
     for field in ("px", "qty"):
-        values = F.transform(c, lambda x, f=field: x[f])
+        values = c.getField(field)
         out += [
             F.min(F.array_min(values)).alias(f"{side}_{field}_min"), F.max(F.array_max(values)).alias(f"{side}_{field}_max"),
             F.sum(F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x, F.lit(0)))).alias(f"{side}_{field}_sum"),
