@@ -70,7 +70,7 @@ def regions(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _regions(length: int):
-    names = ["h", "c1", "c2", "doc_id", "text_hash", "start", "windows", "gram"]
+    names = ["h", "c1", "c2", "doc_id", "text_hash", "start", "windows", "gram", "times", "covered"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,8 +85,14 @@ def _regions(length: int):
                 digest = xxhash.xxh3_128_digest
                 c = np.frombuffer(b"".join([digest(data[a:b]) for a, b in zip(start.tolist(), ends.tolist(), strict=True)]), np.int64).reshape(-1, 2)
                 key = np.array([xxhash.xxh64_intdigest(data, 42)], np.uint64).view(np.int64)
-                made.append([h.view(np.int64), c[:, 0], c[:, 1], np.full(len(h), doc_id), np.repeat(key, len(h)), start, windows, gram])
-                held += len(h)
+                # equal regions one after another, as a text of one repeated word has, are one row
+                again = (h[1:] == h[:-1]) & (c[1:] == c[:-1]).all(axis=1) & (start[1:] == start[:-1] + windows[:-1])
+                first = np.flatnonzero(np.r_[True, ~again])
+                last = np.r_[first[1:], len(h)] - 1
+                covered = start[last] + windows[last] - start[first]
+                kept = [x[first] for x in (h.view(np.int64), c[:, 0], c[:, 1], np.full(len(h), doc_id), np.repeat(key, len(h)), start, windows, gram)]
+                made.append([*kept, (last - first + 1).astype(np.int32), covered])
+                held += len(first)
                 if held > 50_000:
                     yield pa.record_batch([np.concatenate(x) for x in zip(*made, strict=True)], names)
                     made, held = [], 0
@@ -165,12 +171,13 @@ def shared_prefixes(text: np.ndarray, length: int) -> np.ndarray:
     behind = place[np.minimum(order + 8, n - 1)]
     first = eight[order]
     left = length % 8
-    apart = np.ones(n, bool)
-    apart[1:] = (first[1:] >> np.uint64(64 - 8 * left) != first[:-1] >> np.uint64(64 - 8 * left)) if left else False
+    apart = np.r_[True, np.zeros(n - 1, bool)]
+    if left:
+        apart[1:] = first[1:] >> np.uint64(64 - 8 * left) != first[:-1] >> np.uint64(64 - 8 * left)
     same = np.r_[False, first[1:] == first[:-1]]
-    open_ = np.flatnonzero(same)
+    open_ = np.flatnonzero(~apart)
     for _ in range(length // 8):
-        count = np.cumsum(apart)
+        count, open_ = np.cumsum(apart), open_[same[open_]]
         a, b = behind[open_ - 1], behind[open_]
         still = count[np.maximum(a, b)] == count[np.minimum(a, b)]
         open_ = open_[still]
@@ -246,14 +253,14 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = "h long, c1 long, c2 long, doc_id long, text_hash long, start long, windows int, gram int"
+    schema = "h long, c1 long, c2 long, doc_id long, text_hash long, start long, windows int, gram int, times int, covered long"
     found = rows.mapInArrow(_regions(length), schema)
     of_gram, of_content = Window.partitionBy("h"), Window.partitionBy("h", "c1", "c2")
     nth = F.row_number().over(of_content.orderBy("doc_id", "text_hash", "start"))
-    found = found.withColumns({"same": F.count("*").over(of_content), "nth": nth}).withColumns({"all": F.count("*").over(of_gram)})
+    found = found.withColumns({"same": F.sum("times").over(of_content), "nth": nth, "all": F.sum("times").over(of_gram)})
     found = found.withColumn("contents", F.sum((F.col("nth") == 1).cast("int")).over(of_gram)).where("all > 1")
-    found = written(found.select("doc_id", "text_hash", "start", "windows", "gram", "same", "nth", "contents"), "regions")
-    whole = found.where("same > 1").select("doc_id", "text_hash", F.col("start").alias("a"), (F.col("start") + F.col("windows") + (length - 1)).alias("b"))
+    found = written(found.select("doc_id", "text_hash", "start", "windows", "covered", "gram", "same", "nth", "contents"), "regions")
+    whole = found.where("same > 1").select("doc_id", "text_hash", F.col("start").alias("a"), (F.col("start") + F.col("covered") + (length - 1)).alias("b"))
     need = F.struct("start", "windows", "gram", "same", "contents")
     needs = found.where("nth = 1 AND contents > 1").groupBy("doc_id", "text_hash").agg(F.collect_list(need).alias("needs"))
     texts = rows.withColumn("text_hash", F.xxhash64("text")).join(needs.hint("shuffle_hash"), ["doc_id", "text_hash"])
