@@ -1,0 +1,408 @@
+"""Fingerprints, language ID, mixing, repeats, personal data, packing, licenses and secrets."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from tests.llm.conftest import prose
+from tickspark.llm import docprint as D
+from tickspark.llm import langid as L
+from tickspark.llm import licenses as C
+from tickspark.llm import mixing as M
+from tickspark.llm import packing as K
+from tickspark.llm import pii as P
+from tickspark.llm import secrets as X
+from tickspark.llm import substrings as U
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+# fingerprints
+
+
+def shingles(text, width=5):
+    words = text.encode().lower().split()
+    return {tuple(words[k : k + width]) for k in range(len(words) - width + 1)} if len(words) >= width else ({tuple(words)} if words else set())
+
+
+@pytest.mark.parametrize("which", ["edges", "small"])
+def test_fingerprints(request, which):
+    df = request.getfixturevalue(which)
+    rows = sorted(((r.doc_id, r.text or "") for r in df.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0))
+    got = D.compare_neighbours(df, each=7).collect()
+    assert len(got) == len(rows)
+    by_id = Counter(i for i, _ in rows)
+    off = []
+    for k, (i, text) in enumerate(rows):
+        if by_id[i] > 1 or by_id[rows[(k + 1) % len(rows)][0]] > 1:
+            continue
+        r = next(g for g in got if g.doc_id == i)
+        after = rows[(k + 1) % len(rows)][1]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert r.fingerprint == str(D.sketch(text)) and r.edited_fingerprint == str(D.sketch(edited))
+        a, b = shingles(text), shingles(edited)
+        off.append(abs(r.near_edited - (len(a & b) / len(a | b) if a | b else 1)))
+        assert 0 <= r.near_next <= 1
+    assert np.mean(off) < 0.06
+
+
+def test_fingerprints_of_nothing(none, edges):
+    assert D.compare_neighbours(none).count() == 0
+    alone = D.compare_neighbours(edges.where("doc_id = 5")).first()
+    assert alone.near_next == 1 and alone.n_chars > 0
+
+
+def test_sketches():
+    rng = random.Random(3)
+    words = prose(rng, 4000).split()
+    whole, part, other = (" ".join(w) for w in (words, words[1000:2000], prose(rng, 3000).split()))
+    a, b, c = D.sketch(whole), D.sketch(part), D.sketch(other)
+    assert D.containment(b, a) > 0.97 and D.likeness(a, b) == pytest.approx(0.25, abs=0.07) and D.likeness(a, c) < 0.02
+    both = D.merged(b, c)
+    assert D.containment(b, both) == 1 and both.n == pytest.approx(b.n + c.n, rel=0.15)
+    assert D.likeness(a, a) == 1 and D.likeness(D.sketch(""), D.sketch(" ")) == 1 and D.likeness(D.sketch(""), a) == 0
+    back = D.parsed(str(a))
+    assert back.n == a.n and back.below == a.below and (back.kept == a.kept).all()
+
+
+# language ID
+
+
+def test_language_id(small):
+    model = L.learn(small)
+    got = L.languages(small, model).join(small.select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in got if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    assert np.mean([r.lang == r.lang_pred for r in held]) > 0.97 and all(0 <= r.score <= 1 for r in got)
+
+
+def test_posteriors_are_those_of_one_chain():
+    rng = np.random.default_rng(0)
+    sizes, k = np.array([1, 5, 0, 100, 31, 32, 33, 700]), 3
+    score, step = rng.normal(size=(sizes.sum(), k)), np.exp(rng.normal(size=(k, k)))
+    got, at = L.posteriors(score, sizes, step), 0
+    for n in sizes:
+        e, alpha, beta = np.exp(score[at : at + n]), np.zeros((n, k)), np.ones((n, k))
+        for t in range(n):
+            alpha[t] = ((alpha[t - 1] if t else np.full(k, 1 / k)) @ step) * e[t]
+            alpha[t] /= alpha[t].sum()
+        for t in range(n - 2, -1, -1):
+            beta[t] = step @ (e[t + 1] * beta[t + 1])
+            beta[t] /= beta[t].sum()
+        p = alpha * beta
+        assert np.allclose(got[at : at + n], p / p.sum(axis=1, keepdims=True) if n else p)
+        at += n
+
+
+def test_switching_words(small):
+    model = L.learn(small)
+    docs = {r.lang: r.text for r in small.where("length(text) between 900 and 3000").collect()}
+    mixed = " ".join(" ".join(docs[lang].split()[:40]) for lang in ("en", "de", "fr"))
+    got = [lang for _, lang in L.word_languages(mixed, model)]
+    wanted = ["en"] * 40 + ["de"] * 40 + ["fr"] * 40
+    assert len(got) == 120 and np.mean([a == b for a, b in zip(got, wanted, strict=True)]) > 0.9
+
+
+def test_language_edges(edges, none, spark):
+    model = L.learn(edges)
+    got = L.languages(edges, model).collect()
+    assert len(got) == edges.count()
+    by_id = {r.doc_id: r for r in got}
+    assert all(by_id[i].lang_pred == "und" and by_id[i].score == 0 for i in (0, 1, 2)) and by_id[8].lang_pred == "en"
+    assert L.learn(none) is None and {r.lang_pred for r in L.languages(edges, None).collect()} == {"und"}
+    assert L.languages(none, model).count() == 0
+    digits = spark.createDataFrame([(1, "12 34 !!")], "doc_id long, text string")
+    assert L.languages(digits, model).first().lang_pred == "und"
+    assert L.with_language(edges, model).columns == [*edges.columns, "lang_pred", "lang_score"]
+
+
+# mixing
+
+
+def test_mixing(spark, small):
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    weights = {"clean": 0.6, "low": 0.3, "toxic": 0.1}
+    model = M.learn(docs, labels, M.quality_domain(), list(weights))
+    out = M.mixed(docs, model, weights).toPandas()
+    assert len(out) == docs.count() and (out.rate >= 0).all()
+    for d, w in weights.items():
+        assert (out.rate * out.tokens * out[f"p_{d}"]).sum() / out.tokens.sum() == pytest.approx(w, abs=2e-3)
+    y = labels.where("quality IS NOT NULL").toPandas().merge(out, on="doc_id")
+    assert (y[y.toxic == 1].p_toxic > 0.5).mean() > 0.9 and (y[(y.toxic == 0) & (y.quality == 1)].p_clean > 0.5).mean() > 0.9
+
+
+def test_rates_are_a_projected_gradient(spark):
+    """Distributed steps give what the same iteration gives in one place, with rates at the bounds."""
+    rng = np.random.default_rng(5)
+    p, t = rng.dirichlet([0.5] * 3, 400), rng.integers(1, 100, 400).astype(float)
+    table = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, p, strict=True)], "tokens long, p array<double>").repartition(7)
+    moves, now, target = M.fit_rates(table, [0.9, 0.09, 0.01], most=1.5)
+    rate, mass = np.ones(400), t @ p
+    for _ in moves:
+        rate = np.clip(rate - p @ (((rate * t) @ p - target) / mass), 0, 1.5)
+    assert np.allclose((rate * t) @ p, now) and (rate == 1.5).any()
+    free, reached, wanted = M.fit_rates(table, [0.5, 0.3, 0.2])
+    assert np.abs(reached - wanted).max() <= 1e-4 * wanted.sum() and free
+
+
+def test_mixing_edges(spark, edges, none):
+    labels = spark.createDataFrame([(5, 1, 0), (5, 1, 0), (20, 0, 0), (21, 1, 1), (None, 1, 1), (22, None, None), (999, 0, 1)], "doc_id long, quality int, toxic int")
+    weights = {"clean": 0.5, "low": 0.4, "toxic": 0.1}
+    model = M.learn(edges, labels, M.quality_domain(), list(weights))
+    out = M.mixed(edges, model, weights)
+    assert out.count() == edges.count() and out.where("rate IS NULL OR rate < 0").count() == 0
+    assert M.mixed(none, model, weights).count() == 0
+    assert M.learn(none, labels, M.quality_domain(), list(weights)).words == {}
+    kept = M.sampled(edges, out.withColumn("rate", F.lit(1.0)))
+    assert kept.columns == edges.columns and kept.count() == edges.count()
+    assert M.sampled(edges.where("doc_id IS NOT NULL"), out.withColumn("rate", F.lit(0.0))).count() == 0
+
+
+# repeated strings
+
+
+def plain_repeats(texts, length=200):
+    data = [(t or "").encode() for t in texts]
+    count = Counter(b[s : s + length] for b in data for s in range(len(b) - length + 1))
+    out = []
+    for b in data:
+        gone = np.zeros(len(b) + 1, bool)
+        for s in range(len(b) - length + 1):
+            if count[b[s : s + length]] > 1:
+                gone[s : s + length] = True
+        runs = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
+        out.append((len(b), int(gone.sum()), runs, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone[:-1]])).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_repeats(spark, seed):
+    rng = random.Random(seed)
+    passages = [prose(rng, 60, "éß") for _ in range(4)]
+    texts = []
+    for _ in range(60):
+        cut = [p[(a := rng.randint(0, 60)) : a + rng.randint(150, 330)] for p in rng.choices(passages, k=rng.randint(0, 3))]
+        texts.append(" ".join(x for c in cut for x in (prose(rng, rng.randint(0, 30)), c)) + prose(rng, rng.randint(0, 20)))
+    texts += ["ab" * 400, "ab" * 150 + "c", "x" * 199, "x" * 200, "y" * 201, None, "", texts[0], texts[0][:250]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:] for r in U.without_repeats(df).collect()}
+    assert [got[k] for k in range(len(texts))] == plain_repeats(texts)
+
+
+def test_repeats_edges(edges, none):
+    rows = edges.select("doc_id", "text").collect()
+    short = [r for r in rows if len(r.text or "") < 100_000 and r.doc_id != 9]
+    df = edges.where("length(coalesce(text, '')) < 100000 AND (doc_id <> 9 OR doc_id IS NULL)")
+    got = sorted((r.doc_id or -1, *tuple(r)[1:]) for r in U.without_repeats(df).collect())
+    assert got == sorted((r.doc_id or -1, *p) for r, p in zip(short, plain_repeats([r.text for r in short]), strict=True))
+    assert U.without_repeats(none).count() == 0
+    long = {r.doc_id: r for r in U.without_repeats(edges).collect()}
+    assert long[8].n_removed == long[9].n_removed == 70_000 and long[9].n_spans == 1
+
+
+def test_common_grams_are_split(spark, monkeypatch):
+    """Contents that share a gram, more than one task is to hold, give the same spans when their windows are dealt."""
+    rng = random.Random(9)
+    core = prose(rng, 40)[:210]
+    texts = [prose(rng, 20) + core[rng.randint(0, 5) : 210 - rng.randint(0, 5)] + prose(rng, 20) for _ in range(30)]
+    cut = U._cut
+
+    def many(length):
+        def run(batches):
+            for b in batches:
+                needs = [[{**n, "contents": 100_000 if len(n) % 2 else 5000} for n in row] for row in b.column(3).to_pylist()]
+                import pyarrow as pa
+
+                yield from cut(length)([pa.record_batch([*b.columns[:3], pa.array(needs)], b.schema.names)])
+
+        return run
+
+    monkeypatch.setattr(U, "_cut", many)
+    got = {r.doc_id: tuple(r)[1:] for r in U.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(texts))] == plain_repeats(texts)
+
+
+def test_shared_prefixes():
+    rng = np.random.default_rng(1)
+    for length in (5, 8, 16, 19):
+        text = rng.integers(0, 2, 400).astype(np.uint8) + 97
+        raw = bytes(text)
+        count = Counter(raw[k : k + length] for k in range(len(raw) - length + 1))
+        got = U.shared_prefixes(text, length)
+        assert all(got[k] == (count[raw[k : k + length]] > 1) for k in range(len(raw) - length + 1))
+
+
+# personal data
+
+
+def plain_base(t):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(digits(m[0])) <= 19 and P.luhn(digits(m[0]))]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(digits(m[0])) <= 15]
+
+
+@pytest.mark.parametrize("alphabet", ["a@.1", "12.3", "0 -4", "+1 (.)-2", "a1@.+ -0,b"])
+def test_base_spans(alphabet):
+    rng = random.Random(4)
+    for _ in range(4000):
+        t = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 45)))
+        assert P.base_spans(t) == plain_base(t)
+
+
+def test_field_on_held_out_sentences():
+    field, hit, wrong, missed = P.default_field(), 0, 0, 0
+    for text, spans in P.labelled_sentences(250, seed=99):
+        base, found = P.all_spans(text, field)
+        assert set(base) <= set(found)
+        hit, wrong, missed = hit + len(set(found) & set(spans)), wrong + len(set(found) - set(spans)), missed + len(set(spans) - set(found))
+    assert hit / (hit + missed) > 0.9 and hit / (hit + wrong) > 0.95
+
+
+def test_personal_data(small, edges, none):
+    got = {r.doc_id: r for r in P.personal_data(small).collect()}
+    for r in small.collect():
+        base = plain_base(r.text)
+        assert got[r.doc_id].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
+        assert got[r.doc_id].n_email == sum(s[0] == "email" for s in base)
+    assert P.personal_data(edges).count() == edges.count() and P.personal_data(none).count() == 0
+    assert P.masked("a b@c.de +1 234 5678", [("email", 2, 8), ("phone", 9, 20)]) == "a [EMAIL] [PHONE]"
+    assert P.base_spans("1" * 100_000) == [] and P.base_spans("a" * 100_000 + "@") == []
+
+
+# packing
+
+
+def check_packing(rows, texts, capacity=2048):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(PATH)
+    wanted = Counter()
+    for i, text in texts:
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        for piece, start in enumerate(range(0, len(ids), capacity)):
+            part = ids[start : start + capacity]
+            wanted[i, piece, start, len(part), zlib.crc32(part.tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == wanted
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in by.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a[0] + a[1] == b[0] for a, b in zip(own, own[1:], strict=False)) and sum(own[-1]) <= capacity
+    return len(by)
+
+
+@pytest.mark.parametrize("which", ["edges", "small"])
+@pytest.mark.parametrize("each", [100_000, 10])
+def test_packing(request, which, each):
+    df = request.getfixturevalue(which)
+    got = K.packed_documents(df, PATH, each=each).collect()
+    n = check_packing(got, [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()])
+    least = K.lower_bound(np.array([r.length for r in got]), 2048)
+    assert n <= least + (1 if each > 10 else 2 + least // 7)
+
+
+def test_packing_of_nothing(none):
+    assert K.packed_documents(none, PATH).count() == 0
+
+
+def test_words_are_encoded_as_texts_are():
+    from tokenizers import Tokenizer
+
+    t, known, rng = Tokenizer.from_file(PATH), K.WordIds(PATH), random.Random(1)
+    marks = ["'s", "'LL", "!!", "***", ".", ",", "<|endoftext|>", "é", "é", "ΣΑΣ", "漢字", "12", "ᲀ", "ß", "\x85", "\x1c", "ﬁ", "a'b", "-", '"', "́x"]
+    texts = [rng.choice(["", " ", "\n"]).join(rng.choice([prose(rng, 1), prose(rng, 1).upper(), rng.choice(marks)]) for _ in range(rng.randint(0, 30))) for _ in range(600)]
+    assert known.ids(texts) == [np.array(x.ids, "<u4").tobytes() for x in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_lower_bound_is_one():
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        lengths = rng.integers(1, 100, 60)
+        assert K.lower_bound(lengths, 100) <= K.best_fit_decreasing(lengths, 100)[0].max() + 1
+    assert K.lower_bound(np.array([51] * 10), 100) == 10 and K.lower_bound(np.array([34] * 9), 100) == 5
+
+
+# licenses
+
+
+def plain_licenses(text):
+    cut = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
+    words = cut(text)
+    out = {}
+    for name, t in C.TEMPLATES.items():
+        own = {tuple(cut(t)[k : k + 5]) for k in range(len(cut(t)) - 4)}
+        n = len(own)
+        best = max((len(own & {tuple(words[j : j + 5]) for j in range(k, min(k + n, len(words) - 4))}) / n for k in range(max(0, len(words) - 4))), default=0)
+        if best >= 0.8:
+            out[name] = best
+    return out
+
+
+def test_licenses(spark, small, none, edges):
+    rng = random.Random(6)
+    texts = []
+    for t in C.TEMPLATES.values():
+        words = t.split()
+        texts += [prose(rng, 200) + " " + t.upper() + "\n" + prose(rng, 50), t, " ".join(words[: len(words) // 2]), prose(rng, 30) + " " + " ".join(words[1:]) + " " + prose(rng, 9)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(small.select(F.col("doc_id") + 1000, "text").toDF("doc_id", "text"))
+    got = {}
+    for r in C.scan_licenses(df).collect():
+        got.setdefault(r.doc_id, {})[r.license] = r.containment
+    for r in df.collect():
+        wanted = plain_licenses(r.text)
+        own = got.get(r.doc_id, {})
+        assert set(wanted) <= set(own) and all(own[k] >= v - 1e-9 for k, v in wanted.items()), (r.doc_id, own, wanted)
+        assert all(k in wanted or v < 0.9 for k, v in own.items())
+    assert C.scan_licenses(none).count() == 0 and C.scan_licenses(edges).count() == 0
+
+
+def test_bands_suffice():
+    assert (1 - (0.675 / 1.325)) ** C.bands_needed(0.8) <= 1e-3
+
+
+# secrets
+
+
+def test_secrets(spark, edges, none):
+    forest = X.train(spark, X.labelled_findings())
+    findings = X.labelled_findings(1000, seed=77)
+    docs = spark.createDataFrame([(k, f"{far} {before} {word} {after}") for k, (_, word, before, far, after, _) in enumerate(findings)], "doc_id long, text string")
+    found = {(r.doc_id, r.secret) for r in X.secrets(docs, forest).collect()}
+    hit = [any(i == k and (s in v or v in s) for i, s in found) for k, (v, *_) in enumerate(findings)]
+    truth = [f[-1] == 1 for f in findings]
+    assert np.mean([h == t for h, t in zip(hit, truth, strict=True)]) > 0.93
+    assert X.secrets(none, forest).count() == 0 and X.with_findings(edges, forest).count() == edges.count()
+
+
+def test_planted_secrets(small, spark):
+    forest = X.train(spark, X.labelled_findings())
+    wanted = {(r.doc_id, m) for r in small.collect() for m in re.findall(r'(?i)token = "([0-9a-f]{40})"', r.text)}
+    assert {(r.doc_id, r.secret) for r in X.secrets(small, forest).collect()} == wanted
+    out = X.redacted(small, forest)
+    assert out.columns == small.columns and out.where(F.col("text").rlike('(?i)token = "[0-9a-f]{40}"')).count() == 0
+    assert out.where("n_chars <> length(text)").count() == small.where("n_chars <> length(text)").count()
+
+
+def test_redaction_edges(spark, edges, none):
+    forest = X.train(spark, X.labelled_findings())
+    out = X.redacted(edges, forest)
+    assert out.columns == edges.columns and sorted(str(r.text) for r in out.collect()) == sorted(str(r.text) for r in edges.collect())
+    assert X.redacted(none, forest).count() == 0
+
+
+def test_forest_is_native(spark, small):
+    plan = X.secrets(small, X.train(spark, X.labelled_findings(400)))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan) and not re.search("Python|Pandas|Arrow", C.scan_licenses(small)._jdf.queryExecution().executedPlan().toString())
