@@ -26,6 +26,7 @@ def limits(capital: float, compat: bool = False) -> dict[str, Column]:
     reverse = F.least(F.lit(capital), r1, r2)
     second = middle if compat else d2
     other = c["x_bid_qty"] * c["x_bid_px"] * c["z_ask_px"] if compat else r2
+    # fixed values: the names of the limits
     return {
         "capital_direct": direct,
         "limit_direct": F.when(direct >= capital, "-").when(direct == d1, "BTC ask vol").when(direct == second, "XTZ ask vol").when(direct == d3, "XTZ/USDT bid vol").otherwise("-"),
