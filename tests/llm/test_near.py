@@ -144,3 +144,31 @@ def test_calibration():
         y = 0.98 * x + np.sqrt(1 - 0.98**2) * y / np.linalg.norm(y)
         passed += (np.abs((x - y) @ d) > V.WIDE * 0.2).sum() <= V.misses_allowed(0.999)
     assert passed >= 1980
+
+
+def test_similar_components(spark, edges, none):
+    """Groups of copies with few changed words come together, documents of lower similarity don't."""
+    import random
+
+    from tests.llm.conftest import prose
+
+    rng = random.Random(8)
+    texts = []
+    for _ in range(40):
+        words = prose(rng, rng.randint(60, 300)).split()
+        texts.append(words)
+        for changed in rng.choices([0, 1, 2, 3, 30], k=rng.randint(0, 4)):
+            own = list(words)
+            for k in rng.sample(range(len(own)), min(changed, len(own))):
+                own[k] = prose(rng, 1)
+            texts.append(own)
+    texts = [" ".join(t) for t in texts]
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    wanted = components(range(len(texts)), links)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.similar_components(df).collect()}
+    assert all(wanted[got[k]] == wanted[k] for k in got)  # nothing comes together that shouldn't
+    near = [(a, b) for a, b in links if wanted[a] == wanted[b]]
+    assert np.mean([got[a] == got[b] for a, b in near]) > 0.95
+    assert S.similar_components(edges).count() == edges.count() and S.similar_components(none).count() == 0

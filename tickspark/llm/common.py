@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,3 +68,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+
+
+def picked(df: DataFrame, by: str, id_: str, most: int, spare: int = 4) -> DataFrame:
+    """At most most rows of each value of by, those of least hash of id_.
+
+    A first pass counts the rows of a value; those whose hash is beyond what spare times most rows have aren't
+    shuffled, so that a frequent value is no more work for a task than a rare one.
+    """
+    counts = written(df.groupBy(by).agg(F.count("*").alias("__n")), "counts")
+    counts = F.broadcast(counts) if counts.count() < 100_000 else counts
+    share = F.pmod(F.xxhash64(F.col(id_)), F.lit(1 << 52)) / F.lit(1 << 52)
+    rows = df.withColumn("__h", share).join(counts, by).where(F.col("__h") * F.col("__n") <= spare * most)
+    order = Window.partitionBy(by).orderBy("__h", id_)
+    return rows.withColumn("__nth", F.row_number().over(order)).where(F.col("__nth") <= most).select(*df.columns)

@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
+
+from tickspark.llm.common import picked
 
 FEATURE_BITS = 17
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0x27D4EB2F165667C5], np.uint64)
@@ -146,7 +147,7 @@ class Labeller:
                 own = texts[at : min(k, len(texts))]
                 p, sizes = self.label(own)
                 doc = np.repeat(np.arange(len(own)), sizes)
-                share = np.stack([np.bincount(doc, p[:, j], len(own)) for j in range(p.shape[1])], axis=1)
+                share = np.stack([np.bincount(doc, p[:, j], len(own)) for j in range(p.shape[1])], axis=1).astype(float)
                 share /= np.maximum(sizes, 1)[:, None]
                 best = share.argmax(axis=1)
                 for d in range(len(own)):
@@ -230,10 +231,9 @@ def held_out(doc_id: str = "doc_id"):
 def learn(docs: DataFrame, per_lang: int = 400, words: int = 128) -> Model | None:
     """Fits on at most per_lang documents of each language, which hash order picks, and words neighbouring words of each."""
     named = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = named.select("doc_id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_lang)
+    own = picked(named.select("doc_id", "lang"), "lang", "doc_id", per_lang).distinct()
     split = F.split(F.trim("text"), r"\s+")
-    near = named.select("doc_id", "text").join(F.broadcast(picked.select("doc_id", "lang").distinct()), "doc_id").withColumn("w", split)
+    near = named.select("doc_id", "text").join(F.broadcast(own), "doc_id").withColumn("w", split)
     start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.size("w") - words + 1)) + 1
     rows = near.select("doc_id", "lang", F.slice("w", start.cast("int"), words).alias("w")).collect()
     return fit([(r.lang, r.w) for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.w))])

@@ -8,6 +8,7 @@ domain; a document's rate follows from its posterior and the iterations' gradien
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,9 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tickspark.llm.common import written
+from tickspark.llm.common import picked, written
 
 #: ASCII letters in lower case; other ASCII but digits as spaces.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
@@ -71,17 +71,18 @@ def fit(rows: list[tuple[str, np.ndarray, list[bytes]]], domains: list[str], mos
     """Fits on (domain, shape, words); the words are those whose presence tells most about the domain."""
     known = {d: k for k, d in enumerate(domains)}
     y = np.array([known[d] for d, _, _ in rows], np.int64)
-    count: dict[bytes, np.ndarray] = {}
-    for (_, _, words), c in zip(rows, y, strict=True):
-        for w in words:
-            count.setdefault(w, np.zeros(len(domains)))[c] += 1
-    often = sorted(w for w, c in count.items() if c.sum() >= 4)
+    seen_in = Counter(w for _, _, words in rows for w in words)
+    often = {w: k for k, w in enumerate(sorted(w for w, n in seen_in.items() if n >= 4))}
+    del seen_in
     vocab: dict[bytes, int] = {}
     if often:
-        seen, size = np.array([count[w] for w in often]), np.bincount(y, minlength=len(domains))
+        seen, size = np.zeros((len(often), len(domains))), np.bincount(y, minlength=len(domains))
+        for (_, _, words), c in zip(rows, y, strict=True):
+            seen[[often[w] for w in words if w in often], c] += 1
         expected = seen.sum(axis=1, keepdims=True) * size / max(1, len(y))
         tells = ((seen - expected) ** 2 / np.maximum(expected, 0.5)).max(axis=1)
-        vocab = {often[k]: j for j, k in enumerate(np.argsort(-tells, kind="stable")[:most_words])}
+        names = list(often)
+        vocab = {names[k]: j for j, k in enumerate(np.argsort(-tells, kind="stable")[:most_words])}
     x = np.zeros((len(rows), SHAPES + len(vocab)), np.float32)
     for k, (_, stats, words) in enumerate(rows):
         x[k, :SHAPES] = stats
@@ -106,10 +107,9 @@ def quality_domain() -> Column:
 def learn(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str], per_domain: int = 800) -> Classifier:
     """Fits on at most per_domain labelled documents of each domain, picked in hash order."""
     named = labels.withColumn("domain", domain).where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull())
-    order = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
     named = named.groupBy("doc_id").agg(F.max("domain").alias("domain")).join(docs.select("doc_id").distinct(), "doc_id")
-    picked = named.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_domain).select("doc_id", "domain")
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("domain", "text")
+    own = picked(named, "domain", "doc_id", per_domain).select("doc_id", "domain")
+    rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("domain", "text")
     rows = rows.mapInArrow(_shapes, "domain string, shape array<double>, words array<binary>").collect()
     return fit(sorted(((r.domain, np.array(r.shape), [bytes(w) for w in r.words]) for r in rows), key=lambda r: (r[0], r[2])), domains)
 

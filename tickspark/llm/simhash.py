@@ -22,8 +22,8 @@ from tickspark.llm.common import connected_components, parallelism, written
 
 BITS = 64
 CHUNK = 1 << 16
-#: Cost of one probe row in candidate comparisons.
-ROW_COST = 100.0
+#: Cost of one probe row in comparisons; of one in two bands, which compare few of the pairs, with a sketch.
+ROW_COST, BANDED_ROW_COST = 100.0, 10_000.0
 
 
 def simhash(text: str | None, width: int = 4) -> int:
@@ -118,9 +118,10 @@ def allocation(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
     return best[total]
 
 
-def plan_probes(together: np.ndarray, n: int, radius: int) -> tuple[list[int], list[int]]:
+def plan_probes(together: np.ndarray, n: int, radius: int, row_cost: float = ROW_COST) -> tuple[list[int], list[int]]:
     """(bit masks, thresholds) of least estimated cost over all partition counts from 2 to radius + 1."""
-    p, best = together.diagonal() / max(n, 1), None
+    n = max(n, 1)
+    p, best = together.diagonal() / n, None
     for parts in range(2, radius + 2):
         groups = grouped_bits(together, n, parts)
         costs = []
@@ -128,7 +129,7 @@ def plan_probes(together: np.ndarray, n: int, radius: int) -> tuple[list[int], l
             chance, row = near_chance(p[own], radius), [0.0]
             for t in range(radius - parts + 2):
                 variants = sum(comb(len(own), d) for d in range(t + 1))
-                row.append(n * ROW_COST * variants + n * n / (2 if t == 0 else 1) * chance[t])
+                row.append(n * row_cost * variants + n * n / (2 if t == 0 else 1) * chance[t])
             costs.append(row)
         cost, ts = allocation(costs, radius - parts + 1)
         if best is None or cost < best[0]:
@@ -171,40 +172,53 @@ def _joined(size: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None =
     return label
 
 
-def _near(group: np.ndarray, guest: np.ndarray, fp: np.ndarray, radius: int, step: int = 4_000_000) -> np.ndarray:
-    """Labels of the rows of some groups (sorted by group, then guest): linked rows of a group share the smallest index.
+def _pairs(group: np.ndarray, guest: np.ndarray, fp: np.ndarray, radius: int, step: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a, b), a < b, of rows of a group within radius, of which a is at home; rows are sorted by group, then guest.
 
-    Every row at home is compared with the rows after it in its group, about step comparisons at a time.
+    Small groups are compared together, large ones as blocks of a matrix, about step comparisons at a time.
     """
     n = len(fp)
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-    ends = np.repeat(np.r_[starts[1:], n], np.diff(np.r_[starts, n]))
-    label, home, at = np.arange(n), np.flatnonzero(~guest), 0
+    sizes = np.diff(np.r_[starts, n])
+    homes = np.add.reduceat(~guest, starts)
+    for k in np.flatnonzero((sizes > 100) & (homes > 0)):
+        start, end = int(starts[k]), int(starts[k] + sizes[k])
+        each = max(1, step // int(sizes[k]))
+        for at in range(start, start + int(homes[k]), each):
+            to = min(at + each, start + int(homes[k]))
+            x, y = np.nonzero(np.bitwise_count(fp[at:to, None] ^ fp[None, at:end]) <= radius)
+            keep = y > x
+            yield x[keep] + at, y[keep] + at
+    ends = np.repeat(starts + sizes, sizes)
+    home = np.flatnonzero(~guest & (np.repeat(sizes, sizes) <= 100))
     home = home[ends[home] - home > 1]
-    work = np.cumsum(ends[home] - home - 1)
+    work, at = np.cumsum(ends[home] - home - 1), 0
     while at < len(home):
         to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + step, "right")))
         own, todo = home[at:to], ends[home[at:to]] - home[at:to] - 1
         a = np.repeat(own, todo)
         b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(todo) - todo, todo)
         hit = np.bitwise_count(fp[a] ^ fp[b]) <= radius
-        label, at = _joined(n, a[hit], b[hit], label), to
-    return label
+        yield a[hit], b[hit]
+        at = to
 
 
-def _links(radius: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
+def _near(group: np.ndarray, guest: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
+    """Labels of rows: linked rows of a group share the smallest index."""
+    label = np.arange(len(fp))
+    for a, b in _pairs(group, guest, fp, radius):
+        label = _joined(len(fp), a, b, label)
+    return label
+
 
-        def links(part: np.ndarray, key: np.ndarray, guest: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-            new = np.r_[True, (part[1:] != part[:-1]) | (key[1:] != key[:-1])]
-            label = _near(np.cumsum(new), guest, fp.view(np.uint64), radius)
-            far = np.flatnonzero(fp[label] != fp)
-            return pa.record_batch([fp[far], fp[label[far]]], ["a", "b"])
+def _by_group(links, columns: int):
+    """Gives links(part, key, ...) whole groups of rows that are sorted by part and key, many small ones at once."""
 
-        def columns(table: list[pa.RecordBatch]) -> list[np.ndarray]:
-            return [c.to_numpy() for c in pa.Table.from_batches(table).columns]
+    def arrays(kept: list[pa.RecordBatch]) -> list[np.ndarray]:
+        return [c.to_numpy() for c in pa.Table.from_batches(kept).columns]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -213,16 +227,29 @@ def _links(radius: int):
             first = kept[0]
             if (part[-1], key[-1]) == (first.column(0)[0].as_py(), first.column(1)[0].as_py()):
                 continue  # one group so far
-            cols = columns(kept)
+            cols = arrays(kept)
             whole = int(np.flatnonzero((cols[0] == part[-1]) & (cols[1] == key[-1]))[0])
-            yield links(*(c[:whole] for c in cols))
-            kept = [pa.record_batch([c[whole:] for c in cols], batch.schema.names)]
+            yield links(*(c[:whole] for c in cols[:columns]))
+            kept = [pa.Table.from_batches(kept).slice(whole).combine_chunks().to_batches()[0]]
         if kept:
-            yield links(*columns(kept))
+            yield links(*arrays(kept)[:columns])
 
     return run
 
 
+def _groups(part: np.ndarray, key: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.r_[True, (part[1:] != part[:-1]) | (key[1:] != key[:-1])])
+
+
+def _links(radius: int):
+    def links(part: np.ndarray, key: np.ndarray, guest: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        label = _near(_groups(part, key), guest, fp.view(np.uint64), radius)
+        far = np.flatnonzero(fp[label] != fp)
+        return pa.record_batch([fp[far], fp[label[far]]], ["a", "b"])
+
+    return _by_group(links, 4)
+
+
 def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """(a, b) of distinct fingerprints fps(fp) such that the links' components are those of all pairs within radius.
 
@@ -255,7 +282,157 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4) -> Data
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """docs without those that have a linked document of smaller doc_id in their component; all columns are kept."""
-    lost = simhash_components(docs, width, radius).where("doc_id <> component_id").select("doc_id")
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+# near duplicates by shingles, for which fingerprints give candidates
+
+#: Bins of a node's sketch; contents of fewer shingles than SMALL aren't judged by it.
+BINS, SMALL = 32, 24
+
+
+def described(text: str | None, width: int) -> tuple[int, int, bytes]:
+    """(fingerprint, distinct shingles, sketch): the sketch has a byte of the least hash of each bin, 0 where it has none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return 0, 0, bytes(BINS)
+    n = max(1, len(words) - width + 1)
+    shingles = zip(*(words[k:] for k in range(width)), strict=False) if len(words) >= width else [words]
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, shingles), repeat(42)), np.uint64, n)
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, n, CHUNK):
+        part = hashes[at : at + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
+        counts += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    least = np.full(BINS, (1 << 64) - 1, np.uint64)
+    np.minimum.at(least, (hashes & np.uint64(BINS - 1)).astype(np.int64), hashes)
+    marks = np.where(least == (1 << 64) - 1, 0, (least >> np.uint64(5)) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+    fp = int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
+    return fp, len(np.unique(hashes)), marks.tobytes()
+
+
+def _described(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict[str | None, tuple[int, int, bytes]] = {}
+            rows = [known[t] if t in known else known.setdefault(t, described(t, width)) for t in batch.column(2).to_pylist()]
+            fp, n, marks = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.record_batch(
+                [batch.column(0), batch.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(marks, pa.binary())],
+                ["doc_id", "node", "fp", "n", "marks"],
+            )
+
+    return run
+
+
+def _banded_probes(masks: list[int], thresholds: list[int], similarity: float):
+    """Probes of _probes in bands of shingle counts: as similar contents are in one band or neighbouring ones."""
+    probes = _probes(masks, thresholds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, fp, n, marks = batch.columns
+            band = np.floor(np.log(np.maximum(n.to_numpy(), 1)) / -np.log(similarity) + 1e-9).astype(np.int32)
+            for probe in probes([pa.record_batch([fp], ["fp"])]):
+                part, key, guest, _ = probe.columns
+                for more in (0, 1):
+                    at = pa.array(part.to_numpy() * 1000 + band + more, pa.int32())
+                    yield pa.record_batch([at, key, guest if not more else pa.array(np.ones(len(fp), bool)), fp, node, n, marks], ["part", "key", "guest", "fp", "node", "n", "marks"])
+
+    return run
+
+
+def _candidates(radius: int, similarity: float):
+    def links(part, key, guest, fp, node, n, marks) -> pa.RecordBatch:
+        fp, size = fp.view(np.uint64), len(fp)
+        sketch = np.frombuffer(b"".join(marks), np.uint8).reshape(-1, BINS)
+        label, best, gap = np.arange(size), np.full(size, -1), np.full(size, BITS + 1)
+        for a, b in _pairs(_groups(part, key), guest, fp, radius):
+            low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+            keep = (low >= similarity * high) & (node[a] != node[b])
+            a, b = a[keep], b[keep]
+            for at in range(0, len(a), 200_000):
+                x, y = a[at : at + 200_000], b[at : at + 200_000]
+                p, q = sketch[x], sketch[y]
+                alike = (p == q) & (p > 0)
+                share = alike.sum(axis=1) / np.maximum(((p > 0) | (q > 0)).sum(axis=1), 1)
+                keep = (share >= similarity - 0.3) | (np.minimum(n[x], n[y]) < SMALL)
+                x, y = x[keep], y[keep]
+                d = np.bitwise_count(fp[x] ^ fp[y]).astype(np.int64)
+                for u, v in ((x, y), (y, x)):  # of each row, the nearest one
+                    order = np.lexsort((v, d, u))
+                    first = order[np.r_[True, u[order][1:] != u[order][:-1]]] if len(order) else order
+                    nearer = first[d[first] < gap[u[first]]]
+                    best[u[nearer]], gap[u[nearer]] = v[nearer], d[nearer]
+                label = _joined(size, x, y, label)
+        near, led = np.flatnonzero(best >= 0), np.flatnonzero(node[label] != node)
+        a = np.r_[node[near], node[led]]
+        b = np.r_[node[best[near]], node[label[led]]]
+        return pa.record_batch([np.maximum(a, b), np.minimum(a, b)], ["a", "b"])
+
+    return _by_group(links, 7)
+
+
+def _verified(width: int, similarity: float):
+    def shingles(text: str) -> set:
+        words = text.encode("utf-8", "surrogatepass").lower().split()
+        return set(zip(*(words[k:] for k in range(width)), strict=False)) if len(words) >= width else {tuple(words)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, of = None, set()
+        for batch in batches:
+            out = []
+            for b, a, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if a is None:
+                    own, of = b, shingles(text)
+                elif own == b:
+                    other = shingles(text)
+                    both = len(of & other)
+                    if both >= similarity * (len(of) + len(other) - both):
+                        out.append((a, b))
+            yield pa.record_batch([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def small_side(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df, a written table, marked to be sent to every task if it has at most most rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 12) -> DataFrame:
+    """(doc_id, component_id) of every row: documents whose width-word shingle sets have that Jaccard similarity or more.
+
+    Equal texts are one node. Nodes within radius bits of their fingerprints and with as many shingles as the similarity
+    asks are candidates; a sketch drops those that are far off. A bucket proposes for each node its nearest one and the
+    first of all that hang together there, so that a large group of near copies isn't all of its pairs; the shingle
+    sets of every proposed pair are then compared. component_id is the smallest doc_id; null texts count as empty, and
+    empty texts are alike. A null doc_id takes its component's smallest doc_id. An empty table gives an empty result.
+    """
+    spark = docs.sparkSession
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("node"), text.alias("text"))
+    found = written(rows.mapInArrow(_described(width), "doc_id long, node long, fp long, n long, marks binary"), "described")
+    nodes = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("marks").alias("marks"))
+    nodes = written(nodes, "nodes")
+    masks, thresholds = plan_probes(co_occurrence(nodes), nodes.count(), radius, BANDED_ROW_COST)
+    schema = "part int, key long, guest boolean, fp long, node long, n long, marks binary"
+    probes = nodes.select("node", "fp", "n", "marks").mapInArrow(_banded_probes(masks, thresholds, similarity), schema)
+    probes = probes.repartition(parallelism(spark), "part", "key").sortWithinPartitions("part", "key", "guest")
+    edges = written(probes.mapInArrow(_candidates(radius, similarity), "a long, b long").distinct(), "candidates")
+    ends = written(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "doc_id"), "node"), "ends")
+    one = F.col("d.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("d.node") == F.col("e.node"))
+    texts = rows.alias("d").join(small_side(ends).alias("e"), one).select("d.node", "d.text")
+    texts = written(texts.dropDuplicates(["node"]), "texts")
+    asked = edges.join(texts.withColumnRenamed("node", "a"), "a").select("b", "a", "text")
+    own = texts.join(edges.select(F.col("b").alias("node")).distinct(), "node").select(F.col("node").alias("b"), F.lit(None).cast("long").alias("a"), "text")
+    both = asked.unionByName(own).repartition(parallelism(spark), "b").sortWithinPartitions("b", "a")
+    roots = connected_components(both.mapInArrow(_verified(width, similarity), "a long, b long"))
+    labelled = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return found.select("doc_id", "node").join(labelled.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 12) -> DataFrame:
+    """docs without those that have a document of smaller doc_id in their component; all columns are kept.
+
+    A row without doc_id stays, and so do rows that repeat a doc_id with its text.
+    """
+    lost = similar_components(docs, width, similarity, radius).where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(small_side(written(lost, "lost"), 2_000_000), "doc_id", "left_anti").select(*docs.columns)
