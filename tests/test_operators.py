@@ -219,3 +219,28 @@ def test_numbering_without_one_task(spark):
     got = rows.numbered(df, ["t"], F.floor(F.col("t") / 10)).collect()
     assert all(r.nth == r.t + 1 for r in got)
     assert rows.numbered(df.where("false"), ["t"], F.col("t")).count() == 0
+
+
+def test_offsets_and_bars(spark, tmp_path):
+    df = spark.createDataFrame([("f", [0, 1, 2], 2), ("f", [0, 1], 2)], "file string, off array<int>, n int")
+    assert audit.offset_faults(df, ["file"], "off", "n").first().offset_faults == 1
+    spark.createDataFrame([(1, 2)], "ts long, bid_px long").coalesce(1).write.parquet(str(tmp_path / "x"))
+    part = next((tmp_path / "x").glob("part*.parquet"))
+    (tmp_path / "deep/er").mkdir(parents=True)
+    part.rename(tmp_path / "deep/er/bn_bars_AB_2025_3_1s.parquet")
+    got = ticks.bars(spark, str(tmp_path / "deep"), "AB", "1s").first()
+    assert (got.year, got.month, got.ts) == (2025, 3, 1)
+    assert ticks.directory(spark, str(tmp_path / "deep/er")).count() == 1
+    assert ticks.listed(spark, [str(tmp_path / "deep/er/bn_bars_AB_2025_3_1s.parquet"), str(tmp_path / "none.parquet")]).count() == 1
+
+
+def test_klines_and_writers(spark, tmp_path):
+    (tmp_path / "k.csv").write_text("1700000000000000,1,2,0.5,1.5,10,1700000001000000\nbad,1,2,3,4,5,6\n")
+    assert [(r.open_time, r.close) for r in files.klines(spark, f"{tmp_path}/k.csv").collect()] == [(1700000000000000, 1.5)]
+    df = spark.createDataFrame([(1, 'a"b', ["x"]), (2, "c", [])], "n int, s string, anomalies array<string>")
+    sinks.write_anomalies(df, str(tmp_path / "j"))
+    assert spark.read.json(str(tmp_path / "j")).count() == 1
+    sinks.write_csv(df.select("n", "s"), str(tmp_path / "c"))
+    assert [r.s for r in spark.read.option("header", "true").option("escape", '"').csv(str(tmp_path / "c")).orderBy("n").collect()] == ['a"b', "c"]
+    sinks.write_models(spark.createDataFrame([(4.0, 0.1)], "hl double, phi double"), str(tmp_path / "m"))
+    assert (tmp_path / "m/hl=4.0").exists()

@@ -172,3 +172,8 @@ def problematic(information: Column | None = None) -> Column:
 def jump(value: Column, before: Column, times: int = 10) -> Column:
     """Whether two neighbouring positive values are over times apart, up or down."""
     return (value > 0) & (before > 0) & (F.greatest(value, before) > times * F.least(value, before))
+
+
+def offset_faults(df: DataFrame, keys: list[str], offsets: str, rows: str) -> DataFrame:
+    """Row groups of the flattened layout whose offsets aren't one more than their rows."""
+    return df.groupBy(*keys).agg(F.count_if(F.size(offsets) != F.col(rows) + 1).alias("offset_faults"))

@@ -44,3 +44,14 @@ def permutations(values: DataFrame, column: str, n: int) -> DataFrame:
     for _ in range(n - 1):
         out = out.join(F.broadcast(own), ~F.array_contains("p", F.col(column))).select(F.concat("p", F.array(column)).alias("p"))
     return out
+
+
+def one_of_each(lists: dict[str, DataFrame], n: int, seed: int) -> DataFrame:
+    """n rows of one value drawn from each list(value), which are small; the seed decides the draws."""
+    spark = next(iter(lists.values())).sparkSession
+    out = spark.range(n).withColumnRenamed("id", "nth")
+    for k, (name, df) in enumerate(lists.items()):
+        values = F.broadcast(df.agg(F.array_sort(F.collect_list("value")).alias("__v")))
+        drawn = F.floor(F.rand(seed + k) * F.size("__v")).cast("int")
+        out = out.crossJoin(values).withColumn(name, F.get("__v", drawn)).drop("__v")
+    return out

@@ -638,3 +638,49 @@ def knapsack(spark, sf_dir):  # M9
     )
     own = own.select("l_orderkey", F.transform("i", lambda x: x["w"]).alias("weights"), F.transform("i", lambda x: x["v"]).alias("values"), F.lit(10).alias("capacity"))
     return algos.knapsacks(own, ["l_orderkey"], "weights", "values", "capacity")
+
+
+@query("""
+WITH g AS (SELECT l_suppkey, l_orderkey, min(l_partkey) AS f, max(l_partkey) AS l, count(*) FILTER (l_returnflag <> 'R') AS a, count(*) FILTER (l_returnflag = 'R') AS b,
+    min(CAST(round(l_extendedprice * 100) AS BIGINT)) FILTER (l_returnflag <> 'R') AS apx, coalesce(sum(CAST(l_quantity AS BIGINT)) FILTER (l_returnflag <> 'R'), 0) AS aq FROM lineitem GROUP BY ALL),
+w AS (SELECT *, lag(l) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS p FROM g)
+SELECT l_suppkey, count(*) AS "rows", count(*) FILTER (f <= p) AS id_overlap, count(*) FILTER (f > p + 1) AS id_gap, CAST(sum(a) AS BIGINT) AS ask_levels, count(*) FILTER (b = 0) AS bid_empty,
+    min(apx) AS ask_px_min, CAST(sum(aq) AS BIGINT) AS ask_qty_sum, CASE WHEN count(*) FILTER (f <= p) > 0 THEN 'id_overlap_count > 0 ' ELSE '' END || CASE WHEN count(*) FILTER (f > p + 1) > 0 THEN 'id_gap_count > 0' ELSE '' END AS id_rules
+FROM w GROUP BY l_suppkey""")
+def depth_audit(spark, sf_dir):  # R3 R4 A13-A17
+    level = F.struct(cents("l_extendedprice").alias("px"), F.col("l_quantity").cast("long").alias("qty"))
+    sides = {side: F.array_sort(F.collect_list(F.when(c, level))).alias(side) for side, c in (("ask", F.col("l_returnflag") != "R"), ("bid", F.col("l_returnflag") == "R"))}
+    own = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_orderkey").agg(F.min("l_partkey").alias("firstId"), F.max("l_partkey").alias("lastId"), *sides.values())
+    out = audit.depth_audit(own, ["l_suppkey"], ["l_orderkey"], F.col("l_orderkey"), unit=1000)
+    rules = F.concat(*(F.when(F.array_contains("anomalies", n), n + e).otherwise("") for n, e in (("id_overlap_count > 0", " "), ("id_gap_count > 0", ""))))
+    return out.select("l_suppkey", "rows", "id_overlap", "id_gap", "ask_levels", "bid_empty", "ask_px_min", "ask_qty_sum", rules.alias("id_rules"))
+
+
+@query("""
+SELECT to_json({'user_id': user_id, 'rows': count(*), 'anomalies': CASE WHEN count(*) < 65 THEN ['small'] ELSE [] END}) AS value FROM events GROUP BY user_id HAVING count(*) < 65""")
+def anomaly_lines(spark, sf_dir):  # K3 K4
+    counts = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("rows"))
+    return sinks.json_lines(counts.withColumn("anomalies", audit.named([("small", F.col("rows") < 65)])))
+
+
+@query("SELECT 'audit' || chr(10) || 'user_id: ' || user_id || chr(10) || 'rows: ' || count(*) AS value FROM events GROUP BY user_id")
+def audit_report(spark, sf_dir):  # K5
+    return sinks.report_lines(table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("rows")), "audit")
+
+
+@query(None)
+def ljung_box(spark, sf_dir):  # M4 M5
+    out = arma.autocorrelations(_series(spark, sf_dir), ["user_id"], ["us", "event_id"], "y", 5).where("n >= 10")
+    return out.select("user_id", "n", "q", arma.p_value(F.col("q"), F.lit(4)).alias("p_value"))
+
+
+@query(None)
+def takeuchi(spark, sf_dir):  # M13
+    own = table(spark, sf_dir, "lineitem").select((F.col("l_linenumber") + 4).alias("x"), F.col("l_linenumber").alias("y"), (F.col("l_orderkey") % 4).alias("z")).distinct()
+    return own.select("x", "y", "z", algos.taks("x", "y", "z").alias("value"))
+
+
+@query(None)
+def random_pick(spark, sf_dir):  # J9
+    lists = {n: table(spark, sf_dir, t).select(F.col(c).alias("value")) for n, t, c in (("subject", "nation", "n_name"), ("place", "region", "r_name"))}
+    return sorting.one_of_each(lists, 100, 3)
