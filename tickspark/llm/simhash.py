@@ -396,7 +396,7 @@ def small_side(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 12) -> DataFrame:
+def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 14) -> DataFrame:
     """(doc_id, component_id) of every row: documents whose width-word shingle sets have that Jaccard similarity or more.
 
     Equal texts are one node. Nodes within radius bits of their fingerprints and with as many shingles as the similarity
@@ -414,7 +414,7 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     masks, thresholds = plan_probes(co_occurrence(nodes), nodes.count(), radius, BANDED_ROW_COST)
     schema = "part int, key long, guest boolean, fp long, node long, n long, marks binary"
     probes = nodes.select("node", "fp", "n", "marks").mapInArrow(_banded_probes(masks, thresholds, similarity), schema)
-    probes = probes.repartition(parallelism(spark), "part", "key").sortWithinPartitions("part", "key", "guest")
+    probes = probes.repartition(parallelism(spark), "part", "key").sortWithinPartitions("part", "key", "guest", "fp", "node")
     edges = written(probes.mapInArrow(_candidates(radius, similarity), "a long, b long").distinct(), "candidates")
     ends = written(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "doc_id"), "node"), "ends")
     one = F.col("d.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("d.node") == F.col("e.node"))
@@ -429,7 +429,7 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     return found.select("doc_id", "node").join(labelled.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 12) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 14) -> DataFrame:
     """docs without those that have a document of smaller doc_id in their component; all columns are kept.
 
     A row without doc_id stays, and so do rows that repeat a doc_id with its text.
