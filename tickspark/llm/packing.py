@@ -8,14 +8,15 @@ packed again, while that saves sequences. At last the emptiest sequences of all
 
 from __future__ import annotations
 
+import gc
 import os
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 from functools import cache
+from unicodedata import is_normalized
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -25,12 +26,19 @@ from tickspark.llm.common import written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, part long, bin long, offset long, load long, n_bins long, bound long"
-#: Words whose ids a worker keeps; beyond it starts anew. It bounds memory and doesn't change results.
-CACHED_WORDS = 300_000
+#: Words whose ids a worker keeps in each of two generations: when the young one is full, it becomes the old one, whose
+#: words come back when they are met. It bounds memory and doesn't change results.
+CACHED_WORDS = 250_000
 #: What may follow a letter run without changing how it is split (an apostrophe may).
 TAIL = b'.,!%*&#$|:;?"()-'
 
 
+def _lower(run: str) -> str:
+    """Letters of the first scripts in lower case as the vocabulary's normaliser has them; empty where that isn't plain."""
+    small = run.lower()
+    return small if small.isalpha() and max(small) < "\u0530" and "Σ" not in run and is_normalized("NFC", small) else ""
+
+
 class WordIds:
     """The ids of white-space separated words, lower-cased in ASCII, as little-endian unsigned 32-bit numbers.
 
@@ -41,33 +49,46 @@ class WordIds:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.old = Tokenizer.from_file(path), {}, {}
+        # for runs of lower-case letters, which need no normalising and no splitting but at spaces
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a pre-token
         for token, k in vocab.items():
             self.last[k] = token.endswith("</w>")
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        words = [(t or "").encode().lower().split() for t in texts]
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        self.learn(set().union(*words).difference(self.known))
-        of = self.known.__getitem__
-        return [b"".join(map(of, ws)) for ws in words]
+        gc.disable()  # what follows makes many objects and no cycles
+        try:
+            words = [(t or "").encode().lower().split() for t in texts]
+            if len(self.known) > CACHED_WORDS:
+                self.known, self.old = {}, self.known
+            missing = set().union(*words).difference(self.known)
+            if met := self.old.keys() & missing:  # intersection() would go through all of old
+                self.known.update(zip(met, map(self.old.__getitem__, met), strict=True))
+                missing -= met
+            self.learn(missing)
+            of = self.known.__getitem__
+            return [b"".join(map(of, ws)) for ws in words]
+        finally:
+            gc.enable()
 
     def learn(self, words: set[bytes]) -> None:
         known, runs, parts, whole = self.known, {}, [], []
         for w in words:
             run = w.rstrip(TAIL)
-            if run.isalpha() or ((letters := run.decode()).isalpha() and max(letters) < "\u0530"):
+            letters = run.decode()
+            if run.isalpha() or (letters := _lower(letters)):
                 if len(run) < len(w):
                     parts.append((w, run, w[len(run) :]))
                 if run not in known:
-                    runs[run] = None
+                    runs[run] = letters
             else:
                 whole.append(w)
-        ids = np.array(self.tokenizer.encode(b" ".join(runs).decode(), add_special_tokens=False).ids, "<u4")
+        ids = np.array(self.plain.encode_batch_fast([" ".join(runs.values())], add_special_tokens=False)[0].ids, "<u4")
         ends = (4 * (np.flatnonzero(self.last[ids]) + 1)).tolist()
         if len(ends) == len(runs):
             data, at = ids.tobytes(), 0
@@ -167,11 +188,14 @@ def lower_bound(lengths: np.ndarray, capacity: int, most_k: int = 64) -> int:
 
 
 def _pack(capacity: int):
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        lengths = own.length.to_numpy()
+    def run(own: pa.Table) -> pa.Table:
+        lengths = own.column("length").to_numpy()
         bins, offsets = best_fit_decreasing(lengths, capacity)
         n, load = int(bins.max()) + 1, np.bincount(bins, weights=lengths).astype(np.int64)
-        return own.assign(bin=bins, offset=offsets, load=load[bins], n_bins=n, bound=lower_bound(lengths, capacity))
+        made = {"bin": bins, "offset": offsets, "load": load[bins], "n_bins": np.full(len(bins), n), "bound": np.full(len(bins), lower_bound(lengths, capacity))}
+        for name, values in made.items():
+            own = own.append_column(name, pa.array(values, pa.int64()))
+        return own
 
     return run
 
@@ -195,7 +219,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, each: int = 100_000, rounds: i
     out = [pieces.where(F.col("length") >= capacity).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
 
     def packed(rows: DataFrame) -> DataFrame:
-        return written(_dealt(rows.select(*names), each).groupBy("part").applyInPandas(_pack(capacity), PACKED), "packed")
+        return written(_dealt(rows.select(*names), each).groupBy("part").applyInArrow(_pack(capacity), PACKED), "packed")
 
     def keep(rows: DataFrame, turn: int) -> None:
         out.append(rows.select(*names, (F.lit(turn) * F.lit(1 << 58) + F.col("part") * F.lit(1 << 28) + F.col("bin")).alias("sequence_id"), "offset"))
