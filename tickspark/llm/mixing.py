@@ -46,7 +46,7 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [shape(t) for t in batch.column(1).to_pylist()]
         yield pa.record_batch(
-            [batch.column(0), pa.array([f[1].tolist() for f in found], pa.list_(pa.float64())), pa.array([sorted(f[2]) for f in found], pa.list_(pa.binary()))],
+            [batch.column(0), pa.array([f[1].tolist() for f in found], pa.list_(pa.float64())), pa.array([b" ".join(sorted(f[2])) for f in found], pa.binary())],
             ["domain", "shape", "words"],
         )
 
@@ -67,18 +67,18 @@ class Classifier:
         return p / p.sum()
 
 
-def fit(rows: list[tuple[str, np.ndarray, list[bytes]]], domains: list[str], most_words: int = 3000, rounds: int = 200) -> Classifier:
-    """Fits on (domain, shape, words); the words are those whose presence tells most about the domain."""
+def fit(rows: list[tuple[str, np.ndarray, bytes]], domains: list[str], most_words: int = 3000, rounds: int = 200) -> Classifier:
+    """Fits on (domain, shape, distinct words, a space apart); the words kept are those whose presence tells most about the domain."""
     known = {d: k for k, d in enumerate(domains)}
     y = np.array([known[d] for d, _, _ in rows], np.int64)
-    seen_in = Counter(w for _, _, words in rows for w in words)
+    seen_in = Counter(w for _, _, words in rows for w in words.split())
     often = {w: k for k, w in enumerate(sorted(w for w, n in seen_in.items() if n >= 4))}
     del seen_in
     vocab: dict[bytes, int] = {}
     if often:
         seen, size = np.zeros((len(often), len(domains))), np.bincount(y, minlength=len(domains))
         for (_, _, words), c in zip(rows, y, strict=True):
-            seen[[often[w] for w in words if w in often], c] += 1
+            seen[[often[w] for w in words.split() if w in often], c] += 1
         expected = seen.sum(axis=1, keepdims=True) * size / max(1, len(y))
         tells = ((seen - expected) ** 2 / np.maximum(expected, 0.5)).max(axis=1)
         names = list(often)
@@ -86,7 +86,7 @@ def fit(rows: list[tuple[str, np.ndarray, list[bytes]]], domains: list[str], mos
     x = np.zeros((len(rows), SHAPES + len(vocab)), np.float32)
     for k, (_, stats, words) in enumerate(rows):
         x[k, :SHAPES] = stats
-        x[k, [SHAPES + vocab[w] for w in words if w in vocab]] = 1
+        x[k, [SHAPES + vocab[w] for w in words.split() if w in vocab]] = 1
     weights, truth = np.zeros((x.shape[1], len(domains)), np.float32), np.eye(len(domains), dtype=np.float32)[y]
     m, v = np.zeros_like(weights), np.zeros_like(weights)
     for turn in range(1, rounds + 1 if len(rows) else 1):
@@ -110,8 +110,8 @@ def learn(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str]
     named = named.groupBy("doc_id").agg(F.max("domain").alias("domain")).join(docs.select("doc_id").distinct(), "doc_id")
     own = picked(named, "domain", "doc_id", per_domain).select("doc_id", "domain")
     rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("domain", "text")
-    rows = rows.mapInArrow(_shapes, "domain string, shape array<double>, words array<binary>").collect()
-    return fit(sorted(((r.domain, np.array(r.shape), [bytes(w) for w in r.words]) for r in rows), key=lambda r: (r[0], r[2])), domains)
+    rows = rows.mapInArrow(_shapes, "domain string, shape array<double>, words binary").collect()
+    return fit(sorted(((r.domain, np.array(r.shape), bytes(r.words)) for r in rows), key=lambda r: (r[0], r[2])), domains)
 
 
 def _posteriors(model: Classifier):
