@@ -172,3 +172,41 @@ def test_similar_components(spark, edges, none):
     near = [(a, b) for a, b in links if wanted[a] == wanted[b]]
     assert np.mean([got[a] == got[b] for a, b in near]) > 0.95
     assert S.similar_components(edges).count() == edges.count() and S.similar_components(none).count() == 0
+
+
+def changed(rng, words, at):
+    from tests.llm.conftest import prose
+
+    return [prose(rng, 1) if k in at else w for k, w in enumerate(words)]
+
+
+def test_copies_that_are_alike_only_by_their_original(spark):
+    """Every copy of a large group finds the original, though other copies are candidates too and most are less alike."""
+    import random
+
+    from tests.llm.conftest import prose
+
+    rng = random.Random(12)
+    words = prose(rng, 304).split()
+    texts = [words, *(changed(rng, words, set(rng.sample(range(5, 299, 6), 6))) for _ in range(300))]
+    sets = [set(zip(*(t[k:] for k in range(5)))) for t in texts]
+    like = lambda a, b: len(a & b) / len(a | b)
+    assert all(like(sets[0], s) >= 0.8 for s in sets) and np.mean([like(a, b) < 0.8 for a, b in zip(sets[1:], sets[2:])]) > 0.9
+    order = rng.sample(range(len(texts)), len(texts))
+    df = spark.createDataFrame([(k, " ".join(texts[t])) for k, t in enumerate(order)], "doc_id long, text string")
+    assert {r.component_id for r in S.similar_components(df).collect()} == {0}
+
+
+def test_hub_is_not_needed(spark, monkeypatch):
+    """A chain, of which only neighbours are similar, comes together over blocks of two rows."""
+    import random
+
+    from tests.llm.conftest import prose
+
+    rng = random.Random(13)
+    texts = [prose(rng, 304).split()]
+    for k in range(12):
+        texts.append(changed(rng, texts[-1], {5 + 6 * (4 * k + j) for j in range(4)}))
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(S, "BLOCK", 2)
+    assert {r.component_id for r in S.similar_components(df).collect()} == {0}

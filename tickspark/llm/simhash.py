@@ -284,8 +284,10 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4) -> Data
 
 # near duplicates by shingles, for which fingerprints give candidates
 
-#: Bins of a node's sketch; contents of fewer shingles than SMALL aren't judged by it.
+#: Bins of a node's sketch; contents of fewer shingles than SMALL are judged by a bound that loses no pair.
 BINS, SMALL = 32, 24
+#: Nodes and shingles of a block that is compared in one task.
+BLOCK, BLOCK_SHINGLES = 256, 200_000
 
 
 def described(text: str | None, width: int) -> tuple[int, int, bytes]:
@@ -338,55 +340,169 @@ def _banded_probes(masks: list[int], thresholds: list[int], similarity: float):
     return run
 
 
+def _alike(x: np.ndarray, y: np.ndarray, n: np.ndarray, sketch: np.ndarray, similarity: float) -> np.ndarray:
+    """Which pairs of rows may have that similarity by their sizes and sketches."""
+    out = np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y])
+    at = np.flatnonzero(out)
+    for k in range(0, len(at), 200_000):
+        own = at[k : k + 200_000]
+        p, q = sketch[x[own]], sketch[y[own]]
+        differ, either = (p != q).sum(axis=1), ((p > 0) | (q > 0)).sum(axis=1)
+        # a shingle that only one set has changes one bin at most
+        few = differ <= (n[x[own]] + n[y[own]]) * (1 - similarity) / (1 + similarity) + 1e-9
+        out[own] = np.where(np.minimum(n[x[own]], n[y[own]]) < SMALL, few, either - differ >= (similarity - 0.3) * either)
+    return out
+
+
+def _hanging(group: np.ndarray, guest: np.ndarray, fp: np.ndarray, node: np.ndarray, n: np.ndarray, sketch: np.ndarray, radius: int, similarity: float) -> np.ndarray:
+    """Labels of rows: all candidate pairs of a group have one label, directly or over others.
+
+    In large groups a row is compared to those that aren't reached yet, so a group of copies isn't all of its pairs.
+    """
+    label = np.arange(len(fp))
+    sizes = np.bincount(group - group[0])[group - group[0]] if len(group) else group
+    small = np.flatnonzero(sizes <= 100)
+    for a, b in _pairs(group[small], guest[small], fp[small], radius) if len(small) else ():
+        a, b = small[a], small[b]
+        keep = _alike(a, b, n, sketch, similarity)
+        label = _joined(len(fp), a[keep], b[keep], label)
+    large = np.flatnonzero(sizes > 100)
+    for left in np.split(large, np.flatnonzero(np.diff(group[large])) + 1) if len(large) else ():
+        while len(left):
+            first, left = left[0], left[1:]
+            todo = [first]
+            while todo and len(left):
+                x = todo.pop()
+                hit = np.bitwise_count(fp[left] ^ fp[x]) <= radius
+                at = np.flatnonzero(hit)
+                hit[at] = _alike(np.full(len(at), x), left[at], n, sketch, similarity)
+                label[left[hit]] = first
+                todo += left[hit].tolist()
+                left = left[~hit]
+    return label
+
+
 def _candidates(radius: int, similarity: float):
     def links(part, key, guest, fp, node, n, marks) -> pa.RecordBatch:
-        fp, size = fp.view(np.uint64), len(fp)
         sketch = np.frombuffer(b"".join(marks), np.uint8).reshape(-1, BINS)
-        label, best, gap = np.arange(size), np.full(size, -1), np.full(size, BITS + 1)
-        for a, b in _pairs(_groups(part, key), guest, fp, radius):
-            low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-            keep = (low >= similarity * high) & (node[a] != node[b])
-            a, b = a[keep], b[keep]
-            for at in range(0, len(a), 200_000):
-                x, y = a[at : at + 200_000], b[at : at + 200_000]
-                p, q = sketch[x], sketch[y]
-                alike = (p == q) & (p > 0)
-                share = alike.sum(axis=1) / np.maximum(((p > 0) | (q > 0)).sum(axis=1), 1)
-                keep = (share >= similarity - 0.3) | (np.minimum(n[x], n[y]) < SMALL)
-                x, y = x[keep], y[keep]
-                d = np.bitwise_count(fp[x] ^ fp[y]).astype(np.int64)
-                for u, v in ((x, y), (y, x)):  # of each row, the nearest one
-                    order = np.lexsort((v, d, u))
-                    first = order[np.r_[True, u[order][1:] != u[order][:-1]]] if len(order) else order
-                    nearer = first[d[first] < gap[u[first]]]
-                    best[u[nearer]], gap[u[nearer]] = v[nearer], d[nearer]
-                label = _joined(size, x, y, label)
-        near, led = np.flatnonzero(best >= 0), np.flatnonzero(node[label] != node)
-        a = np.r_[node[near], node[led]]
-        b = np.r_[node[best[near]], node[label[led]]]
-        return pa.record_batch([np.maximum(a, b), np.minimum(a, b)], ["a", "b"])
+        label = _hanging(_groups(part, key), guest, fp.view(np.uint64), node, n, sketch, radius, similarity)
+        least = node.copy()
+        np.minimum.at(least, label, node)
+        far = np.flatnonzero(least[label] != node)
+        return pa.record_batch([node[far], least[label[far]]], ["a", "b"])
 
     return _by_group(links, 7)
 
 
-def _verified(width: int, similarity: float):
-    def shingles(text: str) -> set:
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        return set(zip(*(words[k:] for k in range(width)), strict=False)) if len(words) >= width else {tuple(words)}
+def _shingle_set(text: str, width: int) -> set:
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    return set(zip(*(words[k:] for k in range(width)), strict=False)) if len(words) >= width else {tuple(words)}
+
+
+def _similar(a: set, b: set, similarity: float) -> bool:
+    return min(len(a), len(b)) >= similarity * max(len(a), len(b)) and (both := len(a & b)) >= similarity * (len(a) + len(b) - both)
+
+
+def _hub(root: np.ndarray, key: np.ndarray, node: np.ndarray, n: np.ndarray, marks: np.ndarray) -> pa.RecordBatch:
+    """(a, b) of each member a of a cluster and its hub b, whose sketch has most of what most members' have."""
+    sketch = np.frombuffer(b"".join(marks), np.uint8).reshape(-1, BINS)
+    hub = np.empty(len(node), np.int64)
+    for own in np.split(np.arange(len(node)), np.flatnonzero(np.diff(root)) + 1):
+        x = sketch[own]
+        usual = np.array([np.bincount(x[:, k]).argmax() for k in range(BINS)])
+        hub[own] = node[own[(x == usual).sum(axis=1).argmax()]]
+    return pa.record_batch([node, hub], ["a", "b"])
+
+
+def _against_hub(width: int, similarity: float):
+    """Gives (a, b) those that are similar; rows are (a, b, text of a, text of b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, of = None, set()
+        last, of = None, set()
         for batch in batches:
             out = []
-            for b, a, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if a is None:
-                    own, of = b, shingles(text)
-                elif own == b:
-                    other = shingles(text)
-                    both = len(of & other)
-                    if both >= similarity * (len(of) + len(other) - both):
-                        out.append((a, b))
+            for a, b, text, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if last != b:
+                    last, of = b, _shingle_set(other, width)
+                if _similar(_shingle_set(text, width), of, similarity):
+                    out.append((a, b))
+            yield pa.record_batch([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _cut(n: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of blocks of at most BLOCK rows and BLOCK_SHINGLES shingles, or one row."""
+    out, start, total = [], 0, 0
+    for k, size in enumerate(n.tolist()):
+        if k > start and (k - start >= BLOCK or total + size > BLOCK_SHINGLES):
+            out.append((start, k))
+            start, total = k, 0
+        total += size
+    return [*out, (start, len(n))] if len(n) else out
+
+
+def _dealt(similarity: float):
+    """Pairs of blocks of each cluster that isn't settled: all rows that aren't with the hub meet all others of like size."""
+
+    def links(root, key, node, n, joined) -> pa.RecordBatch:
+        found = [(np.zeros(0, np.int64),) * 5]
+        for own in np.split(np.arange(len(node)), np.flatnonzero(np.diff(root)) + 1):
+            if joined[own].all():
+                continue
+            own = own[np.lexsort((node[own], n[own], ~joined[own]))]
+            most = int(joined[own].sum())
+            blocks = [own[a:b] for a, b in _cut(n[own[:most]])]
+            hubs = len(blocks)
+            blocks += [own[most + a : most + b] for a, b in _cut(n[own[most:]])]
+            for j in range(hubs, len(blocks)):
+                for i in range(j + 1):
+                    x, y = n[blocks[i]], n[blocks[j]]
+                    if min(x[-1], y[-1]) < similarity * max(x[0], y[0]):
+                        continue
+                    for side, rows in enumerate((blocks[i], blocks[j]) if i < j else (blocks[i],)):
+                        found.append((root[rows], np.full(len(rows), j * (1 << 31) + i), np.full(len(rows), side), node[rows], joined[rows].astype(np.int64)))
+        return pa.record_batch([np.concatenate(c) for c in zip(*found, strict=True)], ["root", "pair", "side", "node", "joined"])
+
+    return _by_group(links, 5)
+
+
+def _in_blocks(width: int, similarity: float):
+    """Gives links whose components are those of all similar pairs in a pair of blocks; rows are sorted by root, pair, side."""
+
+    def spanning(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        sets = [_shingle_set(r[4], width) for r in rows]
+        two = any(r[2] for r in rows)
+        up = list(range(len(rows)))
+
+        def find(k: int) -> int:
+            while up[k] != k:
+                up[k] = up[up[k]]
+                k = up[k]
+            return k
+
+        with_hub = [k for k, r in enumerate(rows) if r[5]]
+        for k in with_hub:
+            up[k] = with_hub[0]
+        for y in range(len(rows)):
+            for x in range(y):
+                if (not two or rows[x][2] != rows[y][2]) and find(x) != find(y) and _similar(sets[x], sets[y], similarity):
+                    up[find(y)] = find(x)
+                    yield rows[x][3], rows[y][3]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple] = []
+        out: list[tuple[int, int]] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kept and kept[0][:2] != row[:2]:
+                    out += spanning(kept)
+                    kept = []
+                kept.append(row)
             yield pa.record_batch([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+            out = []
+        out += spanning(kept)
+        yield pa.record_batch([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
@@ -396,13 +512,33 @@ def small_side(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def verified_links(clusters: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(a, b) whose components are those of all pairs of that similarity within clusters(node, root, n, marks).
+
+    Every member is compared to its cluster's hub. Members that aren't similar to it then meet all others of their
+    cluster in pairs of blocks, each a row in a task; members that hang together already aren't compared again.
+    """
+    spark = clusters.sparkSession
+    rows = clusters.select("root", F.lit(0).cast("long").alias("key"), "node", "n", "marks")
+    rows = rows.repartition(parallelism(spark), "root").sortWithinPartitions("root", "node")
+    stars = written(rows.mapInArrow(_by_group(_hub, 5), "a long, b long"), "stars")
+    pairs = stars.where("a <> b").join(texts.select(F.col("node").alias("a"), "text"), "a")
+    pairs = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("other")), "b").select("a", "b", "text", "other")
+    first = written(pairs.mapInArrow(_against_hub(width, similarity), "a long, b long"), "with-hub")
+    settled = first.select(F.col("a").alias("node")).unionByName(stars.where("a = b").select(F.col("a").alias("node"))).withColumn("joined", F.lit(True))
+    left = clusters.select("node", "root", "n").join(settled, "node", "left").select("root", F.lit(0).cast("long").alias("key"), "node", "n", F.coalesce("joined", F.lit(False)).alias("joined"))
+    left = left.repartition(parallelism(spark), "root").sortWithinPartitions("root", "node")
+    blocks = written(left.mapInArrow(_dealt(similarity), "root long, pair long, side long, node long, joined long"), "blocks")
+    meet = blocks.join(texts, "node").select("root", "pair", "side", "node", "text", "joined")
+    meet = meet.repartition(parallelism(spark), "root", "pair").sortWithinPartitions("root", "pair", "side", "node")
+    return first.unionByName(meet.mapInArrow(_in_blocks(width, similarity), "a long, b long"))
+
+
 def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 14) -> DataFrame:
     """(doc_id, component_id) of every row: documents whose width-word shingle sets have that Jaccard similarity or more.
 
-    Equal texts are one node. Nodes within radius bits of their fingerprints and with as many shingles as the similarity
-    asks are candidates; a sketch drops those that are far off. A bucket proposes for each node its nearest one and the
-    first of all that hang together there, so that a large group of near copies isn't all of its pairs; the shingle
-    sets of every proposed pair are then compared. component_id is the smallest doc_id; null texts count as empty, and
+    Equal texts are one node. Nodes within radius bits of their fingerprints are candidates; sizes and a sketch drop those that are far off. A bucket gives one link for each node, and what hangs together by these links is a
+    cluster, within which whole shingle sets decide. component_id is the smallest doc_id; null texts count as empty, and
     empty texts are alike. A null doc_id takes its component's smallest doc_id. An empty table gives an empty result.
     """
     spark = docs.sparkSession
@@ -415,15 +551,13 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     schema = "part int, key long, guest boolean, fp long, node long, n long, marks binary"
     probes = nodes.select("node", "fp", "n", "marks").mapInArrow(_banded_probes(masks, thresholds, similarity), schema)
     probes = probes.repartition(parallelism(spark), "part", "key").sortWithinPartitions("part", "key", "guest", "fp", "node")
-    edges = written(probes.mapInArrow(_candidates(radius, similarity), "a long, b long").distinct(), "candidates")
-    ends = written(edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "doc_id"), "node"), "ends")
+    near = written(probes.mapInArrow(_candidates(radius, similarity), "a long, b long").distinct(), "candidates")
+    clusters = connected_components(near).join(nodes.select("node", "doc_id", "n", "marks"), "node")
+    clusters = written(clusters, "clusters")
     one = F.col("d.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("d.node") == F.col("e.node"))
-    texts = rows.alias("d").join(small_side(ends).alias("e"), one).select("d.node", "d.text")
+    texts = rows.alias("d").join(small_side(clusters.select("node", "doc_id")).alias("e"), one).select("d.node", "d.text")
     texts = written(texts.dropDuplicates(["node"]), "texts")
-    asked = edges.join(texts.withColumnRenamed("node", "a"), "a").select("b", "a", "text")
-    own = texts.join(edges.select(F.col("b").alias("node")).distinct(), "node").select(F.col("node").alias("b"), F.lit(None).cast("long").alias("a"), "text")
-    both = asked.unionByName(own).repartition(parallelism(spark), "b").sortWithinPartitions("b", "a")
-    roots = connected_components(both.mapInArrow(_verified(width, similarity), "a long, b long"))
+    roots = connected_components(verified_links(clusters, texts, width, similarity))
     labelled = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return found.select("doc_id", "node").join(labelled.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
