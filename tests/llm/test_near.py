@@ -210,3 +210,38 @@ def test_hub_is_not_needed(spark, monkeypatch):
     df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
     monkeypatch.setattr(S, "BLOCK", 2)
     assert {r.component_id for r in S.similar_components(df).collect()} == {0}
+
+
+def test_repeated_passages(spark):
+    """Equal sets of shingles come together however often a passage is repeated, and so do pairs of far fingerprints."""
+    import random
+
+    from tests.llm.conftest import prose
+
+    rng = random.Random(14)
+    texts, pairs = [], []
+    for _ in range(30):
+        words = prose(rng, 300).split()
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [words[:20] * 2 + words[20:], words[:20] * 30 + words[20:]]
+    while len(texts) < 90:  # fingerprints that differ in over 14 bits at a similarity of 0.8 or more
+        words = prose(rng, 304).split()
+        own = changed(rng, words, set(rng.sample(range(5, 299, 6), 6)))
+        a, b = " ".join(words), " ".join(own)
+        if (S.described(a, 5)[0] ^ S.described(b, 5)[0]).bit_count() > 14:
+            pairs.append((len(texts), len(texts) + 1))
+            texts += [words, own]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in S.similar_components(df).collect()}
+    assert all(got[a] == got[b] for a, b in pairs) and len(set(got.values())) == len(pairs)
+
+
+def test_rare_shingles_of_similar_sets_meet():
+    rng = np.random.default_rng(6)
+    frequent = np.sort(rng.integers(0, 1 << 63, 50, np.uint64))
+    for n in [*range(1, 40), 300]:
+        own = np.unique(np.r_[rng.choice(frequent, min(n, 20), replace=False), rng.integers(0, 1 << 63, n, np.uint64)])
+        for lost in range(len(own) // 5 + 1):
+            other = np.sort(rng.permutation(own)[lost:])  # similarity 0.8 or more
+            a, b = (S.rare_shingles(x, 0.8, frequent, np.arange(50) + 3) for x in (own, other))
+            assert np.isin(a, b).any()

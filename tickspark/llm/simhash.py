@@ -282,22 +282,35 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4) -> Data
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-# near duplicates by shingles, for which fingerprints give candidates
+# near duplicates by shingles, for which fingerprints and rare shingles give candidates
 
 #: Bins of a node's sketch; contents of fewer shingles than SMALL are judged by a bound that loses no pair.
 BINS, SMALL = 32, 24
+#: Nodes in which frequent shingles are counted, and how many of them are known; both only decide an order.
+SAMPLE, FREQUENT = 8_000, 30_000
 #: Nodes and shingles of a block that is compared in one task.
 BLOCK, BLOCK_SHINGLES = 256, 200_000
 
 
-def described(text: str | None, width: int) -> tuple[int, int, bytes]:
-    """(fingerprint, distinct shingles, sketch): the sketch has a byte of the least hash of each bin, 0 where it has none."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles (a shorter text: all its words), in order; none of a text without words."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0, 0, bytes(BINS)
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - width + 1)
     shingles = zip(*(words[k:] for k in range(width)), strict=False) if len(words) >= width else [words]
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, shingles), repeat(42)), np.uint64, n)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, shingles), repeat(42)), np.uint64, n))
+
+
+def described(text: str | None, width: int) -> tuple[int, int, bytes]:
+    """(fingerprint, distinct shingles, sketch) of the set of shingles, however often each of them comes.
+
+    The sketch has a byte of the least hash of each bin, 0 where it has none.
+    """
+    hashes = shingle_hashes(text, width)
+    n = len(hashes)
+    if not n:
+        return 0, 0, bytes(BINS)
     counts = np.zeros(BITS, np.int64)
     for at in range(0, n, CHUNK):
         part = hashes[at : at + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -305,8 +318,7 @@ def described(text: str | None, width: int) -> tuple[int, int, bytes]:
     least = np.full(BINS, (1 << 64) - 1, np.uint64)
     np.minimum.at(least, (hashes & np.uint64(BINS - 1)).astype(np.int64), hashes)
     marks = np.where(least == (1 << 64) - 1, 0, (least >> np.uint64(5)) % np.uint64(255) + np.uint64(1)).astype(np.uint8)
-    fp = int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little")
-    return fp, len(np.unique(hashes)), marks.tobytes()
+    return int.from_bytes(np.packbits(2 * counts > n, bitorder="little").tobytes(), "little"), n, marks.tobytes()
 
 
 def _described(width: int):
@@ -340,6 +352,63 @@ def _banded_probes(masks: list[int], thresholds: list[int], similarity: float):
     return run
 
 
+def _hashes(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [shingle_hashes(t, width) for t in batch.column(0).to_pylist()]
+            yield pa.record_batch([np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64)], ["key"])
+
+    return run
+
+
+def rare_shingles(hashes: np.ndarray, similarity: float, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The shingles one of which any set of that similarity has among its own: the first ones in an order that all share.
+
+    Rare ones come first. At least similarity * n of n shingles are in both sets, so that the first n minus that many,
+    and one more, hold the first common one.
+    """
+    n = len(hashes)
+    if not n:
+        return np.zeros(1, np.uint64)
+    weight = np.zeros(n, np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        weight = np.where(frequent[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, weight))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
+
+
+def _rare(width: int, similarity: float, frequent: np.ndarray, counts: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+            texts = batch.column(1).take(pa.array(first)).to_pylist()
+            own = [rare_shingles(shingle_hashes(t, width), similarity, frequent, counts) for t in texts]
+            node = np.repeat(nodes, [len(x) for x in own])
+            yield pa.record_batch([np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64), node], ["key", "node"])
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, node) that are sorted, each of those once whose key another node has too."""
+    last = None
+    for batch in batches:
+        if last is not None:
+            batch = pa.Table.from_batches([last, batch]).combine_chunks().to_batches()[0]
+        if not batch.num_rows:
+            continue
+        key, node = (c.to_numpy() for c in batch.columns)
+        once = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+        batch, key = batch.filter(pa.array(once)), key[once]
+        same = key[1:] == key[:-1]
+        keep = np.r_[same, False] | np.r_[False, same]
+        first = int(np.searchsorted(key, key[-1]))
+        yield batch.slice(0, first).filter(pa.array(keep[:first]))
+        last = batch.slice(first)
+    if last is not None and last.num_rows > 1:
+        yield last
+
+
 def _alike(x: np.ndarray, y: np.ndarray, n: np.ndarray, sketch: np.ndarray, similarity: float) -> np.ndarray:
     """Which pairs of rows may have that similarity by their sizes and sketches."""
     out = np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y])
@@ -537,7 +606,9 @@ def verified_links(clusters: DataFrame, texts: DataFrame, width: int, similarity
 def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 14) -> DataFrame:
     """(doc_id, component_id) of every row: documents whose width-word shingle sets have that Jaccard similarity or more.
 
-    Equal texts are one node. Nodes within radius bits of their fingerprints are candidates; sizes and a sketch drop those that are far off. A bucket gives one link for each node, and what hangs together by these links is a
+    Equal texts are one node. Nodes within radius bits of their fingerprints are candidates, and so are nodes that share
+    one of their rarest shingles, which all nodes of that similarity do, whatever their fingerprints; sizes and a sketch
+    drop those that are far off. A bucket gives one link for each node, and what hangs together by these links is a
     cluster, within which whole shingle sets decide. component_id is the smallest doc_id; null texts count as empty, and
     empty texts are alike. A null doc_id takes its component's smallest doc_id. An empty table gives an empty result.
     """
@@ -547,12 +618,23 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     found = written(rows.mapInArrow(_described(width), "doc_id long, node long, fp long, n long, marks binary"), "described")
     nodes = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("marks").alias("marks"))
     nodes = written(nodes, "nodes")
-    masks, thresholds = plan_probes(co_occurrence(nodes), nodes.count(), radius, BANDED_ROW_COST)
+    n = nodes.count()
+    masks, thresholds = plan_probes(co_occurrence(nodes), n, radius, BANDED_ROW_COST)
     schema = "part int, key long, guest boolean, fp long, node long, n long, marks binary"
     probes = nodes.select("node", "fp", "n", "marks").mapInArrow(_banded_probes(masks, thresholds, similarity), schema)
     probes = probes.repartition(parallelism(spark), "part", "key").sortWithinPartitions("part", "key", "guest", "fp", "node")
     near = written(probes.mapInArrow(_candidates(radius, similarity), "a long, b long").distinct(), "candidates")
-    clusters = connected_components(near).join(nodes.select("node", "doc_id", "n", "marks"), "node")
+    sample = rows.where(F.pmod("node", F.lit(max(1, n // SAMPLE))) == 0).select("text").mapInArrow(_hashes(width), "key long")
+    often = sample.groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(FREQUENT).toArrow()
+    frequent, counts = often["key"].to_numpy().view(np.uint64), often["count"].to_numpy()
+    order = np.argsort(frequent)
+    rare = rows.select("node", "text").mapInArrow(_rare(width, similarity, frequent[order], counts[order]), "key long, node long")
+    rare = rare.repartition(parallelism(spark), "key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long")
+    rare = written(rare, "rare").join(nodes.select("node", "fp", "n", "marks"), "node")
+    rare = rare.select(F.lit(0).alias("part"), "key", F.lit(False).alias("guest"), "fp", "node", "n", "marks")
+    rare = rare.repartition(parallelism(spark), "part", "key").sortWithinPartitions("part", "key", "node")
+    more = written(rare.mapInArrow(_candidates(BITS, similarity), "a long, b long").distinct(), "candidates")
+    clusters = connected_components(near.unionByName(more)).join(nodes.select("node", "doc_id", "n", "marks"), "node")
     clusters = written(clusters, "clusters")
     one = F.col("d.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("d.node") == F.col("e.node"))
     texts = rows.alias("d").join(small_side(clusters.select("node", "doc_id")).alias("e"), one).select("d.node", "d.text")
