@@ -52,14 +52,14 @@ def _is(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False)).cast("double")
 
 
-def feature_columns(value: Column, word: Column, before: Column, far: Column, after: Column) -> list[Column]:
-    """FEATURES of a candidate from its word, the two words before it and the one after it (null: none)."""
+def feature_columns(value: Column, word: Column, before: Column, far: Column, after: Column, lead: Column) -> list[Column]:
+    """FEATURES of a candidate from its word, the two words before it, the one after it (null: none) and what is ahead in the word."""
     size = F.greatest(F.length(value), F.lit(1))
     chars = F.split(value, "")
     counts = F.transform(F.array_distinct(chars), lambda c: (F.length(value) - F.length(F.replace(value, c, F.lit("")))) / size)
     entropy = F.aggregate(counts, F.lit(0.0), lambda s, p: s - F.when(p > 0, p * F.log2(p)).otherwise(0.0))
-    ahead = F.lower(F.concat_ws(" ", far, before, F.regexp_extract(word, rf"^(.*?){CANDIDATE}", 1)))
-    sign = F.concat_ws("", before, F.regexp_extract(word, rf"^(.*?){CANDIDATE}", 1))
+    ahead = F.lower(F.concat_ws(" ", far, before, lead))
+    sign = F.concat_ws("", before, lead)
     return [
         size.cast("double"),
         F.regexp_count(value, F.lit("(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[a-z0-9])|(?<=[0-9])(?=[A-Za-z])")) / size,
@@ -83,8 +83,8 @@ def feature_columns(value: Column, word: Column, before: Column, far: Column, af
     ]
 
 
-def _structure(value: Column, word: Column, before: Column, far: Column, after: Column) -> Column:
-    return F.struct(*(c.alias(n) for c, n in zip(feature_columns(value, word, before, far, after), FEATURES, strict=True)))
+def _structure(value: Column, word: Column, before: Column, far: Column, after: Column, lead: Column) -> Column:
+    return F.struct(*(c.alias(n) for c, n in zip(feature_columns(value, word, before, far, after, lead), FEATURES, strict=True)))
 
 
 def _within(array: Column, body) -> Column:
@@ -93,7 +93,9 @@ def _within(array: Column, body) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Array of (value, word, before, far, after, nth) of the words of a text that hold a candidate string.
+    """Array of (value, word, before, far, after, lead, nth) of all candidate strings in the words of a text.
+
+    lead is what is ahead of the candidate in its word, from the candidate string before it on.
 
     A candidate has 12 characters or more, one of them a digit, or any such string behind a name that announces a secret
     and a sign.
@@ -101,9 +103,18 @@ def candidates(text: Column) -> Column:
 
     def of(words: Column, i: Column) -> Column:
         word = F.get(words, i)
-        value = F.regexp_replace(F.regexp_extract(word, CANDIDATE, 0), TRIMMED, "")
-        value = F.regexp_replace(value, r"^[A-Za-z_.-]{1,40}=(?=.{12})", "")
-        return F.struct(value.alias("value"), word.alias("word"), F.get(words, i - 1).alias("before"), F.get(words, i - 2).alias("far"), F.get(words, i + 1).alias("after"), i.alias("nth"))
+        parts = F.struct(F.regexp_extract_all(word, F.lit(CANDIDATE), F.lit(0)).alias("runs"), F.split(word, CANDIDATE).alias("between"))
+
+        def one(run: Column, ahead: Column) -> Column:
+            value = F.regexp_replace(F.regexp_replace(run, TRIMMED, ""), r"^[A-Za-z_.-]{1,40}=(?=.{12})", "")
+            lead = F.concat(ahead, F.call_function("substring_index", run, value, F.lit(1)))
+            return F.struct(value.alias("value"), word.alias("word"), F.get(words, i - 1).alias("before"), F.get(words, i - 2).alias("far"), F.get(words, i + 1).alias("after"), lead.alias("lead"), i.alias("nth"))
+
+        def all_of(p: Column) -> Column:
+            ahead = lambda k: F.concat(F.coalesce(F.get(p["runs"], k - 1), F.lit("")), F.get(p["between"], k))
+            return F.transform(p["runs"], lambda run, k: one(run, ahead(k)))
+
+        return _within(parts, all_of)
 
     def found(words: Column) -> Column:
         def wanted(w: Column, i: Column) -> Column:
@@ -112,7 +123,7 @@ def candidates(text: Column) -> Column:
             return F.when((F.length(w) >= 12) & (w.rlike("[0-9]") | named) & w.rlike(CANDIDATE), i)
 
         at = F.filter(F.transform(words, wanted), lambda i: i.isNotNull())
-        return F.filter(F.transform(at, lambda i: of(words, i)), lambda c: F.length(c["value"]) >= 12)
+        return F.filter(F.flatten(F.transform(at, lambda i: of(words, i))), lambda c: F.length(c["value"]) >= 12)
 
     return _within(F.split(text, WORD), found)
 
@@ -240,7 +251,7 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, str, str,
 def train(spark: SparkSession, findings: list[tuple[str, str, str, str, str, int]], trees: int = 15, depth: int = 6) -> list[Node]:
     """A forest fitted on labelled findings, whose number bounds what the driver holds."""
     rows = spark.createDataFrame(findings, "value string, word string, before string, far string, after string, label int")
-    made = rows.select(_structure(*(F.col(c) for c in ("value", "word", "before", "far", "after"))).alias("f"), "label")
+    made = rows.select(_structure(*(F.col(c) for c in ("value", "word", "before", "far", "after")), F.call_function("substring_index", F.col("word"), F.col("value"), F.lit(1))).alias("f"), "label")
     got = made.select("f.*", "label").collect()
     x = np.array([r[:-1] for r in got], float)
     return grow_forest(x, np.array([r[-1] for r in got], float), trees, depth)
@@ -255,7 +266,7 @@ def with_findings(docs: DataFrame, forest: list[Node], least: float = 0.5, name:
 
     def scored(c: Column) -> Column:
         value, word = c["value"], c["word"]
-        return F.struct(value.alias("value"), c["nth"].alias("nth"), _structure(value, word, c["before"], c["far"], c["after"]).alias("f"))
+        return F.struct(value.alias("value"), c["nth"].alias("nth"), _structure(value, word, c["before"], c["far"], c["after"], c["lead"]).alias("f"))
 
     found = F.transform(
         F.transform(candidates(F.coalesce(F.col("text"), F.lit(""))), scored),
@@ -278,6 +289,7 @@ def redacted(docs: DataFrame, forest: list[Node], least: float = 0.5, mark: str
     hidden = "__findings"
     rows = with_findings(docs, forest, least, hidden)
     found = F.array_distinct(F.transform(hidden, lambda c: c["value"]))
+    found = F.array_sort(found, lambda a, b: F.length(b) - F.length(a))  # else one that is part of another would break it
     text = F.when(F.size(hidden) > 0, F.aggregate(found, F.col("text"), lambda t, s: F.replace(t, s, F.lit(mark)))).otherwise(F.col("text"))
     rows = rows.withColumn("text", text)
     if "n_chars" in docs.columns:
