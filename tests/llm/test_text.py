@@ -427,3 +427,11 @@ def test_every_string_of_a_word_is_scanned(spark):
     assert got == wanted
     masked = {r.doc_id: r.text for r in X.redacted(docs, forest).collect()}
     assert not any(key in t for t in masked.values() for key in KEYS) and masked[0] == 'the line {"user":"service-account-01","api_key":"[SECRET]"} ends here'
+
+
+def test_letters_only_secrets(spark):
+    forest = X.train(spark, X.labelled_findings())
+    texts = ["password = correcthorsebatterystaple", "secret: AbcdefGhijklmnop", "the api_key: QwLmZrTyPsNdKvBx here", "pwd = kWzRtQmXbVnLpSdF"]
+    docs = spark.createDataFrame([*enumerate(texts), (9, "a plain misunderstanding of responsibilities")], "doc_id long, text string")
+    got = {(r.doc_id, r.secret) for r in X.secrets(docs, forest).collect()}
+    assert got == {(0, "correcthorsebatterystaple"), (1, "AbcdefGhijklmnop"), (2, "QwLmZrTyPsNdKvBx"), (3, "kWzRtQmXbVnLpSdF")}

@@ -119,7 +119,7 @@ def candidates(text: Column) -> Column:
     def found(words: Column) -> Column:
         def wanted(w: Column, i: Column) -> Column:
             sign = F.concat_ws(" ", F.get(words, i - 2), F.get(words, i - 1), w)
-            named = w.rlike("[:=\"'`]") & sign.rlike(rf"(?i)({ANNOUNCES})[\"']?\s*[:=]")
+            named = sign.rlike(rf"(?i)({ANNOUNCES})[\"']?\s*[:=]")
             return F.when((F.length(w) >= 12) & (w.rlike("[0-9]") | named) & w.rlike(CANDIDATE), i)
 
         at = F.filter(F.transform(words, wanted), lambda i: i.isNotNull())
@@ -204,7 +204,9 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, str, str,
         lambda: "xoxb-" + pick("0123456789", 12) + "-" + pick(base62, 24), lambda: "AIza" + pick(base62 + "_-", 35),
         lambda: "eyJ" + pick(base62, 20, 30) + "." + pick(base62 + "_-", 40, 60) + "." + pick(base62 + "_-", 30, 43),
         lambda: pick(base62 + "_-.~", 14, 24), lambda: "glpat-" + pick(base62, 20), lambda: "npm_" + pick(base62, 36),
+        lambda: pick(base62[:52], 14, 32), lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(7, 12))),
     ]
+    lettered = {12, 13}  # candidates only behind a name and a sign
     known = {3, 4, 5, 6, 7, 8, 10, 11}
     names = ["token", "secret", "password", "api_key", "apiKey", "access_key", "auth_token", "client_secret", "aws_secret_access_key", "private_key", "pwd", "key", "TOKEN", "API_KEY", "Bearer"]
     other_names = ["commit", "sha256", "md5", "checksum", "digest", "uuid", "id", "build", "version", "etag", "file", "path", "ref", "rev", "order", "invoice", "serial", "url", "hash"]
@@ -229,7 +231,11 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, str, str,
                 out.append((value, value, plain(), plain(), plain(), 1))
                 continue
         else:
-            label, kind = 0, rng.randrange(len(other) + 1)
+            label, kind = 0, rng.randrange(len(other) + 2)
+            if kind > len(other):
+                value = "".join(rng.choice(syllables) for _ in range(rng.randint(6, 10)))
+                out.append((value, value, plain(), rng.choice(names) + rng.choice([":", "="]), plain(), 0))
+                continue
             if kind == len(other):
                 value, name = rng.choice(holders), rng.choice(names)
             else:
@@ -242,7 +248,7 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, str, str,
         if style < 0.5:
             out.append((value, f"{quote}{value}{quote}", rng.choice(["=", ":", ":="]), name, plain(), label))
         elif style < 0.75:
-            out.append((value, f"{quote}{value}{quote}", name + rng.choice([":", "=", ""]), plain(), plain(), label))
+            out.append((value, f"{quote}{value}{quote}", name + rng.choice([":", "="] if label and kind in lettered else [":", "=", ""]), plain(), plain(), label))
         else:
             out.append((value, f"{name}={quote}{value}{quote}", plain(), plain(), plain(), label))
     return out
