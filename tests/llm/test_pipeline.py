@@ -42,3 +42,19 @@ def test_same_as_sql(spark, name):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_rows(spark, name):
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0 or name == "op10_secret_scan"  # none is planted there
+
+
+def test_foreign_and_junk_texts_go(spark):
+    """Shuffled letters and an unlearned language go; clean texts and those that switch between all languages stay."""
+    import random
+
+    sf, rng = "/root/testdata/sf0.01", random.Random(3)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    own = {r.lang: r.text.split()[:40] for r in docs.where("lang IS NOT NULL AND length(text) BETWEEN 900 AND 3000").orderBy("doc_id").collect()}
+    clean = [" ".join(w) for w in own.values()] + [" ".join(x for w in own.values() for x in w)]
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz      ") for _ in range(400)) for _ in range(5)]
+    foreign = ["wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa każdy człowiek posiada wszystkie prawa i wolności zawarte w niniejszej deklaracji bez względu na różnice rasy koloru płci języka wyznania", "kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä jokainen on oikeutettu kaikkiin tässä julistuksessa esitettyihin oikeuksiin ja vapauksiin ilman minkäänlaista rotuun väriin sukupuoleen kieleen uskontoon perustuvaa erotusta"]
+    more = spark.createDataFrame([(-k - 1, t, None) for k, t in enumerate(clean + junk + foreign)], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(more), sf).select("doc_id").collect()}
+    assert {k for k in kept if k < 0} == {-k - 1 for k in range(len(clean))}
+    assert len([k for k in kept if k >= 0]) > 0.99 * docs.count()
