@@ -322,7 +322,7 @@ def test_words_are_encoded_as_texts_are():
     from tokenizers import Tokenizer
 
     t, known, rng = Tokenizer.from_file(PATH), K.WordIds(PATH), random.Random(1)
-    marks = ["İstanbul", "ʹʹ", "ÉCOLE", "ŉ", "ſs", "ǅ", "ﬀ", "Жук", "ͅα", "Ά", "'s", "'LL", "!!", "***", ".", ",", "<|endoftext|>", "é", "é", "ΣΑΣ", "漢字", "12", "ᲀ", "ß", "\x85", "\x1c", "ﬁ", "a'b", "-", '"', "́x"]
+    marks = ["İstanbul", "ʹʹ", "ÉCOLE", "ŉ", "ſs", "ǅ", "ﬀ", "Жук", "ͅα", "Ά", "'s", "'LL", "!!", "***", ".", ",", "<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "x<|StartOfText|>Y", "<|", "|>", "é", "é", "ΣΑΣ", "漢字", "12", "ᲀ", "ß", "\x85", "\x1c", "ﬁ", "a'b", "-", '"', "́x"]
     texts = [rng.choice(["", " ", "\n"]).join(rng.choice([prose(rng, 1), prose(rng, 1).upper(), rng.choice(marks)]) for _ in range(rng.randint(0, 30))) for _ in range(600)]
     assert known.ids(texts) == [np.array(x.ids, "<u4").tobytes() for x in t.encode_batch(texts, add_special_tokens=False)]
 

@@ -44,6 +44,7 @@ class WordIds:
 
     The vocabulary lower-cases texts and no token crosses white space, so a text's ids are its words' ids. A new word
     that is letters with punctuation behind it is two pre-tokens; letter runs are encoded together, a space apart.
+    Added tokens are matched before lower-casing: a word that may hold one keeps its case and is encoded as it is.
     """
 
     def __init__(self, path: str) -> None:
@@ -59,11 +60,12 @@ class WordIds:
         self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a pre-token
         for token, k in vocab.items():
             self.last[k] = token.endswith("</w>")
+        self.added = sorted({t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         gc.disable()  # what follows makes many objects and no cycles
         try:
-            words = [(t or "").encode().lower().split() for t in texts]
+            words = [self.split((t or "").encode()) for t in texts]
             if len(self.known) > CACHED_WORDS:
                 self.known, self.old = {}, self.known
             missing = set().union(*words).difference(self.known)
@@ -76,6 +78,12 @@ class WordIds:
         finally:
             gc.enable()
 
+    def split(self, raw: bytes) -> list[bytes]:
+        low = raw.lower()
+        if not any(t in low for t in self.added):
+            return low.split()
+        return [w if any(t in w.lower() for t in self.added) else w.lower() for w in raw.split()]
+
     def learn(self, words: set[bytes]) -> None:
         known, runs, parts, whole = self.known, {}, [], []
         for w in words:
