@@ -208,40 +208,40 @@ def _pack(capacity: int):
     return run
 
 
-def _dealt(pieces: DataFrame, each: int) -> DataFrame:
-    """pieces, from a written table, with the number of a partition that gets each rows or fewer in the mean."""
-    parts = max(1, -(-pieces.count() // each))
-    return pieces.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)))
-
-
 def _bins(packed: DataFrame) -> int:
     return packed.groupBy("part").agg(F.max("n_bins").alias("n")).agg(F.sum("n")).first()[0] or 0
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, each: int = 100_000, rounds: int = 3) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 2048, each: int = 100_000) -> DataFrame:
     """pieces with sequence_id and offset, gapless from 0 in every sequence; pieces must be a written table.
 
-    A full piece is a sequence by itself. each bounds what one task packs; rounds bounds the exchanges.
+    A full piece is a sequence by itself. each bounds what one task packs. Partitions with a gap exchange what isn't in
+    full sequences until a round saves none.
     """
     names = [f.split()[0] for f in PIECES.split(", ")]
     out = [pieces.where(F.col("length") >= capacity).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    dealt = 0  # partitions so far: each has a number of its own
 
     def packed(rows: DataFrame) -> DataFrame:
-        return written(_dealt(rows.select(*names), each).groupBy("part").applyInArrow(_pack(capacity), PACKED), "packed")
+        nonlocal dealt
+        parts = max(1, -(-rows.count() // each))
+        part = F.pmod(F.monotonically_increasing_id(), F.lit(parts)) + F.lit(dealt)
+        dealt += parts
+        return written(rows.select(*names).withColumn("part", part).groupBy("part").applyInArrow(_pack(capacity), PACKED), "packed")
 
-    def keep(rows: DataFrame, turn: int) -> None:
-        out.append(rows.select(*names, (F.lit(turn) * F.lit(1 << 58) + F.col("part") * F.lit(1 << 28) + F.col("bin")).alias("sequence_id"), "offset"))
+    def keep(rows: DataFrame) -> None:
+        out.append(rows.select(*names, (F.col("part") * F.lit(1 << 28) + F.col("bin")).alias("sequence_id"), "offset"))
 
-    now, turn, open_ = packed(pieces.where(F.col("length") < capacity)), 0, F.col("n_bins") > F.col("bound")
+    now, open_ = packed(pieces.where(F.col("length") < capacity)), F.col("n_bins") > F.col("bound")
     pooled = F.col("load") < capacity
-    while turn < rounds and (parts := now.where(open_).agg(F.count_distinct("part")).first()[0]) > 1:
+    while (parts := now.where(open_).agg(F.count_distinct("part")).first()[0]) > 1:
         pool = written(now.where(open_ & pooled), "pool")
         before = pool.agg(F.count_distinct("part", "bin")).first()[0]
         after = packed(pool)
         if _bins(after) >= before:
             break
-        keep(now.where(~(open_ & pooled)), turn)
-        now, turn = after, turn + 1
+        keep(now.where(~(open_ & pooled)))
+        now = after
     # the emptiest sequence of each partition, which its bound may round up
     least = now.groupBy("part").agg(F.min("load").alias("least"))
     now = now.join(F.broadcast(least) if parts < 10_000 else least, "part")
@@ -250,19 +250,19 @@ def pack(pieces: DataFrame, capacity: int = 2048, each: int = 100_000, rounds: i
     if before > 1:
         after = packed(last)
         if _bins(after) < before:
-            keep(now.where(~((F.col("load") == F.col("least")) & (F.col("least") < capacity))), turn)
-            now, turn = after, turn + 1
-    keep(now, turn)
+            keep(now.where(~((F.col("load") == F.col("least")) & (F.col("least") < capacity))))
+            now = after
+    keep(now)
     whole = out[0]
     for rows in out[1:]:
         whole = whole.unionByName(rows)
     return whole
 
 
-def packed_documents(docs: DataFrame, path: str, capacity: int = 2048, each: int = 100_000, rounds: int = 3) -> DataFrame:
+def packed_documents(docs: DataFrame, path: str, capacity: int = 2048, each: int = 100_000) -> DataFrame:
     """Every piece of docs(doc_id, text) with its sequence.
 
     A document is its ids by the tokenizer file at path, then id 0; a null or empty text is that id alone. Rows with
     equal or null doc_id are documents of their own. An empty table gives an empty result; other columns are ignored.
     """
-    return pack(written(token_pieces(docs, path, capacity), "pieces"), capacity, each, rounds)
+    return pack(written(token_pieces(docs, path, capacity), "pieces"), capacity, each)
