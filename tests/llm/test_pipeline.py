@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.compare import same
@@ -25,10 +26,14 @@ def test_run(spark):
 
 
 def test_stages_of_edges(spark, edges):
-    docs = edges.select("doc_id", "text", "lang", "source", "n_chars")
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs, "/root/testdata/sf0.001").count() > 0
-        assert stage(spark, docs.where("false"), "/root/testdata/sf0.001").count() == 0
+    clashing = {"lang_pred": F.lit("mine"), "lang_score": F.lit(2.0), "rate": F.lit(0.0), "_p": F.lit(0.5), "h1": F.lit(1), "__findings": F.lit("mine")}
+    docs, sf = edges.withColumns(clashing), "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        rows = out.collect()
+        assert rows and stage(spark, docs.where("false"), sf).count() == 0, name
+        if name != "best_fit_packing":
+            assert out.columns == docs.columns and {(r.lang_pred, r.lang_score, r.rate, r.h1, r["__findings"]) for r in rows} == {("mine", 2.0, 0.0, 1, "mine")}, name
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))

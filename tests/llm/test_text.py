@@ -7,8 +7,9 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pytest
 import public_tokenizers
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import prose
@@ -61,6 +62,28 @@ def test_fingerprints_of_nothing(none, edges):
     assert alone.near_next == 1 and alone.n_chars > 0
 
 
+def test_hot_ids_are_cut(spark, monkeypatch):
+    """Many rows without doc_id or with one, repeated ones among them, go to buckets of their own, and each has its row."""
+    monkeypatch.setattr(D, "HOT", 20)
+    monkeypatch.setattr(D, "CHUNK", 7)
+    rng = random.Random(1)
+    rows = [(None, prose(rng, 8)) for _ in range(300)] + [(7, prose(rng, 8)) for _ in range(200)] + [(k, prose(rng, 8)) for k in range(40, 90)]
+    rows += [(7, rows[310][1])] * 60 + [(None, rows[5][1])] * 25 + [(1 << 62, "far")]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "doc_id long, text string")
+    keys = df.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), F.xxhash64("text").alias("h"))
+    bucket = D.ordered_buckets(keys, 25)
+    sizes = keys.distinct().groupBy(bucket("key", "h").alias("b")).count().collect()
+    assert max(r["count"] for r in sizes) < 60 and len(sizes) > 15
+    got = D.compare_neighbours(df, each=25).collect()
+    order = [(r.doc_id, r.text) for r in df.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).collect()]
+    wanted = Counter()
+    for k, (i, text) in enumerate(order):
+        after, half = order[(k + 1) % len(order)][1], len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        wanted[i, len(text), hashlib.sha256(edited.encode()).hexdigest(), D.likeness(D.sketch(text), D.sketch(after))] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.near_next) for r in got) == wanted
+
+
 def test_sketches():
     rng = random.Random(3)
     words = prose(rng, 4000).split()
@@ -71,7 +94,36 @@ def test_sketches():
     assert D.containment(b, both) == 1 and both.n == pytest.approx(b.n + c.n, rel=0.15)
     assert D.likeness(a, a) == 1 and D.likeness(D.sketch(""), D.sketch(" ")) == 1 and D.likeness(D.sketch(""), a) == 0
     back = D.parsed(str(a))
-    assert back.n == a.n and back.below == a.below and (back.kept == a.kept).all()
+    assert back.n == a.n and back.below == a.below and (back.kept == a.kept).all() and back.scaled == a.scaled
+    assert (a.under() < 2**61).all() and (a.kept[a.scaled :] >= 2**61).all() and len(a.under()) == pytest.approx(a.n / 8, rel=0.2)
+    assert D.scaled_containment(b, a) > 0.97 and D.scaled_likeness(a, c) < 0.02 and D.scaled_likeness(D.sketch(""), D.sketch("")) is None
+
+
+def plain_sketch(text):
+    """The hashes under an eighth, and the 32 smallest; which hashes both of two such sketches hold whole."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    sets = {" ".join(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else ({" ".join(words)} if words else set())
+    hashes = sorted(xxhash.xxh64_intdigest(x.encode(), 0) for x in sets)
+    under = [h for h in hashes if h < 2**61]
+    return hashes, under, (hashes if len(hashes) <= 32 else max(under, hashes[:32], key=len))
+
+
+def test_figures_are_those_of_plain_sketches(edges, small):
+    texts = [r.text or "" for df in (edges, small) for r in df.select("text").collect()]
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = rng.choice(texts), rng.choice(texts)
+        b = b if rng.random() < 0.5 else a[: len(a) // 2] + b[: len(a) // 2]
+        (p, pu, pk), (q, qu, qk) = plain_sketch(a), plain_sketch(b)
+        x, y = D.sketch(a), D.sketch(b)
+        assert str(x) == f"{len(p):x}:{''.join(f'{h:016x}' for h in pu)}:{''.join(f'{h:016x}' for h in pk[len(pu) :])}"
+        both = len(set(pu) & set(qu))
+        assert D.scaled_likeness(x, y) == (both / len(set(pu) | set(qu)) if pu or qu else None)
+        assert D.scaled_containment(x, y) == (both / len(pu) if pu else None)
+        below = min(2**64 if len(k) == len(h) else max(2**61, k[-1] + 1) for h, k in ((p, pk), (q, qk)))
+        one, two = {h for h in pk if h < below}, {h for h in qk if h < below}
+        assert D.likeness(x, y) == (len(one & two) / len(one | two) if one or two else float(len(p) == len(q)))
+        assert D.containment(x, y) == (len(one & two) / len(one) if one else float(not p))
 
 
 # language ID
@@ -122,7 +174,22 @@ def test_language_edges(edges, none, spark):
     assert L.languages(none, model).count() == 0
     digits = spark.createDataFrame([(1, "12 34 !!")], "doc_id long, text string")
     assert L.languages(digits, model).first().lang_pred == "und"
-    assert L.with_language(edges, model).columns == [*edges.columns, "lang_pred", "lang_score"]
+    clashing = edges.withColumns({"lang_pred": F.lit("mine"), "lang_score": F.lit(2.0)})
+    kept = L.in_known_languages(clashing, model, L.lexicon(edges, model))
+    assert kept.schema == clashing.schema and {(r.lang_pred, r.lang_score) for r in kept.collect()} == {("mine", 2.0)}
+    assert L.in_known_languages(clashing, None, L.lexicon(none, None)).count() == 0
+
+
+def test_every_word_is_learned_from(spark):
+    """Words that come only at the end of long texts decide; texts of any length are cut nowhere."""
+    rng = random.Random(6)
+    own = {lang: [prose(rng, 1, tail) + lang for _ in range(50)] for lang, tail in (("xa", "uvw"), ("xb", "xyz"))}
+    docs = [(k, " ".join([prose(rng, 600), *rng.choices(own[lang], k=150)]), lang) for k, lang in enumerate(["xa", "xb"] * 12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = L.learn(df)
+    tests = spark.createDataFrame([(k, " ".join(rng.choices(own[lang], k=20)), lang) for k, lang in enumerate(["xa", "xb"] * 5)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in L.languages(tests.where("lang = 'xa'"), model).collect()} == {"xa"}
+    assert {r.lang_pred for r in L.languages(tests.where("lang = 'xb'"), model).collect()} == {"xb"}
 
 
 # mixing
@@ -146,13 +213,15 @@ def test_rates_are_a_projected_gradient(spark):
     rng = np.random.default_rng(5)
     p, t = rng.dirichlet([0.5] * 3, 400), rng.integers(1, 100, 400).astype(float)
     table = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, p, strict=True)], "tokens long, p array<double>").repartition(7)
-    moves, now, target = M.fit_rates(table, [0.9, 0.09, 0.01], most=1.5)
+    got = M.fit_rates(table, [0.9, 0.09, 0.01], most=1.5)
+    moves, now, target = got.moves, got.totals, got.targets
     rate, mass = np.ones(400), t @ p
     for _ in moves:
         rate = np.clip(rate - p @ (((rate * t) @ p - target) / mass), 0, 1.5)
     assert np.allclose((rate * t) @ p, now) and (rate == 1.5).any()
-    free, reached, wanted = M.fit_rates(table, [0.5, 0.3, 0.2])
-    assert np.abs(reached - wanted).max() <= 1e-4 * wanted.sum() and free
+    assert not got.met and np.abs(rate - [r[0] for r in table.select(got.column(F.col("p"))).collect()]).max() < 1e-9
+    free = M.fit_rates(table, [0.5, 0.3, 0.2])
+    assert np.abs(free.totals - free.targets).max() <= 1e-4 * free.targets.sum() and free.moves and free.met
 
 
 def test_mixing_edges(spark, edges, none):
@@ -163,9 +232,28 @@ def test_mixing_edges(spark, edges, none):
     assert out.count() == edges.count() and out.where("rate IS NULL OR rate < 0").count() == 0
     assert M.mixed(none, model, weights).count() == 0
     assert M.learn(none, labels, M.quality_domain(), list(weights)).words == {}
-    kept = M.sampled(edges, out.withColumn("rate", F.lit(1.0)))
-    assert kept.columns == edges.columns and kept.count() == edges.count()
-    assert M.sampled(edges.where("doc_id IS NOT NULL"), out.withColumn("rate", F.lit(0.0))).count() == 0
+    clashing = edges.withColumns({"rate": F.lit(0.0), "P": F.lit("x"), "Tokens": F.lit(1)})
+    kept = M.sampled(clashing, model, weights, "clean")
+    assert kept.columns == clashing.columns and 0 < kept.count() <= edges.count() and M.sampled(none, model, weights).count() == 0
+
+
+def test_rows_are_sampled_by_their_own_text(spark):
+    """Texts of rate 1 stay, whatever other texts share their doc_id; texts that repeat stay or go together."""
+    class Marked(M.Classifier):
+        def posterior(self, stats, own):
+            return np.array([1.0, 0.0] if b"good" in own else [0.0, 1.0])
+
+    model = Marked(["good", "bad"], {}, np.zeros((M.SHAPES, 2)))
+    df = spark.createDataFrame([(k % 50, f"{'good' if k < 50 else 'bad'} text of some words") for k in range(100)] + [(None, "good text of some words")], "doc_id long, text string")
+    got = M.sampled(df, model, {"good": 0.999999, "bad": 0.000001}, "good").collect()
+    assert len(got) == 51 and {r.text[:4] for r in got} == {"good"}
+
+
+def test_words_that_tell_are_counted_on_executors(spark):
+    rng = random.Random(3)
+    rows = [("a" if k % 2 else "b", prose(rng, 30) + (" Signal!" if k % 2 else " noise") + " both") for k in range(60)]
+    got = M.telling_words(spark.createDataFrame(rows, "domain string, text string"), {"a": 30, "b": 30}, 2)
+    assert got == [b"noise", b"signal"]
 
 
 # repeated strings

@@ -11,10 +11,13 @@ from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir); a local one only in local mode without it."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tickspark-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tickspark-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -37,6 +40,19 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, behind as many underscores as no column of df has it, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
+def small_side(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df, a written table, marked to be sent to every task if it has at most most rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node in edges; root is the smallest node reachable.
 
@@ -77,8 +93,7 @@ def picked(df: DataFrame, by: str, id_: str, most: int, spare: int = 4) -> DataF
     shuffled, so that a frequent value is no more work for a task than a rare one.
     """
     counts = written(df.groupBy(by).agg(F.count("*").alias("__n")), "counts")
-    counts = F.broadcast(counts) if counts.count() < 100_000 else counts
     share = F.pmod(F.xxhash64(F.col(id_)), F.lit(1 << 52)) / F.lit(1 << 52)
-    rows = df.withColumn("__h", share).join(counts, by).where(F.col("__h") * F.col("__n") <= spare * most)
+    rows = df.withColumn("__h", share).join(small_side(counts, 100_000), by).where(F.col("__h") * F.col("__n") <= spare * most)
     order = Window.partitionBy(by).orderBy("__h", id_)
     return rows.withColumn("__nth", F.row_number().over(order)).where(F.col("__nth") <= most).select(*df.columns)

@@ -2,7 +2,9 @@
 
 Every word has the sum of the weights of its affixes, character n-grams and lexicon entry for each language; learned
 transition weights join neighbouring words. Forward-backward gives each word its language posterior, also in texts
-that switch languages; a document's language has the largest share of its words' posteriors.
+that switch languages; a document's language has the largest share of its words' posteriors. As posteriors are
+normalised over the learned languages, texts in none of them are told by words: few of theirs are in the lexicon of the
+language that the field gives them.
 """
 
 from __future__ import annotations
@@ -14,14 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tickspark.llm.common import picked
+from tickspark.llm.common import picked, small_side, written
 
 FEATURE_BITS = 17
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0x27D4EB2F165667C5], np.uint64)
 #: Chunk of words that is scanned at once, words scored together, and words whose scores a worker keeps.
-CHUNK, AT_ONCE, CACHED_WORDS = 32, 150_000, 500_000
+CHUNK, AT_ONCE, CACHED_WORDS = 32, 150_000, 300_000
 UNKNOWN = "und"
 
 
@@ -114,59 +115,89 @@ def posteriors(score: np.ndarray, sizes: np.ndarray, step: np.ndarray) -> np.nda
     return _normal(alpha[row, col])
 
 
+#: Letters of a word that tells learned languages from others; shorter ones come in many.
+LEAST_LETTERS = 3
+
+
+@dataclass
+class Lexicon:
+    """Words with the languages whose documents have them, as bits, and the least share of known words in a text."""
+
+    words: dict[str, int]
+    least: float
+
+    def bits(self, word: str) -> int:
+        """The languages that have this word; -1 for a word that doesn't count."""
+        return self.words.get(word, 0) if len(word) >= LEAST_LETTERS else -1
+
+    def wanting(self, n: np.ndarray, have: np.ndarray) -> np.ndarray:
+        """Which texts, have of whose n words are known, have significantly fewer than the least share."""
+        return have < self.least * n - 2 * np.sqrt(n * self.least * (1 - self.least)) - 1
+
+
 class Labeller:
-    """Labels the words of texts; keeps the scores of words it has seen."""
+    """Labels the words of texts; keeps the scores and lexicon entries of words it has seen."""
 
-    def __init__(self, model: Model) -> None:
-        self.model, self.known, self.table = model, {}, np.zeros((1, len(model.langs)))
+    def __init__(self, model: Model, lexicon: Lexicon | None = None) -> None:
+        self.model, self.lexicon = model, lexicon or Lexicon({}, 0.0)
+        self.known, self.table, self.bits = {}, np.zeros((1, len(model.langs))), np.full(1, -1)
 
-    def label(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(word posteriors, words of each text)."""
+    def label(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word posteriors, words of each text, languages that have each word)."""
         words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]
         if len(self.known) > CACHED_WORDS:
-            self.known, self.table = {}, self.table[:1]
+            self.known, self.table, self.bits = {}, self.table[:1], self.bits[:1]
         new = [w for w in set().union(*words) if w not in self.known]
         own = [letters(w.decode("utf-8", "surrogatepass").lower()) for w in new]
         if named := sorted(filter(None, set(own))):
             at = dict(zip(named, range(len(self.table), len(self.table) + len(named)), strict=True))
             self.table = np.concatenate([self.table, self.model.scores(named)])
+            self.bits = np.concatenate([self.bits, np.fromiter(map(self.lexicon.bits, named), np.int64, len(named))])
         self.known.update((w, at[o] if o else 0) for w, o in zip(new, own, strict=True))
         ids = [np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws)) for ws in words]
         ids = [x[x > 0] for x in ids]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        if not sizes.sum():
-            return np.zeros((0, len(self.model.langs))), sizes
-        return posteriors(self.table[np.concatenate(ids)], sizes, self.model.step), sizes
-
-    def documents(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
-        """(language, share of the words' posteriors) of each text, a bounded number of words at a time."""
+        every = np.concatenate([*ids, np.zeros(0, np.int64)])
+        if not len(every):
+            return np.zeros((0, len(self.model.langs))), sizes, every
+        return posteriors(self.table[every], sizes, self.model.step), sizes, self.bits[every]
+
+    def counted(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text: mean word posteriors, words, words that count, those in the lexicon of their own language."""
+        p, sizes, bits = self.label(texts)
+        doc = np.repeat(np.arange(len(texts)), sizes)
+        share = np.stack([np.bincount(doc, p[:, j], len(texts)) for j in range(p.shape[1])], axis=1).astype(float)
+        share /= np.maximum(sizes, 1)[:, None]
+        counts = bits >= 0
+        known = counts & ((bits >> p.argmax(axis=1)) & 1 > 0)
+        return share, sizes, *(np.bincount(doc, x, len(texts)) for x in (counts, known))
+
+    def documents(self, texts: list[str | None]) -> Iterator[tuple[str, float, bool]]:
+        """(language, share of the words' posteriors, whether it is in none) of each text, a bounded number of words at a time."""
         at, held = 0, 0
         for k, t in enumerate([*texts, None], start=1):
             held += len(t or "") // 5 + 1
             if k > len(texts) or held > AT_ONCE:
-                own = texts[at : min(k, len(texts))]
-                p, sizes = self.label(own)
-                doc = np.repeat(np.arange(len(own)), sizes)
-                share = np.stack([np.bincount(doc, p[:, j], len(own)) for j in range(p.shape[1])], axis=1).astype(float)
-                share /= np.maximum(sizes, 1)[:, None]
-                best = share.argmax(axis=1)
-                for d in range(len(own)):
-                    yield (self.model.langs[best[d]], float(min(1.0, share[d, best[d]]))) if sizes[d] else (UNKNOWN, 0.0)
+                share, sizes, n, have = self.counted(texts[at : min(k, len(texts))])
+                best, none = share.argmax(axis=1), self.lexicon.wanting(n, have) | (sizes == 0)
+                for d in range(len(sizes)):
+                    yield (self.model.langs[best[d]], float(min(1.0, share[d, best[d]])), bool(none[d])) if sizes[d] else (UNKNOWN, 0.0, True)
                 at, held = k, 0
 
 
 def word_languages(text: str, model: Model) -> list[tuple[str, str]]:
     """(word, language) of every white-space separated word of a text that has a letter."""
-    p, _ = Labeller(model).label([text])
+    p, _, _ = Labeller(model).label([text])
     words = [w for w in text.split() if letters(w)]
     return [(w, model.langs[k]) for w, k in zip(words, p.argmax(axis=1), strict=True)]
 
 
-def fit(examples: list[tuple[str, list[str]]], rounds: int = 40, length: int = 64, ridge: float = 1e-5, seed: int = 7) -> Model | None:
-    """A model of (language, words) examples.
+def fit(examples: list[tuple[str, list[str]]], epochs: int = 12, length: int = 64, batch: int = 512, ridge: float = 1e-5, seed: int = 7) -> Model | None:
+    """A model of (language, words) examples, every word of which is used.
 
-    Training sequences put stretches of one to three examples one after another, so that transitions between
-    languages are seen; the conditional likelihood is maximised by Adam with exact forward-backward gradients.
+    Texts are cut into pieces of 8 to 64 words, which follow one another in random order, so that transitions between
+    languages are seen; the whole is cut into sequences. The conditional likelihood is maximised by Adam, a batch of
+    sequences a step, with exact forward-backward gradients.
     """
     examples = [(lang, ws) for lang, raw in examples if (ws := [o for w in raw if (o := letters(w.lower()))])]
     langs = sorted({lang for lang, _ in examples})
@@ -174,45 +205,42 @@ def fit(examples: list[tuple[str, list[str]]], rounds: int = 40, length: int = 6
         return None
     rng, number = np.random.default_rng(seed), {lang: k for k, lang in enumerate(langs)}
     vocab: dict[str, int] = {}
-    coded = [(number[lang], [vocab.setdefault(w, len(vocab)) for w in ws]) for lang, ws in examples]
-    x, y = [], []
-    order = [k for _ in range(2) for k in rng.permutation(len(coded))]
-    at = 0
-    while at < len(order):
-        parts = [coded[order[min(at + j, len(order) - 1)]] for j in range(int(rng.integers(1, 4)))]
-        at += len(parts)
-        each = length // len(parts) + 1
-        w, lab = [], []
-        for label, ids in parts:
-            own = (ids * (each // len(ids) + 1))[: each] if len(ids) < each else ids[(s := int(rng.integers(0, len(ids) - each + 1))) : s + each]
-            w += own
-            lab += [label] * len(own)
-        x.append(w[:length])
-        y.append(lab[:length])
-    x, y = np.array(x), np.array(y)
-    k, n = len(langs), x.size
+    pieces: list[tuple[int, np.ndarray]] = []
+    for lang, ws in examples:
+        ids, at = np.fromiter((vocab.setdefault(w, len(vocab)) for w in ws), np.int32, len(ws)), 0
+        while at < len(ids):
+            size = int(rng.integers(8, 65))
+            pieces.append((number[lang], ids[at : at + size]))
+            at += size
+    order = rng.permutation(len(pieces))
+    x = np.concatenate([pieces[k][1] for k in order])
+    y = np.repeat([pieces[k][0] for k in order], [len(pieces[k][1]) for k in order])
+    rows = -(-len(x) // length)
+    x, y = np.resize(x, (rows, length)), np.resize(y, (rows, length))  # the last sequence is filled from the first
+    k = len(langs)
     pairs = features(list(vocab))[0]
     word, feature = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
     params = [np.zeros((1 << FEATURE_BITS, k)), np.eye(k)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    truth = np.eye(k)[y]
-    for turn in range(1, rounds + 1):
+    batches = [b for _ in range(max(epochs, -(-40 * batch // rows))) for b in np.array_split(rng.permutation(rows), -(-rows // batch))]
+    for turn, own in enumerate(batches, start=1):
         weights, move = params
-        step = np.exp(move)
-        score = np.stack([np.bincount(word, weights[feature, j], len(vocab)) for j in range(k)], axis=1)[x]
+        step, at, n = np.exp(move), x[own], len(own) * length
+        truth = np.eye(k)[y[own]]
+        score = np.stack([np.bincount(word, weights[feature, j], len(vocab)) for j in range(k)], axis=1)[at]
         e = np.exp(score - score.max(axis=2, keepdims=True))
         alpha, beta = np.empty_like(e), np.empty_like(e)
-        now = np.full((len(x), k), 1 / k)
+        now = np.full((len(own), k), 1 / k)
         for t in range(length):
             now = alpha[:, t] = _normal((now @ step) * e[:, t])
-        now = np.full((len(x), k), 1 / k)
+        now = np.full((len(own), k), 1 / k)
         for t in range(length - 1, -1, -1):
             beta[:, t] = now
             now = _normal((e[:, t] * now) @ step.T)
         wrong = (_normal(alpha * beta) - truth) / n
         both = _normal(alpha[:, :-1, :, None] * step * (e * beta)[:, 1:, None, :], (2, 3))
         seen = truth[:, :-1, :, None] * truth[:, 1:, None, :]
-        by_word = np.stack([np.bincount(x.ravel(), wrong[..., j].ravel(), len(vocab)) for j in range(k)], axis=1)
+        by_word = np.stack([np.bincount(at.ravel(), wrong[..., j].ravel(), len(vocab)) for j in range(k)], axis=1)
         grads = [
             np.stack([np.bincount(feature, by_word[word, j], 1 << FEATURE_BITS) for j in range(k)], axis=1) + ridge * weights,
             (both - seen).sum(axis=(0, 1)) / n + ridge * move,
@@ -228,15 +256,20 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1
 
 
-def learn(docs: DataFrame, per_lang: int = 400, words: int = 128) -> Model | None:
-    """Fits on at most per_lang documents of each language, which hash order picks, and words neighbouring words of each."""
-    named = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    own = picked(named.select("doc_id", "lang"), "lang", "doc_id", per_lang).distinct()
-    split = F.split(F.trim("text"), r"\s+")
-    near = named.select("doc_id", "text").join(F.broadcast(own), "doc_id").withColumn("w", split)
-    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.size("w") - words + 1)) + 1
-    rows = near.select("doc_id", "lang", F.slice("w", start.cast("int"), words).alias("w")).collect()
-    return fit([(r.lang, r.w) for r in sorted(rows, key=lambda r: (r.lang, r.doc_id, r.w))])
+def _of_each(named: DataFrame, most: int) -> list[tuple[str, str]]:
+    """(language, text) of at most most documents of each language, which hash order picks; whole texts."""
+    own = written(picked(named.select("doc_id", "lang"), "lang", "doc_id", most).distinct(), "picked")
+    rows = named.select("doc_id", "lang", "text").join(small_side(own), ["doc_id", "lang"]).select("lang", "text").collect()
+    return sorted((r.lang, r.text) for r in rows)
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
+
+
+def learn(docs: DataFrame, per_lang: int = 200) -> Model | None:
+    """Fits on the whole texts of at most per_lang documents of each language, none of them held out."""
+    return fit([(lang, text.split()) for lang, text in _of_each(_named(docs).where(~held_out()), per_lang)])
 
 
 def _labelled(model: Model | None):
@@ -244,8 +277,8 @@ def _labelled(model: Model | None):
         labeller = Labeller(model) if model else None
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            found = list(labeller.documents(texts)) if labeller else [(UNKNOWN, 0.0)] * len(texts)
-            langs, scores = zip(*found, strict=True) if found else ((), ())
+            found = list(labeller.documents(texts)) if labeller else [(UNKNOWN, 0.0, True)] * len(texts)
+            langs, scores, _ = zip(*found, strict=True) if found else ((), (), ())
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return run
@@ -262,70 +295,43 @@ def languages(docs: DataFrame, model: Model | None) -> DataFrame:
     return rows.mapInArrow(_labelled(model), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
-def _marked(model: Model | None, vocabulary: Vocabulary | None = None):
+def _kept(model: Model | None, lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller, known = Labeller(model) if model else None, {}
+        labeller = Labeller(model, lexicon) if model else None
         for batch in batches:
-            if vocabulary:
-                known = known if len(known) < CACHED_WORDS // 4 else {}
-                batch = batch.filter(pa.array([not vocabulary.wanting(t, known) for t in batch.column("text").to_pylist()], pa.bool_()))
             texts = batch.column("text").to_pylist()
-            found = list(labeller.documents(texts)) if labeller else [(UNKNOWN, 0.0)] * len(texts)
-            langs, scores = zip(*found, strict=True) if found else ((), ())
-            yield pa.record_batch([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, "lang_pred", "lang_score"])
+            found = labeller.documents(texts) if labeller else [(UNKNOWN, 0.0, True)] * len(texts)
+            yield batch.filter(pa.array([not none for _, _, none in found], pa.bool_()))
 
     return run
 
 
-def with_language(docs: DataFrame, model: Model | None, vocabulary: Vocabulary | None = None) -> DataFrame:
-    """docs with lang_pred and lang_score, which replace columns of these names; see languages for the cases.
+def in_known_languages(docs: DataFrame, model: Model | None, lexicon: Lexicon) -> DataFrame:
+    """docs without texts in none of the learned languages: those that have significantly few known words for them.
 
-    With a vocabulary, without texts that have significantly fewer of its words than texts of the learned languages.
+    A word is known if it is in the lexicon of the language that the field gives it, so that texts which switch between
+    languages stay. Texts without a letter go, null ones too, and all without a model. Every row is judged by its text
+    alone, and all columns are kept as they are.
     """
-    rows = docs.drop("lang_pred", "lang_score")
-    schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
-    return rows.mapInArrow(_marked(model, vocabulary), schema)
-
-
-#: Letters of a word that tells learned languages from others; shorter ones come in many.
-LEAST_LETTERS = 3
-
-
-@dataclass
-class Vocabulary:
-    """Words that several documents of the learned languages have, and the least share of them that a text of one has."""
-
-    words: frozenset[str]
-    least: float
-
-    def wanting(self, text: str | None, known: dict[str, int]) -> bool:
-        """Whether a text has significantly fewer of the words than the least share; known keeps what words were found."""
-        n = have = 0
-        for w in (text or "").lower().split():
-            if (k := known.get(w)) is None:
-                own = letters(w)
-                k = known[w] = int(own in self.words) if len(own) >= LEAST_LETTERS else -1
-            n, have = n + (k >= 0), have + (k > 0)
-        return have < self.least * n - 2 * (n * self.least * (1 - self.least)) ** 0.5 - 1
+    return docs.mapInArrow(_kept(model, lexicon), docs.schema)
 
 
-def vocabulary(docs: DataFrame, per_lang: int = 400, words: int = 128) -> Vocabulary:
+def lexicon(docs: DataFrame, model: Model | None, per_lang: int = 200) -> Lexicon:
     """Learns words from documents as learn does; held-out documents give the share: half of what nine in ten of them have.
 
-    A word counts if two of the documents have it, so that a junk text among them doesn't vouch for itself. The share
-    isn't normalised over the languages: texts in none of them have few of the words, those that switch have many.
+    A word counts if two of a language's documents have it, so that a junk text among them doesn't vouch for itself.
     """
-    named = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-
-    def texts(rows: DataFrame, most: int) -> list[list[str]]:
-        own = picked(rows.select("doc_id", "lang"), "lang", "doc_id", most).select("doc_id").distinct()
-        near = rows.join(F.broadcast(own), "doc_id").select(F.slice(F.split(F.trim("text"), r"\s+"), 1, words).alias("w"))
-        return [ws for r in near.collect() if (ws := [o for w in r.w if len(o := letters(w.lower())) >= LEAST_LETTERS])]
-
-    seen: dict[str, int] = {}
-    for ws in texts(named.where(~held_out()), per_lang):
-        for w in set(ws):
-            seen[w] = seen.get(w, 0) + 1
-    found = frozenset(w for w, n in seen.items() if n > 1)
-    shares = [sum(w in found for w in ws) / len(ws) for ws in texts(named.where(held_out()), per_lang // 4) if len(ws) >= 10]
-    return Vocabulary(found, float(np.quantile(shares, 0.1)) / 2 if shares else 0.0)
+    named = _named(docs)
+    seen: dict[tuple[str, str], int] = {}
+    for lang, text in _of_each(named.where(~held_out()), per_lang):
+        for w in {letters(w.lower()) for w in text.split()}:
+            seen[lang, w] = seen.get((lang, w), 0) + 1
+    words: dict[str, int] = {}
+    for (lang, w), n in seen.items():
+        if n > 1:
+            words[w] = words.get(w, 0) | 1 << model.langs.index(lang)
+    if model is None:
+        return Lexicon({}, 0.0)
+    _, _, n, have = Labeller(model, Lexicon(words, 0.0)).counted([text for _, text in _of_each(named.where(held_out()), per_lang // 4)])
+    shares = have[n >= 10] / n[n >= 10]
+    return Lexicon(words, float(np.quantile(shares, 0.1)) / 2 if len(shares) else 0.0)

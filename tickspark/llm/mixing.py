@@ -4,11 +4,12 @@ A classifier fitted on labelled documents gives every document a posterior over
 are then fitted by projected gradient so that the expected tokens of each domain (rate x tokens x posterior, summed
 over all documents) match the targets. An iteration reads the written table of posteriors and returns one sum per
 domain; a document's rate follows from its posterior and the iterations' gradients, so rates aren't stored meanwhile.
+A row's decision comes from its own posterior, so no two rows are ever joined by their doc_id.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,8 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tickspark.llm.common import picked, written
+from tickspark.llm.common import free_name, picked, small_side, written
 
 #: ASCII letters in lower case; other ASCII but digits as spaces.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
@@ -42,15 +44,6 @@ def shape(text: str | None) -> tuple[int, np.ndarray, set[bytes]]:
     return tokens, np.array(stats), own
 
 
-def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [shape(t) for t in batch.column(1).to_pylist()]
-        yield pa.record_batch(
-            [batch.column(0), pa.array([f[1].tolist() for f in found], pa.list_(pa.float64())), pa.array([b" ".join(sorted(f[2])) for f in found], pa.binary())],
-            ["domain", "shape", "words"],
-        )
-
-
 @dataclass
 class Classifier:
     """Softmax regression on a text's shape and the words it has."""
@@ -67,36 +60,22 @@ class Classifier:
         return p / p.sum()
 
 
-def fit(rows: list[tuple[str, np.ndarray, bytes]], domains: list[str], most_words: int = 3000, rounds: int = 200) -> Classifier:
-    """Fits on (domain, shape, distinct words, a space apart); the words kept are those whose presence tells most about the domain."""
-    known = {d: k for k, d in enumerate(domains)}
-    y = np.array([known[d] for d, _, _ in rows], np.int64)
-    seen_in = Counter(w for _, _, words in rows for w in words.split())
-    often = {w: k for k, w in enumerate(sorted(w for w, n in seen_in.items() if n >= 4))}
-    del seen_in
-    vocab: dict[bytes, int] = {}
-    if often:
-        seen, size = np.zeros((len(often), len(domains))), np.bincount(y, minlength=len(domains))
-        for (_, _, words), c in zip(rows, y, strict=True):
-            seen[[often[w] for w in words.split() if w in often], c] += 1
-        expected = seen.sum(axis=1, keepdims=True) * size / max(1, len(y))
-        tells = ((seen - expected) ** 2 / np.maximum(expected, 0.5)).max(axis=1)
-        names = list(often)
-        vocab = {names[k]: j for j, k in enumerate(np.argsort(-tells, kind="stable")[:most_words])}
-    x = np.zeros((len(rows), SHAPES + len(vocab)), np.float32)
-    for k, (_, stats, words) in enumerate(rows):
-        x[k, :SHAPES] = stats
-        x[k, [SHAPES + vocab[w] for w in words.split() if w in vocab]] = 1
+def fit(y: np.ndarray, stats: np.ndarray, has: list[list[int]], domains: list[str], words: list[bytes], rounds: int = 200) -> Classifier:
+    """Fits on rows of domain y (its place in domains), shape stats and the places of the words they have."""
+    x = np.zeros((len(y), SHAPES + len(words)), np.float32)
+    x[:, :SHAPES] = stats
+    for k, own in enumerate(has):
+        x[k, np.array(own, np.int64) + SHAPES] = 1
     weights, truth = np.zeros((x.shape[1], len(domains)), np.float32), np.eye(len(domains), dtype=np.float32)[y]
     m, v = np.zeros_like(weights), np.zeros_like(weights)
-    for turn in range(1, rounds + 1 if len(rows) else 1):
+    for turn in range(1, rounds + 1 if len(y) else 1):
         z = x @ weights
         p = np.exp(z - z.max(axis=1, keepdims=True))
-        g = x.T @ (p / p.sum(axis=1, keepdims=True) - truth) / len(rows) + 1e-4 * weights
+        g = x.T @ (p / p.sum(axis=1, keepdims=True) - truth) / len(y) + 1e-4 * weights
         m += 0.1 * (g - m)
         v += 0.02 * (g * g - v)
         weights -= 0.05 * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.98**turn)) + 1e-8)
-    return Classifier(domains, vocab, weights.astype(np.float64))
+    return Classifier(domains, {w: k for k, w in enumerate(words)}, weights.astype(np.float64))
 
 
 def quality_domain() -> Column:
@@ -104,32 +83,72 @@ def quality_domain() -> Column:
     return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "clean")
 
 
-def learn(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str], per_domain: int = 800) -> Classifier:
-    """Fits on at most per_domain labelled documents of each domain, picked in hash order."""
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for domain, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own = sorted(shape(text)[2])
+            yield pa.record_batch([pa.array([domain] * len(own), pa.string()), pa.array(own, pa.binary())], ["domain", "word"])
+
+
+def _shapes(words: list[bytes]):
+    at = {w: k for k, w in enumerate(words)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shape(t) for t in batch.column(1).to_pylist()]
+            yield pa.record_batch(
+                [batch.column(0), pa.array([f[1].tolist() for f in found], pa.list_(pa.float64())), pa.array([sorted(at[w] for w in f[2] & at.keys()) for f in found], pa.list_(pa.int32()))],
+                ["domain", "shape", "has"],
+            )
+
+    return run
+
+
+def telling_words(rows: DataFrame, sizes: dict[str, int], most: int) -> list[bytes]:
+    """The words of rows(domain, text) whose presence tells most about the domain; counts are made on executors.
+
+    A word's figure is the largest over the domains of (rows with it - expected)^2 / expected; at least four rows have it.
+    """
+    seen = rows.mapInArrow(_words, "domain string, word binary").groupBy("word").pivot("domain", list(sizes)).count().na.fill(0)
+    all_of, n = sum((F.col(f"`{d}`") for d in sizes), F.lit(0)), max(1, sum(sizes.values()))
+    tells = F.greatest(*(F.pow(F.col(f"`{d}`") - (e := all_of * (size / n)), 2) / F.greatest(e, F.lit(0.5)) for d, size in sizes.items()), F.lit(0.0))
+    return sorted(bytes(r.word) for r in seen.where(all_of >= 4).orderBy(tells.desc(), "word").limit(most).collect())
+
+
+def learn(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str], per_domain: int = 800, most_words: int = 3000) -> Classifier:
+    """Fits on at most per_domain labelled documents of each domain, picked in hash order, and most_words words.
+
+    Whole texts count. The driver holds a row for each of these documents with the places of the words it has.
+    """
     named = labels.withColumn("domain", domain).where(F.col("domain").isin(domains) & F.col("doc_id").isNotNull())
     named = named.groupBy("doc_id").agg(F.max("domain").alias("domain")).join(docs.select("doc_id").distinct(), "doc_id")
-    own = picked(named, "domain", "doc_id", per_domain).select("doc_id", "domain")
-    rows = docs.select("doc_id", "text").join(F.broadcast(own), "doc_id").select("domain", "text")
-    rows = rows.mapInArrow(_shapes, "domain string, shape array<double>, words binary").collect()
-    return fit(sorted(((r.domain, np.array(r.shape), bytes(r.words)) for r in rows), key=lambda r: (r[0], r[2])), domains)
+    own = written(picked(named, "domain", "doc_id", per_domain).select("doc_id", "domain"), "labelled")
+    rows = written(docs.select("doc_id", "text").join(small_side(own), "doc_id").select("domain", "text"), "labelled-texts")
+    sizes = {r.domain: r["count"] for r in rows.groupBy("domain").count().collect()}
+    words = telling_words(rows, {d: sizes.get(d, 0) for d in domains}, most_words)
+    got = rows.mapInArrow(_shapes(words), "domain string, shape array<double>, has array<int>").collect()
+    got = sorted(((domains.index(r.domain), r.shape, r.has) for r in got))
+    return fit(np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got]).reshape(-1, SHAPES), [r[2] for r in got], domains, words)
 
 
-def _posteriors(model: Classifier):
+def _posteriors(model: Classifier, tokens_name: str, p_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, p = [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column("text").to_pylist():
                 n, stats, own = shape(text)
                 tokens.append(n)
                 p.append(model.posterior(stats, own))
-            yield pa.record_batch([batch.column(0), pa.array(tokens, pa.int64()), pa.array([x.tolist() for x in p], pa.list_(pa.float64()))], ["doc_id", "tokens", "p"])
+            made = [pa.array(tokens, pa.int64()), pa.array([x.tolist() for x in p], pa.list_(pa.float64()))]
+            yield pa.record_batch([*batch.columns, *made], [*batch.schema.names, tokens_name, p_name])
 
     return run
 
 
-def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_posteriors(model), f"doc_id {kind}, tokens long, p array<double>")
+def posteriors(docs: DataFrame, model: Classifier, tokens: str = "tokens", p: str = "p") -> DataFrame:
+    """docs with the text's tokens and its posterior in columns of these names, which docs doesn't have."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(tokens, T.LongType()), T.StructField(p, T.ArrayType(T.DoubleType()))])
+    return docs.mapInArrow(_posteriors(model, tokens, p), schema)
 
 
 def _rates(p: np.ndarray, moves: list[np.ndarray], most: float) -> np.ndarray:
@@ -140,27 +159,46 @@ def _rates(p: np.ndarray, moves: list[np.ndarray], most: float) -> np.ndarray:
     return rate
 
 
-def _matrix(column: pa.Array, k: int) -> np.ndarray:
-    return np.array(column.flatten().to_numpy(zero_copy_only=False)).reshape(-1, k)
-
-
 def _totals(moves: list[np.ndarray], most: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k)
         for batch in batches:
-            p = _matrix(batch.column(1), k)
+            p = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(-1, k)
             total += (_rates(p, moves, most) * batch.column(0).to_numpy(zero_copy_only=False)) @ p
         yield pa.record_batch([pa.array(range(k), pa.int32()), pa.array(total)], ["k", "total"])
 
     return run
 
 
-def fit_rates(table: DataFrame, weights: list[float], anchor: int | None = None, most: float = float("inf"), rounds: int = 40, close: float = 1e-4) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """(gradient steps, totals, target totals) of projected gradient over table(tokens, p), a written table.
+@dataclass
+class Rates:
+    """Gradient steps that give a row's rate from its posterior, and what they reach: expected tokens of each domain."""
+
+    moves: list[np.ndarray]
+    most: float
+    totals: np.ndarray
+    targets: np.ndarray
+    met: bool
+
+    def column(self, p: Column) -> Column:
+        """The rate of a row with posterior p: all steps as one expression, each followed by its projection."""
+        if not self.moves:
+            return F.lit(1.0)
+
+        def step(rate: Column, move: Column) -> Column:
+            moved = rate - sum((p[j] * move[j] for j in range(len(self.totals))), F.lit(0.0))
+            return F.least(F.greatest(moved, F.lit(0.0)), F.lit(self.most))
+
+        steps = F.array(*(F.array(*(F.lit(float(x)) for x in move)) for move in self.moves))
+        return F.aggregate(steps, F.lit(1.0), step)
+
+
+def fit_rates(table: DataFrame, weights: list[float], anchor: int | None = None, most: float = float("inf"), close: float = 1e-4) -> Rates:
+    """Projected gradient over table(tokens, p), a written table, until the targets are met or the totals stand still.
 
     Minimises sum_k (total_k - target_k)^2 / mass_k, mass_k being domain k's tokens at rate 1: with steps measured in
     tokens the curvature is 1 at most, so a step of 1 converges. Targets sum to all tokens, or to as many that the
-    domain anchor's target is its whole mass.
+    domain anchor's target is its whole mass. Targets that can't be met within the rates allowed are logged.
     """
     k = len(weights)
     share = np.array(weights) / sum(weights)
@@ -173,27 +211,27 @@ def fit_rates(table: DataFrame, weights: list[float], anchor: int | None = None,
 
     mass = totals([])
     if not mass.sum():
-        return [], mass, mass
+        return Rates([], most, mass, mass, True)
     target = share * (mass.sum() if anchor is None else mass[anchor] / share[anchor])
     moves: list[np.ndarray] = []
     now = mass
-    for _ in range(rounds):
-        if np.abs(now - target).max() <= close * target.sum():
-            break
+    while np.abs(now - target).max() > close * target.sum():
         moves.append((now - target) / np.maximum(mass, 1e-9))
         before, now = now, totals(moves)
         if np.abs(now - before).max() <= close / 20 * target.sum():
-            break  # the targets can't be met within the rates allowed
-    return moves, now, target
+            break
+    met = bool(np.abs(now - target).max() <= close * target.sum())
+    if not met:
+        logging.getLogger(__name__).warning("targets %s aren't met, totals are %s", target.round().tolist(), now.round().tolist())
+    return Rates(moves, most, now, target, met)
 
 
-def _rated(moves: list[np.ndarray], most: float, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rate = _rates(_matrix(batch.column(2), k), moves, most)
-            yield pa.record_batch([*batch.columns, pa.array(rate)], ["doc_id", "tokens", "p", "rate"])
-
-    return run
+def _fitted(docs: DataFrame, model: Classifier, weights: dict[str, float], anchor: str | None, most: float) -> tuple[DataFrame, str, str, Rates]:
+    tokens, p = free_name(docs, "tokens"), free_name(docs, "p")
+    table = written(posteriors(docs, model, tokens, p), "posteriors")
+    at = model.domains.index(anchor) if anchor else None
+    rates = fit_rates(table.select(F.col(tokens).alias("tokens"), F.col(p).alias("p")), [weights[d] for d in model.domains], at, most)
+    return table, tokens, p, rates
 
 
 def mixed(docs: DataFrame, model: Classifier, weights: dict[str, float], anchor: str | None = None, most: float = float("inf")) -> DataFrame:
@@ -201,19 +239,18 @@ def mixed(docs: DataFrame, model: Classifier, weights: dict[str, float], anchor:
 
     A null or empty text has 0 tokens and the posterior of its shape; it gets a rate like any other but doesn't count
     in totals. Rows with equal or null doc_id are rated by themselves, equal texts equally. An empty table gives an
-    empty result; other columns are ignored.
+    empty result; other columns are ignored. Tokens are white-space separated words.
     """
-    k = len(model.domains)
-    table = written(posteriors(docs, model), "posteriors")
-    at = model.domains.index(anchor) if anchor else None
-    moves, _, _ = fit_rates(table, [weights[d] for d in model.domains], at, most)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = table.mapInArrow(_rated(moves, most, k), f"doc_id {kind}, tokens long, p array<double>, rate double")
-    return out.select("doc_id", "tokens", *(F.col("p")[j].alias(f"p_{d}") for j, d in enumerate(model.domains)), "rate")
+    table, tokens, p, rates = _fitted(docs.select("doc_id", "text"), model, weights, anchor, most)
+    return table.select("doc_id", F.col(tokens).alias("tokens"), *(F.col(p)[j].alias(f"p_{d}") for j, d in enumerate(model.domains)), rates.column(F.col(p)).alias("rate"))
 
 
-def sampled(docs: DataFrame, rates: DataFrame, seed: int = 11) -> DataFrame:
-    """docs, each kept with its rate's chance (1 or more: kept), by a hash of doc_id; the columns of docs."""
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) / F.lit(1 << 40)
-    lost = rates.where(chance >= F.col("rate")).select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*docs.columns)
+def sampled(docs: DataFrame, model: Classifier, weights: dict[str, float], anchor: str | None = None, most: float = 1.0, seed: int = 11) -> DataFrame:
+    """docs, each row kept with its rate's chance (1 or more: kept), by a hash of doc_id and text; the columns of docs.
+
+    Every row is decided by itself, by the rate of its own text, whatever other rows share its doc_id; rows that repeat
+    a doc_id and its text stay or go together. See mixed for null and empty texts and tables.
+    """
+    table, _, p, rates = _fitted(docs, model, weights, anchor, most)
+    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 40)) / F.lit(1 << 40)
+    return table.where(chance < rates.column(F.col(p))).select(*(F.col(f"`{c}`") for c in docs.columns))

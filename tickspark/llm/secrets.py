@@ -17,6 +17,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickspark.llm.common import free_name
+
 #: Words of code, configuration and prose that secrets rarely have in them.
 DICTIONARY = (
     "access account address admin agent alpha apache application archive assets backup base beta binary block branch "
@@ -292,7 +294,7 @@ def secrets(docs: DataFrame, forest: list[Node], least: float = 0.5) -> DataFram
 
 def redacted(docs: DataFrame, forest: list[Node], least: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret in text replaced by mark; n_chars, if there, follows. The columns and rows are those of docs."""
-    hidden = "__findings"
+    hidden = free_name(docs, "findings")
     rows = with_findings(docs, forest, least, hidden)
     found = F.array_distinct(F.transform(hidden, lambda c: c["value"]))
     found = F.array_sort(found, lambda a, b: F.length(b) - F.length(a))  # else one that is part of another would break it

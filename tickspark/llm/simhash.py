@@ -15,10 +15,10 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickspark.llm.common import connected_components, parallelism, written
+from tickspark.llm.common import connected_components, free_name, parallelism, small_side, written
 
 BITS = 64
 CHUNK = 1 << 16
@@ -325,11 +325,11 @@ def _described(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known: dict[str | None, tuple[int, int, bytes]] = {}
-            rows = [known[t] if t in known else known.setdefault(t, described(t, width)) for t in batch.column(2).to_pylist()]
+            rows = [known[t] if t in known else known.setdefault(t, described(t, width)) for t in batch.column(3).to_pylist()]
             fp, n, marks = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.record_batch(
-                [batch.column(0), batch.column(1), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(marks, pa.binary())],
-                ["doc_id", "node", "fp", "n", "marks"],
+                [*batch.columns[:3], pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(marks, pa.binary())],
+                ["doc_id", "h1", "h2", "fp", "n", "marks"],
             )
 
     return run
@@ -576,11 +576,6 @@ def _in_blocks(width: int, similarity: float):
     return run
 
 
-def small_side(df: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """df, a written table, marked to be sent to every task if it has at most most rows."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def verified_links(clusters: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """(a, b) whose components are those of all pairs of that similarity within clusters(node, root, n, marks).
 
@@ -603,21 +598,37 @@ def verified_links(clusters: DataFrame, texts: DataFrame, width: int, similarity
     return first.unionByName(meet.mapInArrow(_in_blocks(width, similarity), "a long, b long"))
 
 
-def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 14) -> DataFrame:
-    """(doc_id, component_id) of every row: documents whose width-word shingle sets have that Jaccard similarity or more.
+def identity(text: Column) -> tuple[Column, Column]:
+    """A text's identity: 128 bits of hashes."""
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
 
-    Equal texts are one node. Nodes within radius bits of their fingerprints are candidates, and so are nodes that share
-    one of their rarest shingles, which all nodes of that similarity do, whatever their fingerprints; sizes and a sketch
-    drop those that are far off. A bucket gives one link for each node, and what hangs together by these links is a
-    cluster, within which whole shingle sets decide. component_id is the smallest doc_id; null texts count as empty, and
-    empty texts are alike. A null doc_id takes its component's smallest doc_id. An empty table gives an empty result.
-    """
+
+def _one_of_each(found: DataFrame, key: str) -> DataFrame:
+    first = (F.first(c).alias(c) for c in ("fp", "n", "marks"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("least")
+    return found.groupBy(key).agg(least, F.min("h2").alias("low"), F.max("h2").alias("high"), *first)
+
+
+def _as_nodes(rows: DataFrame, clashes: DataFrame | None) -> DataFrame:
+    """rows(h1, h2, ...) with node: h1, which is one text's but for those in clashes; these get another number."""
+    if clashes is None:
+        return rows.withColumn("node", F.col("h1"))
+    told = rows.join(small_side(clashes), "h1", "left")
+    return told.withColumn("node", F.when(F.col("clash"), F.xxhash64("h1", "h2")).otherwise(F.col("h1"))).drop("clash")
+
+
+def _similar_components(docs: DataFrame, width: int, similarity: float, radius: int) -> DataFrame:
+    """(doc_id, h1, h2, component_id, kept) of every row; kept: of the row's component, the first by doc_id (null last), then text."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("node"), text.alias("text"))
-    found = written(rows.mapInArrow(_described(width), "doc_id long, node long, fp long, n long, marks binary"), "described")
-    nodes = found.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("marks").alias("marks"))
-    nodes = written(nodes, "nodes")
+    h1, h2 = identity(text)
+    rows = docs.select(F.col("doc_id").cast("long"), h1.alias("h1"), h2.alias("h2"), text.alias("text"))
+    found = written(rows.mapInArrow(_described(width), "doc_id long, h1 long, h2 long, fp long, n long, marks binary"), "described")
+    nodes, clashes = written(_one_of_each(found, "h1").withColumnRenamed("h1", "node"), "nodes"), None
+    if not (two := nodes.where("low <> high").select(F.col("node").alias("h1"), F.lit(True).alias("clash"))).isEmpty():
+        clashes = written(two, "clashes")
+        nodes = written(_one_of_each(_as_nodes(found, clashes), "node"), "nodes")
+    rows, found = _as_nodes(rows, clashes).select("doc_id", "node", "text"), _as_nodes(found, clashes)
     n = nodes.count()
     masks, thresholds = plan_probes(co_occurrence(nodes), n, radius, BANDED_ROW_COST)
     schema = "part int, key long, guest boolean, fp long, node long, n long, marks binary"
@@ -634,21 +645,50 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     rare = rare.select(F.lit(0).alias("part"), "key", F.lit(False).alias("guest"), "fp", "node", "n", "marks")
     rare = rare.repartition(parallelism(spark), "part", "key").sortWithinPartitions("part", "key", "node")
     more = written(rare.mapInArrow(_candidates(BITS, similarity), "a long, b long").distinct(), "candidates")
-    clusters = connected_components(near.unionByName(more)).join(nodes.select("node", "doc_id", "n", "marks"), "node")
+    clusters = connected_components(near.unionByName(more)).join(nodes.select("node", F.col("least.doc_id").alias("doc_id"), "n", "marks"), "node")
     clusters = written(clusters, "clusters")
     one = F.col("d.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("d.node") == F.col("e.node"))
     texts = rows.alias("d").join(small_side(clusters.select("node", "doc_id")).alias("e"), one).select("d.node", "d.text")
     texts = written(texts.dropDuplicates(["node"]), "texts")
     roots = connected_components(verified_links(clusters, texts, width, similarity))
-    labelled = nodes.select("node", "doc_id").join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return found.select("doc_id", "node").join(labelled.join(least, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    labelled = nodes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    first = labelled.groupBy("root").agg(F.min(F.struct("least.none", "least.doc_id", "node")).alias("first"))
+    of_node = labelled.join(first, "root").select("node", "first.doc_id", F.col("first.node").alias("of")).withColumnRenamed("doc_id", "component_id")
+    kept = (F.col("node") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return found.select("doc_id", "h1", "h2", "node").join(of_node, "node").select("doc_id", "h1", "h2", "component_id", kept.alias("kept"))
+
+
+def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 14) -> DataFrame:
+    """(doc_id, component_id) of every row: documents whose width-word shingle sets have that Jaccard similarity or more.
+
+    Equal texts, by 128 bits of hashes, are one node. Nodes within radius bits of their fingerprints are candidates, and
+    so are nodes that share one of their rarest shingles, which all nodes of that similarity do, whatever their
+    fingerprints; sizes and a sketch drop those that are far off. A bucket gives one link for each node, and what hangs
+    together by these links is a cluster, within which whole shingle sets decide. component_id is the smallest doc_id;
+    null texts count as empty, and empty texts are alike. A null doc_id takes its component's smallest doc_id (null if
+    there is none). An empty table gives an empty result.
+    """
+    return _similar_components(docs, width, similarity, radius).select("doc_id", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 14) -> DataFrame:
-    """docs without those that have a document of smaller doc_id in their component; all columns are kept.
+    """One row of docs of each component: the first by doc_id (null last), then by its text's hash; all columns are kept.
 
-    A row without doc_id stays, and so do rows that repeat a doc_id with its text.
+    Rows are told apart by doc_id and text, so rows that share a doc_id with other texts are judged by themselves. Of
+    rows that repeat both, one stays, whichever its other columns. An empty table gives an empty result.
     """
-    lost = similar_components(docs, width, similarity, radius).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(small_side(written(lost, "lost"), 2_000_000), "doc_id", "left_anti").select(*docs.columns)
+    judged = written(_similar_components(docs, width, similarity, radius), "judged")
+    names = id_, h1, h2 = [free_name(docs, c) for c in ("id", "h1", "h2")]
+    own = F.col("doc_id").cast("long"), *identity(F.coalesce("text", F.lit("")))
+    rows = docs.withColumns(dict(zip(names, own, strict=True)))
+
+    def same(d: DataFrame) -> Column:
+        return rows[id_].eqNullSafe(d["doc_id"]) & (rows[h1] == d["h1"]) & (rows[h2] == d["h2"])
+
+    lost = written(judged.where("NOT kept").select("doc_id", "h1", "h2").distinct(), "lost")
+    out = rows.join(small_side(lost, 2_000_000), same(lost), "left_anti")
+    more = written(judged.where("kept").groupBy("doc_id", "h1", "h2").count().where("count > 1").drop("count"), "repeated")
+    if not more.isEmpty():
+        own = rows.join(small_side(more), same(more), "left_semi").dropDuplicates(names)
+        out = out.join(small_side(more), same(more), "left_anti").unionByName(own)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
