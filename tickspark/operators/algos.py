@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import cache
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,30 +62,55 @@ def shortest_paths(edges: DataFrame, start: str, rounds: int | None = None) -> D
     return best
 
 
-def knapsack(weights: list[int], values: list[int], capacity: int) -> int:
-    """The greatest value that fits, each item once."""
-    best = [0] * (capacity + 1)
-    for w, v in zip(weights, values, strict=True):
-        best = [max(b, best[c - w] + v) if 0 <= w <= c else b for c, b in enumerate(best)]
-    return best[-1]
+def knapsack(weights: Column, values: Column, capacity: Column) -> Column:
+    """The greatest value that fits, each item once; weights and values are arrays, an item of negative weight is left out.
+
+    The best value of each capacity, from 0, is an array that every item makes anew; 0 without items.
+    """
+    none = F.array_repeat(F.lit(0).cast("long"), capacity.cast("int") + 1)
+
+    def with_item(best: Column, item: Column) -> Column:
+        w, v = item["w"].cast("int"), item["v"].cast("long")
+        return F.transform(best, lambda b, c: F.when((w >= 0) & (w <= c), F.greatest(b, F.get(best, c - w) + v)).otherwise(b))
+
+    items = F.zip_with(weights, values, lambda w, v: F.struct(w.alias("w"), v.alias("v")))
+    return F.element_at(F.aggregate(items, none, with_item), -1)
 
 
 def knapsacks(df: DataFrame, keys: list[str], weights: str, values: str, capacity: str) -> DataFrame:
     """(keys, best) of rows with arrays of weights and values."""
+    return df.select(*keys, knapsack(F.col(weights), F.col(values), F.col(capacity)).alias("best"))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            best = [knapsack(list(w), list(v), int(c)) for w, v, c in zip(part[weights], part[values], part[capacity], strict=True)]
-            yield part[keys].assign(best=best)
 
-    types = dict(df.dtypes)
-    return df.mapInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", best long")
+def tak(x: int, y: int, z: int, known: dict[tuple[int, int, int], int] | None = None) -> int:
+    """z if y is x or more, else tak of the three taks with one of the arguments less by one.
 
-
-@cache
-def tak(x: int, y: int, z: int) -> int:
-    return tak(tak(x - 1, y, z), tak(y - 1, z, x), tak(z - 1, x, y)) if y < x else z
+    Calls wait on a list of their own, so that depth is bounded by memory alone; known keeps values of one call.
+    """
+    known = {} if known is None else known
+    todo = [(x, y, z)]
+    while todo:
+        a, b, c = now = todo[-1]
+        if b >= a:
+            known[now] = c
+        if now in known:
+            todo.pop()
+            continue
+        inner = [(a - 1, b, c), (b - 1, c, a), (c - 1, a, b)]
+        if missing := [i for i in inner if i not in known]:
+            todo += missing
+        elif (last := tuple(known[i] for i in inner)) in known:
+            known[now] = known[last]
+        else:
+            todo.append(last)
+    return known[x, y, z]
 
 
 def taks(x: str, y: str, z: str) -> Column:
-    return F.pandas_udf(lambda a, b, c: pd.Series([tak(int(i), int(j), int(k)) for i, j, k in zip(a, b, c, strict=True)]), "long")(x, y, z)
+    """tak of three columns; values that a batch's rows share are found once."""
+
+    def run(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        known: dict[tuple[int, int, int], int] = {}
+        return pd.Series([tak(int(i), int(j), int(k), known) for i, j, k in zip(a, b, c, strict=True)], dtype="int64")
+
+    return F.pandas_udf(run, "long")(x, y, z)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickspark.functions.scalar import SCALE
 from tickspark.sources import schemas
+from tickspark.sources.store import exists
 
 
 def ticks(spark: SparkSession, *paths: str) -> DataFrame:
@@ -23,8 +24,18 @@ def prices(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def klines(spark: SparkSession, *paths: str) -> DataFrame:
-    """Bars of several files, open time in microseconds; unreadable files and rows are skipped."""
-    return spark.read.schema(schemas.KLINE_CSV).option("mode", "DROPMALFORMED").option("ignoreMissingFiles", "true").csv(list(paths))
+    """Bars of several files, open time in microseconds, from lines of seven fields or more, of which the first seven count.
+
+    Files that don't exist are skipped, and so are lines that are short or don't parse; without any file there is an
+    empty result.
+    """
+    fields = schemas.KLINE_CSV.fields
+    found = [p for p in dict.fromkeys(paths) if exists(spark, p)]
+    if not found:
+        return spark.createDataFrame([], schemas.KLINE_CSV)
+    raw = spark.read.text(found).select(F.split("value", ",").alias("c")).where(F.size("c") >= len(fields))
+    rows = raw.select(*(F.col("c")[k].try_cast(f.dataType).alias(f.name) for k, f in enumerate(fields)))
+    return rows.where(F.expr(" AND ".join(f"{f.name} IS NOT NULL" for f in fields)))
 
 
 def table(spark: SparkSession, *paths: str) -> DataFrame:
