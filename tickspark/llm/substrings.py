@@ -2,10 +2,12 @@
 
 Every window of that length picks one g-gram in it, the leftmost of least hash, so equal windows pick equal grams. The
 consecutive windows with one gram are a region; only regions whose gram also occurs in another one can hold a repeat,
-and only their positions and digests are shuffled. Regions that occur as a whole elsewhere are repeats. Of the others,
-one of each content is cut from its text and gathered by gram. There a suffix array's Burrows-Wheeler permutation gives
-the common prefixes of neighbouring suffixes: breadth first, by increasing length, intervals of suffixes that share a
-prefix are extended to the left, until the length is reached; what is never separated shares that many bytes.
+and only their positions and digests are shuffled. Regions that occur as a whole elsewhere are repeats by their digests.
+Of the others, one of each content is cut from its text and gathered by gram. There a suffix array's Burrows-Wheeler
+permutation, held for steps of eight bytes, gives the common prefixes of neighbouring suffixes: breadth first, by
+increasing length, intervals of suffixes that share a prefix are extended to the left, until the length is reached; what
+is never separated shares that many bytes. A gram with more contents than a task compares has its windows dealt by the
+gram's place in them, first to an eighth of the places, then to each place, until few contents are together.
 """
 
 from __future__ import annotations
@@ -19,7 +21,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tickspark.llm.common import parallelism, written
 
@@ -27,6 +28,9 @@ GRAM, CUT, AT_ONCE = 64, 1 << 19, 1_000_000
 POSITION = np.uint64((1 << 20) - 1)
 #: A byte that no UTF-8 text has: a match can't run over it.
 END = b"\xff"
+#: Contents that one task compares at once; a gram (or a part of its windows) with more is dealt further.
+FEW = 512
+ROWS = "part long, c1 long, c2 long, doc_id long, text_hash long, start long, windows int, gram int, times int, covered long"
 FACTOR = 0x9E3779B97F4A7C15 | 1
 
 
@@ -69,8 +73,26 @@ def regions(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
+def _grams(length: int):
+    """(part, n): the gram of each region with how many regions of a batch have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made, held = [], 0
+            for text in [*batch.column(0).to_pylist(), None]:
+                if text is not None:
+                    made.append(regions(text.encode(), length)[0])
+                    held += len(made[-1])
+                if text is None or held > 200_000:
+                    h, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *made]), return_counts=True)
+                    yield pa.record_batch([h.view(np.int64), n.astype(np.int64)], ["part", "n"])
+                    made, held = [], 0
+
+    return run
+
+
 def _regions(length: int):
-    names = ["h", "c1", "c2", "doc_id", "text_hash", "start", "windows", "gram", "times", "covered"]
+    names = [c.split()[0] for c in ROWS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,15 +124,14 @@ def _regions(length: int):
     return run
 
 
-def _cut(length: int):
-    """Cuts regions from their texts, gathered by what all their windows have in common.
+def _finer(length: int, each: int):
+    """Deals the windows of regions by the gram's place in them, each places together, to rows as those of _regions.
 
-    Where many contents share a gram, their windows are split by the gram's place in them; the windows of such a part
-    have more than the gram in common, so that a very common gram's regions spread over many groups.
+    The windows of such a part have more than the gram in common: all bytes that are in every window, which name the part.
     """
+    names = [c.split()[0] for c in ROWS.split(", ")]
+    types = [pa.int64()] * 6 + [pa.int32()] * 3 + [pa.int64()]
     width = length - GRAM + 1
-    names = ["part", "doc_id", "text_hash", "start", "wanted", "content"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,17 +140,37 @@ def _cut(length: int):
                 data = text.encode()
                 for need in needs:
                     gram = need["start"] + need["gram"]
-                    parts = 1 if need["contents"] <= 4096 else 8 if need["contents"] <= 65536 else width
-                    each = -(-width // parts)
                     least, most = need["gram"] - need["windows"] + 1, need["gram"]
                     for q in range(least // each, most // each + 1):
                         a, b = max(least, q * each), min(most, q * each + each - 1)  # the gram's distance from the windows
                         core = data[gram - q * each : gram - min(width, q * each + each) + 1 + length]
-                        part = xxhash.xxh64_intdigest(core, q) - (1 << 63)
-                        rows.append((part, doc_id, text_hash, gram - b, need["same"] == 1, data[gram - b : gram - a + length]))
-                if len(rows) > 20_000:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-                    rows = []
+                        c1, c2 = np.frombuffer(xxhash.xxh3_128_digest(data[gram - b : gram - a + length]), np.int64).tolist()
+                        rows.append((xxhash.xxh64_intdigest(core, q) - (1 << 63), c1, c2, doc_id, text_hash, gram - b, b - a + 1, b, 1, b - a + 1))
+                    if len(rows) > 20_000:
+                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                        rows = []
+            if rows:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    return run
+
+
+def _cut(length: int):
+    """Cuts regions from their texts."""
+    names = ["part", "doc_id", "text_hash", "start", "wanted", "content"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc_id, text_hash, text, needs in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                data = text.encode()
+                for need in needs:
+                    start = need["start"]
+                    rows.append((need["part"], doc_id, text_hash, start, need["same"] == 1, data[start : start + need["windows"] - 1 + length]))
+                    if len(rows) > 20_000:
+                        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                        rows = []
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
@@ -246,27 +287,55 @@ def _kept():
     return run
 
 
+def _settled(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """(spans of the rows whose content others have too, one row of each content whose part has others).
+
+    Counts are aggregated before they are shuffled and joined back, so that no task has all rows of a part.
+    """
+    first = F.min(F.struct("doc_id", "text_hash", "start", "windows", "gram")).alias("first")
+    contents = written(rows.groupBy("part", "c1", "c2").agg(F.sum("times").alias("same"), first), "contents")
+    several = contents.groupBy("part").agg(F.count("*").alias("contents")).where("contents > 1")
+    open_ = contents.join(several, "part").select("part", "first.*", "same", "contents")
+    whole = rows.join(contents.where("same > 1").select("part", "c1", "c2"), ["part", "c1", "c2"])
+    whole = whole.select("doc_id", "text_hash", F.col("start").alias("a"), (F.col("start") + F.col("covered") + (length - 1)).alias("b"))
+    return whole, open_
+
+
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     """(doc_id, text_hash, a, b): bytes a to b of a text, end exclusive, are in repeated strings; spans may overlap.
 
     doc_id is 0 where null; text_hash is xxhash64 of the text, so that rows with equal or null doc_id are told apart.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = "h long, c1 long, c2 long, doc_id long, text_hash long, start long, windows int, gram int, times int, covered long"
-    found = rows.mapInArrow(_regions(length), schema)
-    of_gram, of_content = Window.partitionBy("h"), Window.partitionBy("h", "c1", "c2")
-    nth = F.row_number().over(of_content.orderBy("doc_id", "text_hash", "start"))
-    found = found.withColumns({"same": F.sum("times").over(of_content), "nth": nth, "all": F.sum("times").over(of_gram)})
-    found = found.withColumn("contents", F.sum((F.col("nth") == 1).cast("int")).over(of_gram)).where("all > 1")
-    found = written(found.select("doc_id", "text_hash", "start", "windows", "covered", "gram", "same", "nth", "contents"), "regions")
-    whole = found.where("same > 1").select("doc_id", "text_hash", F.col("start").alias("a"), (F.col("start") + F.col("covered") + (length - 1)).alias("b"))
-    need = F.struct("start", "windows", "gram", "same", "contents")
-    needs = found.where("nth = 1 AND contents > 1").groupBy("doc_id", "text_hash").agg(F.collect_list(need).alias("needs"))
-    texts = rows.withColumn("text_hash", F.xxhash64("text")).join(needs.hint("shuffle_hash"), ["doc_id", "text_hash"])
-    cut = texts.select("doc_id", "text_hash", "text", "needs").mapInArrow(_cut(length), "part long, doc_id long, text_hash long, start long, wanted boolean, content binary")
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    grams = docs.select("text").mapInArrow(_grams(length), "part long, n long").groupBy("part").agg(F.sum("n").alias("n")).where("n > 1")
+    grams = written(grams.select("part"), "grams")
+    rows = written(docs.mapInArrow(_regions(length), ROWS).join(grams, "part"), "regions")
+
+    def with_texts(open_: DataFrame) -> DataFrame:
+        need = F.struct("part", "start", "windows", "gram", "same")
+        needs = open_.groupBy("doc_id", "text_hash").agg(F.collect_list(need).alias("needs"))
+        texts = docs.withColumn("text_hash", F.xxhash64("text")).join(needs.hint("shuffle_hash"), ["doc_id", "text_hash"])
+        return texts.select("doc_id", "text_hash", "text", "needs")
+
+    whole, open_ = _settled(rows, length)
+    spans, compared, places = [whole], [open_.where(F.col("contents") <= FEW)], length - GRAM + 1
+    for each in (-(-places // 8), 1):
+        many = written(open_.where(F.col("contents") > FEW), "many")
+        if many.isEmpty():
+            break
+        whole, open_ = _settled(written(with_texts(many).mapInArrow(_finer(length, each), ROWS), "regions"), length)
+        spans.append(whole)
+        compared.append(open_.where(F.col("contents") <= FEW) if each > 1 else open_)
+    need = compared[0]
+    for more in compared[1:]:
+        need = need.unionByName(more)
+    cut = with_texts(need).mapInArrow(_cut(length), "part long, doc_id long, text_hash long, start long, wanted boolean, content binary")
     cut = cut.repartition(parallelism(spark), "part").sortWithinPartitions("part")
-    return whole.unionByName(cut.mapInArrow(_expanded(length), "doc_id long, text_hash long, a long, b long"))
+    out = cut.mapInArrow(_expanded(length), "doc_id long, text_hash long, a long, b long")
+    for whole in spans:
+        out = out.unionByName(whole)
+    return out
 
 
 def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
