@@ -42,8 +42,11 @@ FEATURES = (
     "parted", "number", "before_secret", "before_other", "assigned", "quoted", "prefix", "after_plain",
 )
 #: A word, and the string in it that may be a secret.
-WORD, CANDIDATE = r"\s+", r"[A-Za-z0-9_+/=.~-]{12,}"
-TRIMMED = r"^[=.~/-]+|[.~/-]+$"
+WORD, CANDIDATE = r"\s+", r"[A-Za-z0-9_+/=.~-]{8,}"
+TRIMMED, NAMED = r"^[=.~/-]+|[.~/-]+$", r"^[A-Za-z_.-]{1,40}=(?=.{8})"
+#: Characters of a candidate, and of one behind a name that announces a secret and a sign.
+LONG, SHORT = 12, 8
+ANNOUNCED = rf"({ANNOUNCES})[\"']?\s*(:=|=>|[:=])\s*[\"'`]?$"
 
 
 def _share(text: Column, pattern: str) -> Column:
@@ -99,8 +102,8 @@ def candidates(text: Column) -> Column:
 
     lead is what is ahead of the candidate in its word, from the candidate string before it on.
 
-    A candidate has 12 characters or more, one of them a digit, or any such string behind a name that announces a secret
-    and a sign.
+    A candidate has LONG characters or more, in a word with a digit or near a name that announces a secret and a sign; or
+    SHORT characters or more right behind such a name and sign.
     """
 
     def of(words: Column, i: Column) -> Column:
@@ -108,7 +111,7 @@ def candidates(text: Column) -> Column:
         parts = F.struct(F.regexp_extract_all(word, F.lit(CANDIDATE), F.lit(0)).alias("runs"), F.split(word, CANDIDATE).alias("between"))
 
         def one(run: Column, ahead: Column) -> Column:
-            value = F.regexp_replace(F.regexp_replace(run, TRIMMED, ""), r"^[A-Za-z_.-]{1,40}=(?=.{12})", "")
+            value = F.regexp_replace(F.regexp_replace(run, TRIMMED, ""), NAMED, "")
             lead = F.concat(ahead, F.call_function("substring_index", run, value, F.lit(1)))
             return F.struct(value.alias("value"), word.alias("word"), F.get(words, i - 1).alias("before"), F.get(words, i - 2).alias("far"), F.get(words, i + 1).alias("after"), lead.alias("lead"), i.alias("nth"))
 
@@ -122,10 +125,15 @@ def candidates(text: Column) -> Column:
         def wanted(w: Column, i: Column) -> Column:
             sign = F.concat_ws(" ", F.get(words, i - 2), F.get(words, i - 1), w)
             named = sign.rlike(rf"(?i)({ANNOUNCES})[\"']?\s*[:=]")
-            return F.when((F.length(w) >= 12) & (w.rlike("[0-9]") | named) & w.rlike(CANDIDATE), i)
+            return F.when((F.length(w) >= SHORT) & ((F.length(w) >= LONG) & w.rlike("[0-9]") | named) & w.rlike(CANDIDATE), i)
 
         at = F.filter(F.transform(words, wanted), lambda i: i.isNotNull())
-        return F.filter(F.flatten(F.transform(at, lambda i: of(words, i))), lambda c: F.length(c["value"]) >= 12)
+
+        def long_enough(c: Column) -> Column:
+            ahead = F.lower(F.concat_ws(" ", c["far"], c["before"], c["lead"]))
+            return (F.length(c["value"]) >= LONG) | (F.length(c["value"]) >= SHORT) & ahead.rlike(ANNOUNCED)
+
+        return F.filter(F.flatten(F.transform(at, lambda i: of(words, i))), long_enough)
 
     return _within(F.split(text, WORD), found)
 
@@ -207,8 +215,9 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, str, str,
         lambda: "eyJ" + pick(base62, 20, 30) + "." + pick(base62 + "_-", 40, 60) + "." + pick(base62 + "_-", 30, 43),
         lambda: pick(base62 + "_-.~", 14, 24), lambda: "glpat-" + pick(base62, 20), lambda: "npm_" + pick(base62, 36),
         lambda: pick(base62[:52], 14, 32), lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(7, 12))),
+        lambda: pick(base62, 8, 11), lambda: rng.choice(syllables) + rng.choice(syllables).title() + pick("0123456789", 4, 6),
     ]
-    lettered = {12, 13}  # candidates only behind a name and a sign
+    lettered = {12, 13, 14, 15}  # candidates only behind a name and a sign
     known = {3, 4, 5, 6, 7, 8, 10, 11}
     names = ["token", "secret", "password", "api_key", "apiKey", "access_key", "auth_token", "client_secret", "aws_secret_access_key", "private_key", "pwd", "key", "TOKEN", "API_KEY", "Bearer"]
     other_names = ["commit", "sha256", "md5", "checksum", "digest", "uuid", "id", "build", "version", "etag", "file", "path", "ref", "rev", "order", "invoice", "serial", "url", "hash"]
@@ -223,6 +232,7 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, str, str,
         lambda: f"{pick('0123456789', 2)}.{rng.choice(DICTIONARY)}{rng.randint(0, 9)}.example.com", lambda: f"{rng.randint(1, 255)}.{rng.randint(100, 255)}.{rng.randint(100, 255)}.{rng.randint(10, 255)}",
     ]
     holders = ["your-token-here-1234", "xxxxxxxxxxxxxxxx0000", "example_password_123", "test-secret-key-0001", "changeme12345678", "1234567890123456", "AAAAAAAAAAAAAAAAAAAA1", "dummy_api_key_12345", "placeholder_token_1", "0000000000000000000000000000000000000000"]
+    settings = [w for w in DICTIONARY if len(w) >= SHORT] + ["required", "optional", "disabled", "enabled_by_default", "keyboard", "undefined", "none_given", "see_below", "rotated_daily", "not_set_yet"]
     out = []
     for k in range(n):
         style = rng.random()
@@ -233,7 +243,12 @@ def labelled_findings(n: int = 3000, seed: int = 3) -> list[tuple[str, str, str,
                 out.append((value, value, plain(), plain(), plain(), 1))
                 continue
         else:
-            label, kind = 0, rng.randrange(len(other) + 2)
+            label, kind = 0, rng.randrange(len(other) + 3)
+            if kind == len(other) + 2:  # a setting behind such a name
+                value, name = rng.choice(settings), rng.choice(names)
+                ahead = rng.choice([(plain(), name + rng.choice([":", "="])), (name, rng.choice([":", "="]))])
+                out.append((value, value, ahead[1], ahead[0], plain(), 0))
+                continue
             if kind > len(other):
                 value = "".join(rng.choice(syllables) for _ in range(rng.randint(6, 10)))
                 out.append((value, value, plain(), rng.choice(names) + rng.choice([":", "="]), plain(), 0))
