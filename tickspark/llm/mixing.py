@@ -151,20 +151,20 @@ def posteriors(docs: DataFrame, model: Classifier, tokens: str = "tokens", p: st
     return docs.mapInArrow(_posteriors(model, tokens, p), schema)
 
 
-def _rates(p: np.ndarray, moves: list[np.ndarray], most: float) -> np.ndarray:
-    """Rates after the given steps from 1, each followed by the projection onto [0, most]."""
-    rate = np.ones(len(p))
-    for move in moves:
-        rate = np.clip(rate - p @ move, 0.0, most)
+def _rates(p: np.ndarray, steps: list[tuple[float, np.ndarray]], most: float) -> np.ndarray:
+    """Rates after the given (momentum, gradient) steps from 1, each followed by the projection onto [0, most]."""
+    rate = before = np.ones(len(p))
+    for momentum, move in steps:
+        rate, before = np.clip(rate + momentum * (rate - before) - p @ move, 0.0, most), rate
     return rate
 
 
-def _totals(moves: list[np.ndarray], most: float, k: int):
+def _totals(steps: list[tuple[float, np.ndarray]], most: float, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(k)
         for batch in batches:
             p = np.array(batch.column(1).flatten().to_numpy(zero_copy_only=False)).reshape(-1, k)
-            total += (_rates(p, moves, most) * batch.column(0).to_numpy(zero_copy_only=False)) @ p
+            total += (_rates(p, steps, most) * batch.column(0).to_numpy(zero_copy_only=False)) @ p
         yield pa.record_batch([pa.array(range(k), pa.int32()), pa.array(total)], ["k", "total"])
 
     return run
@@ -172,9 +172,9 @@ def _totals(moves: list[np.ndarray], most: float, k: int):
 
 @dataclass
 class Rates:
-    """Gradient steps that give a row's rate from its posterior, and what they reach: expected tokens of each domain."""
+    """Steps that give a row's rate from its posterior, and what they reach: expected tokens of each domain."""
 
-    moves: list[np.ndarray]
+    steps: list[tuple[float, np.ndarray]]
     most: float
     totals: np.ndarray
     targets: np.ndarray
@@ -182,30 +182,31 @@ class Rates:
 
     def column(self, p: Column) -> Column:
         """The rate of a row with posterior p: all steps as one expression, each followed by its projection."""
-        if not self.moves:
+        if not self.steps:
             return F.lit(1.0)
 
-        def step(rate: Column, move: Column) -> Column:
-            moved = rate - sum((p[j] * move[j] for j in range(len(self.totals))), F.lit(0.0))
-            return F.least(F.greatest(moved, F.lit(0.0)), F.lit(self.most))
+        def step(now: Column, by: Column) -> Column:
+            moved = now["rate"] + by[0] * (now["rate"] - now["before"]) - sum((p[j] * by[j + 1] for j in range(len(self.totals))), F.lit(0.0))
+            return F.struct(F.least(F.greatest(moved, F.lit(0.0)), F.lit(self.most)).alias("rate"), now["rate"].alias("before"))
 
-        steps = F.array(*(F.array(*(F.lit(float(x)) for x in move)) for move in self.moves))
-        return F.aggregate(steps, F.lit(1.0), step)
+        steps = F.array(*(F.array(*(F.lit(float(x)) for x in (momentum, *move))) for momentum, move in self.steps))
+        return F.aggregate(steps, F.struct(F.lit(1.0).alias("rate"), F.lit(1.0).alias("before")), step, lambda now: now["rate"])
 
 
 def fit_rates(table: DataFrame, weights: list[float], anchor: int | None = None, most: float = float("inf"), close: float = 1e-4) -> Rates:
     """Projected gradient over table(tokens, p), a written table, until the targets are met or the totals stand still.
 
     Minimises sum_k (total_k - target_k)^2 / mass_k, mass_k being domain k's tokens at rate 1: with steps measured in
-    tokens the curvature is 1 at most, so a step of 1 converges. Targets sum to all tokens, or to as many that the
-    domain anchor's target is its whole mass. Targets that can't be met within the rates allowed are logged.
+    tokens the curvature is 1 at most, so a step of 1 converges. Momentum grows while that brings the totals nearer and
+    starts again where it doesn't. Targets sum to all tokens, or to as many that the domain anchor's target is its whole
+    mass. Targets that can't be met within the rates allowed are logged.
     """
     k = len(weights)
     share = np.array(weights) / sum(weights)
 
-    def totals(moves: list[np.ndarray]) -> np.ndarray:
+    def totals(steps: list[tuple[float, np.ndarray]]) -> np.ndarray:
         out = np.zeros(k)
-        for r in table.select("tokens", "p").mapInArrow(_totals(moves, most, k), "k int, total double").groupBy("k").agg(F.sum("total").alias("total")).collect():
+        for r in table.select("tokens", "p").mapInArrow(_totals(steps, most, k), "k int, total double").groupBy("k").agg(F.sum("total").alias("total")).collect():
             out[r.k] = r.total
         return out
 
@@ -213,17 +214,24 @@ def fit_rates(table: DataFrame, weights: list[float], anchor: int | None = None,
     if not mass.sum():
         return Rates([], most, mass, mass, True)
     target = share * (mass.sum() if anchor is None else mass[anchor] / share[anchor])
-    moves: list[np.ndarray] = []
-    now = mass
+
+    def off(now: np.ndarray) -> float:
+        return float(((now - target) ** 2 / np.maximum(mass, 1e-9)).sum())
+
+    steps: list[tuple[float, np.ndarray]] = []
+    now = before = mass
+    momentum, turn = 0.0, 1.0
     while np.abs(now - target).max() > close * target.sum():
-        moves.append((now - target) / np.maximum(mass, 1e-9))
-        before, now = now, totals(moves)
-        if np.abs(now - before).max() <= close / 20 * target.sum():
+        steps.append((momentum, (now + momentum * (now - before) - target) / np.maximum(mass, 1e-9)))
+        before, now = now, totals(steps)
+        later = (1 + (1 + 4 * turn * turn) ** 0.5) / 2
+        momentum, turn = (0.0, 1.0) if off(now) > off(before) else ((turn - 1) / later, later)
+        if momentum and np.abs(now - before).max() <= close / 4 * target.sum():
             break
     met = bool(np.abs(now - target).max() <= close * target.sum())
     if not met:
         logging.getLogger(__name__).warning("targets %s aren't met, totals are %s", target.round().tolist(), now.round().tolist())
-    return Rates(moves, most, now, target, met)
+    return Rates(steps, most, now, target, met)
 
 
 def _fitted(docs: DataFrame, model: Classifier, weights: dict[str, float], anchor: str | None, most: float) -> tuple[DataFrame, str, str, Rates]:
