@@ -214,14 +214,21 @@ def test_rates_are_a_projected_gradient(spark):
     p, t = rng.dirichlet([0.5] * 3, 400), rng.integers(1, 100, 400).astype(float)
     table = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, p, strict=True)], "tokens long, p array<double>").repartition(7)
     got = M.fit_rates(table, [0.9, 0.09, 0.01], most=1.5)
-    moves, now, target = got.moves, got.totals, got.targets
-    rate, mass = np.ones(400), t @ p
-    for _ in moves:
-        rate = np.clip(rate - p @ (((rate * t) @ p - target) / mass), 0, 1.5)
+    now, target = got.totals, got.targets
+    rate = last = np.ones(400)
+    mass = t @ p
+    for momentum, _ in got.steps:
+        at = rate + momentum * (rate - last)
+        rate, last = np.clip(at - p @ (((at * t) @ p - target) / mass), 0, 1.5), rate
+    plain = np.ones(400)  # without momentum, many more steps reach the same totals
+    for _ in range(3000):
+        plain = np.clip(plain - p @ (((plain * t) @ p - target) / mass), 0, 1.5)
+    assert np.abs((plain * t) @ p - now).max() < 2e-3 * target.sum() and len(got.steps) < 200
     assert np.allclose((rate * t) @ p, now) and (rate == 1.5).any()
-    assert not got.met and np.abs(rate - [r[0] for r in table.select(got.column(F.col("p"))).collect()]).max() < 1e-9
+    of_p = {tuple(r.p): r.rate for r in table.select("p", got.column(F.col("p")).alias("rate")).collect()}
+    assert not got.met and np.abs(rate - [of_p[tuple(x)] for x in p.tolist()]).max() < 1e-9
     free = M.fit_rates(table, [0.5, 0.3, 0.2])
-    assert np.abs(free.totals - free.targets).max() <= 1e-4 * free.targets.sum() and free.moves and free.met
+    assert np.abs(free.totals - free.targets).max() <= 1e-4 * free.targets.sum() and free.steps and free.met
 
 
 def test_mixing_edges(spark, edges, none):
@@ -298,24 +305,13 @@ def test_repeats_edges(edges, none):
     assert long[8].n_removed == long[9].n_removed == 70_000 and long[9].n_spans == 1
 
 
-def test_common_grams_are_split(spark, monkeypatch):
-    """Contents that share a gram, more than one task is to hold, give the same spans when their windows are dealt."""
+@pytest.mark.parametrize("few", [1, 8])
+def test_common_grams_are_dealt(spark, monkeypatch, few):
+    """A passage that every text has, whole or cut, beside other words: its windows are dealt until few contents are together."""
+    monkeypatch.setattr(U, "FEW", few)
     rng = random.Random(9)
-    core = prose(rng, 40)[:210]
-    texts = [prose(rng, 20) + core[rng.randint(0, 5) : 210 - rng.randint(0, 5)] + prose(rng, 20) for _ in range(30)]
-    cut = U._cut
-
-    def many(length):
-        def run(batches):
-            for b in batches:
-                needs = [[{**n, "contents": 100_000 if len(n) % 2 else 5000} for n in row] for row in b.column(3).to_pylist()]
-                import pyarrow as pa
-
-                yield from cut(length)([pa.record_batch([*b.columns[:3], pa.array(needs)], b.schema.names)])
-
-        return run
-
-    monkeypatch.setattr(U, "_cut", many)
+    core = prose(rng, 60)[:330]
+    texts = [prose(rng, rng.randint(0, 20)) + core[rng.choice([0, 0, 1, 5, 60]) : 330 - rng.choice([0, 0, 2, 9, 70])] + prose(rng, rng.randint(0, 20)) for _ in range(30)]
     got = {r.doc_id: tuple(r)[1:] for r in U.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[k] for k in range(len(texts))] == plain_repeats(texts)
 
@@ -358,6 +354,74 @@ def test_field_on_held_out_sentences():
     assert hit / (hit + missed) > 0.9 and hit / (hit + wrong) > 0.95
 
 
+def segmentations(s, segments):
+    """All ways to cut the tokens of s into tokens outside and given segments with types: lists of (segment, type)."""
+
+    def from_(i):
+        if i == s.size:
+            yield []
+            return
+        for rest in from_(i + 1):
+            yield rest
+        for k, (a, b, _) in enumerate(segments):
+            if a == i:
+                for rest in from_(b):
+                    for y in range(len(P.KINDS)):
+                        yield [(k, y), *rest]
+
+    return list(from_(0))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_field_against_all_segmentations(seed):
+    """With random weights: sums, posteriors and the best segmentation are those of all segmentations, one by one."""
+    rng = np.random.default_rng(seed)
+    field = P.Field()
+    field.segment, field.outside = rng.normal(0, 0.4, field.segment.shape), rng.normal(0, 0.4, 4)
+    s = P.Sentence(["call 555 1234 or 99-1234", "1234 5678.9012", "a.b@c.de 12345", "x [at] y [dot] de", "(030) 1234-567", "7 at 8 dot 9 4444"][seed])
+    scores = field.scores(s)
+    whole = []
+    for way in segmentations(s, s.segments):
+        inside = {t for k, _ in way for t in range(*s.segments[k][:2])}
+        whole.append((sum(scores[k][y] for k, y in way) + sum(field.outside[s.plain[t]] for t in range(s.size) if t not in inside), way))
+    assert len(whole) > 1
+    total = sum(np.exp(x) for x, _ in whole)
+    fore, back = field.sums(s, scores)
+    assert np.exp(fore[-1]) == pytest.approx(total) and np.exp(back[0]) == pytest.approx(total)
+    chance = field.chances(s)
+    for k in range(len(s.segments)):
+        for y in range(len(P.KINDS)):
+            assert chance[k][y] == pytest.approx(sum(np.exp(x) for x, way in whole if (k, y) in way) / total, abs=1e-12)
+    for price in (0.0, 1.0, 5.0):
+        assert field.best(s, scores, price) == max(whole, key=lambda w: w[0] - price * len(w[1]))[1]
+
+
+#: Written by hand: what the field should add, what the base patterns have, and what is no personal data.
+BY_HAND = [
+    ("Please contact jane.roe [at] firm [dot] com about it", ["jane.roe [at] firm [dot] com"]),
+    ("mail me: j.doe (at) web (dot) de, thanks", ["j.doe (at) web (dot) de"]),
+    ("her address is a.b [at] c [dot] co [dot] uk for now", ["a.b [at] c [dot] co [dot] uk"]),
+    ("Phone (212) 555-0188 after six", ["(212) 555-0188"]),
+    ("you can call 212-555-0143 or write", ["212-555-0143"]),
+    ("call 00 49 30 1234 5678 today", []),
+    ("the meeting is on 2024-11-05 at 10:30:00 in room 4021", []),
+    ("version 10.4.2 of the tool costs 1,299.00 in total", []),
+    ("ISBN 978-3-16-148410-0 was printed in 1997", []),
+    ("look at the dot on page 1234", []),
+    ("order 12345678 of 1999 has 20 items", []),
+    ("invoice 2023-0001234 was paid", []),
+]
+
+
+def test_field_on_sentences_by_hand():
+    """Sentences that no rule drew: nearly all spans are added, and little else."""
+    field, hit, wrong, missed = P.default_field(), 0, 0, 0
+    for text, wanted in BY_HAND:
+        found = {text[a:b] for _, a, b in P.all_spans(text, field)[1]}
+        hit, wrong, missed = hit + len(found & set(wanted)), wrong + len(found - set(wanted)), missed + len(set(wanted) - found)
+    assert hit >= 4 and missed <= 1 and wrong <= 2, (hit, wrong, missed)
+
+
 def test_personal_data(small, edges, none):
     got = {r.doc_id: r for r in P.personal_data(small).collect()}
     for r in small.collect():
@@ -426,14 +490,18 @@ def test_lower_bound_is_one():
 # licenses
 
 
-def plain_licenses(text):
+def plain_licenses(text, beside=0):
+    """Best containment of each template in a window of its length, and a share of that beside it."""
     cut = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
     words = cut(text)
-    out = {}
+    all_of, out = {tuple(words[j : j + 5]) for j in range(len(words) - 4)}, {}
     for name, t in C.TEMPLATES.items():
         own = {tuple(cut(t)[k : k + 5]) for k in range(len(cut(t)) - 4)}
         n = len(own)
-        best = max((len(own & {tuple(words[j : j + 5]) for j in range(k, min(k + n, len(words) - 4))}) / n for k in range(max(0, len(words) - 4))), default=0)
+        if len(own & all_of) < 0.8 * n:
+            continue
+        more = int(n * beside)
+        best = max((len(own & {tuple(words[j : j + 5]) for j in range(k, min(k + n + more, len(words) - 4))}) / n for k in range(max(0, len(words) - 4))), default=0)
         if best >= 0.8:
             out[name] = best
     return out
@@ -448,15 +516,46 @@ def test_licenses(spark, small, none, edges):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").unionByName(small.select(F.col("doc_id") + 1000, "text").toDF("doc_id", "text"))
     got = {}
     for r in C.scan_licenses(df).collect():
-        got.setdefault(r.doc_id, {})[r.license] = r.containment
+        own = got.setdefault(r.doc_id, {})
+        own[r.license] = max(r.containment, own.get(r.license, 0))
     for r in df.collect():
         wanted = plain_licenses(r.text)
         own = got.get(r.doc_id, {})
         assert set(wanted) <= set(own) and all(own[k] >= v - 1e-9 for k, v in wanted.items()), (r.doc_id, own, wanted)
-        assert all(k in wanted or v < 0.9 for k, v in own.items())
+        if not set(own) <= set(wanted):
+            wider = plain_licenses(r.text, 0.5)
+            assert all(v <= wider[k] + 1e-9 for k, v in own.items())
     assert C.scan_licenses(none).count() == 0 and C.scan_licenses(edges).count() == 0
 
 
+def test_edited_licenses(spark):
+    """Complete texts with words changed here and there, beside other text, are found as what they were made from."""
+    rng = random.Random(11)
+    assert len(C.TEXTS) >= 15 and all(len(t.split()) > 30 for t in C.TEXTS.values())
+    rows, wanted = [], []
+    for name, text in C.TEXTS.items():
+        for lost in (0, 1, 0.03):
+            words = text.split()
+            for k in rng.sample(range(len(words)), lost if lost >= 1 else int(lost * len(words))):
+                words[k] = prose(rng, 1)
+            rows.append((len(rows), prose(rng, rng.randint(0, 150)) + " " + " ".join(words) + " " + prose(rng, rng.randint(0, 90))))
+            wanted.append(name)
+    rows.append((len(rows), " ".join([C.TEXTS["Zlib"], prose(rng, 300), C.TEXTS["Zlib"], prose(rng, 90), C.NOTICES["MIT-notice"]] * 2)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = C.scan_licenses(df)
+    by = {}
+    for r in found.collect():
+        by.setdefault(r.doc_id, []).append((r.license, r.word))
+    for (k, text), name in zip(rows, wanted, strict=False):
+        plain = plain_licenses(text)
+        assert set(plain) <= {x for x, _ in by.get(k, [])}, (name, plain, by.get(k))
+        assert (name in plain) or text not in C.TEXTS[name]
+    many = Counter(x for x, _ in by[len(rows) - 1])
+    assert many["Zlib"] >= 3 and many["MIT-notice"] == 2  # the second and third text of Zlib overlap in a window or not
+    best = C.best_of_each(found).where(F.col("doc_id") == len(rows) - 1).collect()
+    assert {(r.license, r.containment) for r in best} >= {("Zlib", 1.0), ("MIT-notice", 1.0)} and len(best) == len(many)
+
+
 def test_bands_suffice():
     assert (1 - (0.675 / 1.325)) ** C.bands_needed(0.8) <= 1e-3
 
@@ -523,3 +622,80 @@ def test_letters_only_secrets(spark):
     docs = spark.createDataFrame([*enumerate(texts), (9, "a plain misunderstanding of responsibilities")], "doc_id long, text string")
     got = {(r.doc_id, r.secret) for r in X.secrets(docs, forest).collect()}
     assert got == {(0, "correcthorsebatterystaple"), (1, "AbcdefGhijklmnop"), (2, "QwLmZrTyPsNdKvBx"), (3, "kWzRtQmXbVnLpSdF")}
+
+
+def plain_secrets(text, forest, least=0.5):
+    """(word's place, value) by loops over words and regular expressions, one word and one tree at a time."""
+    words, out = re.split(X.WORD, text, flags=re.ASCII), []
+    share = lambda t, p: (len(t) - len(re.sub(p, "", t))) / max(1, len(t))
+    for i, w in enumerate(words):
+        far, before = (words[k] if k >= 0 else None for k in (i - 2, i - 1))
+        after = words[i + 1] if i + 1 < len(words) else None
+        near = " ".join(x for x in (far, before, w) if x is not None)
+        named = re.search(rf"(?i)({X.ANNOUNCES})[\"']?\s*[:=]", near)
+        if not (len(w) >= X.SHORT and (len(w) >= X.LONG and re.search("[0-9]", w) or named)):
+            continue
+        last = ""
+        between = re.split(X.CANDIDATE, w)
+        for k, run in enumerate(re.findall(X.CANDIDATE, w)):
+            v = re.sub(X.NAMED, "", re.sub(X.TRIMMED, "", run))
+            lead = last + between[k] + (run[: run.index(v)] if v else "")
+            last = run
+            ahead = " ".join(x for x in (far, before, lead) if x is not None).lower()
+            if not (len(v) >= X.LONG or len(v) >= X.SHORT and re.search(X.ANNOUNCED, ahead)):
+                continue
+            sign = "".join(x for x in (before, lead) if x is not None)
+            size = len(v)
+            f = dict(zip(X.FEATURES, [
+                size, len(re.findall("(?<=[a-z])(?=[A-Z0-9])|(?<=[A-Z])(?=[a-z0-9])|(?<=[0-9])(?=[A-Za-z])", v)) / size, share(v, "[0-9]"), share(v, "[A-Z]"),
+                bool(re.search("^[0-9a-f]+$|^[0-9A-F]+$", v)), len(set(v)) / size, -sum(c / size * np.log2(c / size) for c in Counter(v).values()), share(v.lower(), "[aeiou]"),
+                share(v.lower(), "(" + "|".join(sorted(X.DICTIONARY, key=lambda w: (-len(w), w))) + ")"), v.count("/"), bool(re.search(r"\.[a-z]{1,4}$", v)),
+                bool(re.search("^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$", v)), bool(re.search("^[0-9.-]+$", v)),
+                bool(re.search(rf"(?<![a-z])[a-z_.-]*({X.ANNOUNCES})[\"']?\s*(:=|=>|[:=])?\s*[\"'`]?$", ahead)), bool(re.search(rf"(?<![a-z])({X.DENIES})[\"']?\s*[:=#]?\s*[\"'`]?$", ahead)),
+                bool(re.search("[:=]\\s*[\"'`]?$|[\"'`]$", sign)), bool(re.search("[\"'`]", w)),
+                bool(re.search("^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|sk-|sk_live_|pk_live_|rk_live_|xox[abprs]-|AIza|glpat-|npm_|eyJ)", v)), bool(after is not None and re.search("^[a-z.,;:!?]+$", after)),
+            ], strict=True))
+
+            def leaf(n, f=f):
+                while n.feature >= 0:
+                    n = n.below if f[X.FEATURES[n.feature]] <= n.cut + 1e-12 else n.above
+                return n.value
+
+            if np.mean([leaf(t) for t in forest]) >= least - 1e-12:
+                out.append((i, v))
+    return out
+
+
+def test_secrets_are_those_of_plain_loops(spark, small, edges):
+    forest, rng = X.train(spark, X.labelled_findings()), random.Random(8)
+    signs = ["=", ":", " = ", ": ", '":"', ";", "&", ",", " ", "\n", "/", "'"]
+    parts = [x for f in X.labelled_findings(300, seed=21) for x in (f[0], f[1], f[3])] + ["password", "api_key", "Token", "secret", "{", "}", "x", "hunter22", "a1"]
+    made = [(k, "".join(rng.choice(parts) + rng.choice(signs) for _ in range(rng.randint(1, 12)))) for k in range(400)]
+    some = [(1000 + k, r.text or "") for k, r in enumerate([*small.select("text").collect(), *edges.select("text").collect()]) if len(r.text or "") < 20_000]
+    planted = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text LIKE '%key%' OR text LIKE '%token%' OR text LIKE '%secret%'").select("text").collect()
+    rows = made + some + [(5000 + k, r.text) for k, r in enumerate(planted)]
+    got = Counter((r.doc_id, r.nth, r.secret) for r in X.secrets(spark.createDataFrame(rows, "doc_id long, text string"), forest).collect())
+    wanted = Counter((k, i, v) for k, text in rows for i, v in plain_secrets(text, forest))
+    assert len(wanted) > 100 and got == wanted
+
+
+#: Written by hand: configuration, code and logs as they come, and what in them is secret.
+SECRETS_BY_HAND = [
+    ('export GITHUB_TOKEN="ghp_Q4vT9mXz2LpR7kWc1NsB8yHd3JfG6aUe5oZi"', ["ghp_Q4vT9mXz2LpR7kWc1NsB8yHd3JfG6aUe5oZi"]),
+    ('{"user":"svc-reporting","password":"t7Kq9zRw","port":5432}', ["t7Kq9zRw"]),
+    ("curl https://api.example.com/v1/items?limit=10&access_token=9f8Qm2Lx7Rk4Tz1Wc6Vb", ["9f8Qm2Lx7Rk4Tz1Wc6Vb"]),
+    ("aws_secret_access_key = Jq8/rT4mXw2LzP9kVc1NsB7yHd3JfG6aUe5oZiQ0", ["Jq8/rT4mXw2LzP9kVc1NsB7yHd3JfG6aUe5oZiQ0"]),
+    ("commit 9fceb02d0ae598e95dc970b74767f19372d61af8 fixes the parser", []),
+    ("sha256: 2c26b46b68ffc68ff99b453c1d30413413422d706483bfa0f98a5e886266e7ae", []),
+    ("see docs/configuration/storage/options.md and src/main/module12.py", []),
+    ("trace id 123e4567-e89b-12d3-a456-426614174000 at 2024-05-01T10:00", []),
+    ("password: required", []), ("the token is rotated daily by the platform", []),
+]
+
+
+def test_secrets_by_hand(spark):
+    forest = X.train(spark, X.labelled_findings())
+    df = spark.createDataFrame(list(enumerate(t for t, _ in SECRETS_BY_HAND)), "doc_id long, text string")
+    got = {(r.doc_id, r.secret) for r in X.secrets(df, forest).collect()}
+    wanted = {(k, s) for k, (_, own) in enumerate(SECRETS_BY_HAND) for s in own}
+    assert len(wanted - got) <= 0 and len(got - wanted) <= 1, (wanted - got, got - wanted)

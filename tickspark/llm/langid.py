@@ -220,14 +220,21 @@ def fit(examples: list[tuple[str, list[str]]], epochs: int = 12, length: int = 6
     k = len(langs)
     pairs = features(list(vocab))[0]
     word, feature = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+    by = np.argsort(word, kind="stable")
+    feature, count = feature[by], np.bincount(word, minlength=len(vocab))
+    first_of = np.cumsum(count) - count
     params = [np.zeros((1 << FEATURE_BITS, k)), np.eye(k)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     batches = [b for _ in range(max(epochs, -(-40 * batch // rows))) for b in np.array_split(rng.permutation(rows), -(-rows // batch))]
     for turn, own in enumerate(batches, start=1):
         weights, move = params
-        step, at, n = np.exp(move), x[own], len(own) * length
+        step, n = np.exp(move), len(own) * length
+        words, at = np.unique(x[own], return_inverse=True)  # with their features, one word after another
+        at = at.reshape(len(own), length)
+        word = np.repeat(np.arange(len(words)), count[words])
+        feature_of = feature[np.arange(len(word)) + np.repeat(first_of[words] - np.cumsum(count[words]) + count[words], count[words])]
         truth = np.eye(k)[y[own]]
-        score = np.stack([np.bincount(word, weights[feature, j], len(vocab)) for j in range(k)], axis=1)[at]
+        score = np.stack([np.bincount(word, weights[feature_of, j], len(words)) for j in range(k)], axis=1)[at]
         e = np.exp(score - score.max(axis=2, keepdims=True))
         alpha, beta = np.empty_like(e), np.empty_like(e)
         now = np.full((len(own), k), 1 / k)
@@ -240,9 +247,9 @@ def fit(examples: list[tuple[str, list[str]]], epochs: int = 12, length: int = 6
         wrong = (_normal(alpha * beta) - truth) / n
         both = _normal(alpha[:, :-1, :, None] * step * (e * beta)[:, 1:, None, :], (2, 3))
         seen = truth[:, :-1, :, None] * truth[:, 1:, None, :]
-        by_word = np.stack([np.bincount(at.ravel(), wrong[..., j].ravel(), len(vocab)) for j in range(k)], axis=1)
+        by_word = np.stack([np.bincount(at.ravel(), wrong[..., j].ravel(), len(words)) for j in range(k)], axis=1)
         grads = [
-            np.stack([np.bincount(feature, by_word[word, j], 1 << FEATURE_BITS) for j in range(k)], axis=1) + ridge * weights,
+            np.stack([np.bincount(feature_of, by_word[word, j], 1 << FEATURE_BITS) for j in range(k)], axis=1) + ridge * weights,
             (both - seen).sum(axis=(0, 1)) / n + ridge * move,
         ]
         for p, g, m, v in zip(params, grads, first, second, strict=True):
