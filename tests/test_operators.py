@@ -138,7 +138,7 @@ def test_audits(spark):
     book = spark.createDataFrame([(1, t, *v, 0) for t, v in enumerate([(5, 1, 6, 1), (5, 1, 6, 1), (7, 0, 6, 1), (6, 1, 6, 1)])], "s int, t long, bid_px long, bid_qty long, ask_px long, ask_qty long, valu long")
     got = audit.top_audit(book, ["s"], ["t"], F.col("t") * 200, unit=1).first()
     assert (got.crossed, got.crossed_or_touching, got.duplicate_snapshots, got.gaps_100ms, got.gaps_1s, got.bid_qty_zero) == (1, 2, 1, 3, 0, 1)
-    assert got.anomalies == ["gaps_gt_100ms > 0", "cross_book_count > 0", "duplicate_snapshot_count > 0", "high_fraction_bid_qty_zero"]
+    assert got.anomalies == ["gaps_gt_100ms > 0", "cross_book_count > 0 (bid_px > ask_px)", "duplicate_snapshot_count > 0", "high_fraction_bid_qty_zero"]
     depth = spark.createDataFrame([(1, 0, 1, 5, [(1000, 10**8)], [(900, 3)]), (1, 1, 5, 6, [(20000, 7)], []), (1, 2, 9, 8, [], [])], schema="s int, t long, firstId long, lastId long, ask array<struct<px:long,qty:long>>, bid array<struct<px:long,qty:long>>")
     got = audit.depth_audit(depth, ["s"], ["t"], F.col("t")).first()
     assert (got.id_overlap, got.id_gap, got.last_lt_first, got.ask_levels, got.bid_empty, got.jumps, got.qty_not_div1e8, got.problematic) == (1, 1, 1, 2, 2, 1, 1, True)
@@ -291,3 +291,36 @@ def test_chi_square(spark):
     flat = spark.createDataFrame([(1, k, 2.0, 0) for k in range(9)] + [(2, k, float(k * k % 7), 0) for k in range(9)], "s int, t long, y double, segment int")
     got = {r.s: r for r in arma.autocorrelations(flat, ["s"], ["t"], "y", 2).withColumn("p", arma.p_value(F.col("q"), F.lit(1))).collect()}
     assert (got[1].rho_1, got[1].q, got[1].p) == (None, None, None) and 0 <= got[2].p <= 1
+
+
+def test_buckets_give_what_one_task_gives(spark):
+    """One symbol has all rows: with buckets, gaps, lags, sums, runs and segments are the same, and no task has them all."""
+    rng = random.Random(4)
+    t, data = 0, []
+    for k in range(400):
+        t += rng.choice([1, 1, 2, 3, 0, 40])
+        data.append((1, t, k, rng.choice("aab"), float(rng.randint(1, 50)), rng.random() > 0.1))
+    df = spark.createDataFrame(data, "s int, t long, k int, c string, v double, ok boolean")
+    keys, order, bucket = ["s"], ["t", "k"], F.floor(F.col("t") / 25)
+
+    def same(f):
+        a, b = (sorted(map(str, f(x).collect())) for x in (None, bucket))
+        assert a == b and a
+
+    value = F.col("v").cast("long")
+    same(lambda b: rows.gap_report(df, keys, order, F.col("t"), 5, ["t", "k"], bucket=b))
+    same(lambda b: rows.spikes(df, keys, order, value, bucket=b))
+    same(lambda b: rows.above_mean_so_far(df, keys, order, value, b))
+    same(lambda b: rows.running_mean(df, keys, order, value, bucket=b))
+    same(lambda b: rows.lagged(df, keys, order, {"x": ("v", 3), "y": ("c", 1)}, b))
+    same(lambda b: aggregates.adjacent_groups(df, keys, order, "c", [F.count("*").alias("n"), F.sum("v").alias("v")], b))
+    made = rows.segments(df, keys, order, F.col("t"), 5, F.col("ok"))
+    same(lambda b: rows.segments(df, keys, order, F.col("t"), 5, F.col("ok"), b))
+    same(lambda b: arma.returns(made, keys, order, F.col("v"), bucket=b).select("k", "y"))
+    series = arma.returns(made, keys, order, F.col("v"))
+    same(lambda b: arma.lagged(series, keys, order, 2, b))
+    same(lambda b: arma.split(series, keys, order, 0.3, b).select("k", "test"))
+    same(lambda b: arma.autocorrelations(series, keys, order, "y", 3, b).select("n", F.round("rho_2", 9), F.round("q", 9)))
+    same(lambda b: arma.moments(arma.lagged(series, keys, order, 1), keys, order, 1, 20, b).select("used", F.round("s0_0", 9), F.round("b1", 9)))
+    held = rows.with_last(df, keys, order, 3, bucket).groupBy("__bucket").count().collect()
+    assert len(held) > 20 and max(r["count"] for r in held) < 60

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tickspark.operators.rows import lagged, running
 
 
 def modes(df: DataFrame, column: str) -> DataFrame:
@@ -13,11 +14,11 @@ def modes(df: DataFrame, column: str) -> DataFrame:
     return counts.join(F.broadcast(counts.agg(F.max("n").alias("n"))), "n").select(column, "n")
 
 
-def adjacent_groups(df: DataFrame, keys: list[str], order: list[str], column: str, measures: list[Column]) -> DataFrame:
+def adjacent_groups(df: DataFrame, keys: list[str], order: list[str], column: str, measures: list[Column], bucket: Column | None = None) -> DataFrame:
     """Measures of each run of equal neighbours in a series; the same value after another one is a run of its own."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = df.withColumn("__new", (~F.col(column).eqNullSafe(F.lag(column).over(w)) | (F.row_number().over(w) == 1)).cast("int"))
-    rows = rows.withColumn("run", F.sum("__new").over(w))
+    rows = lagged(df.withColumn("__row", F.lit(1)), keys, order, {"__last": (column, 1), "__before": ("__row", 1)}, bucket)
+    new = ~F.col(column).eqNullSafe(F.col("__last")) | F.col("__before").isNull()
+    rows = running(rows.withColumn("__new", new.cast("int")), keys, order, {"run": F.col("__new")}, bucket)
     return rows.groupBy(*keys, "run", column).agg(*measures)
 
 

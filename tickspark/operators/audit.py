@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tickspark.operators.rows import lagged
 
 MS = 1_000_000
 
+#: Names of anomalies as audits report them; {} stands for a column or a number of rows.
+OPEN_FAILED, NO_ROWS, OTHER_ROWS = "open_read_failed", "rows_scanned == 0", "rows_scanned != meta_rows"
+FEW_SCANNED, SMALL_TRADE, SMALL_DEPTH = "rows_scanned < 90% of meta_rows", "meta_rows < 100 (small file)", "meta_rows < 10 (very small depth file)"
+DUPLICATES, NULLS, DEPTH_NULLS, BACKWARDS = "dup_tradeid > 0", "null_counts > 0", "null_counts > 0 (ts/firstId/lastId/eventTime)", "non_monotonic_ts > 0"
+GAPS_100MS, GAPS_1S, CROSSED, SAME = "gaps_gt_100ms > 0", "gaps_gt_1s > 0", "cross_book_count > 0 (bid_px > ask_px)", "duplicate_snapshot_count > 0"
+IDS_SWAPPED, IDS_OVERLAP, IDS_APART = "lastId < firstId (counted)", "id_overlap_count > 0 (firstId <= prev.lastId)", "id_gap_count > 0 (firstId > prev.lastId+1)"
+MANY_ZERO, NO_VALUES, PER_ROW = "high_fraction_{}_zero", "has_{0} but {0}_count==0", "per-row {} counts mismatch rows_scanned"
+FLATTENED, OUTLIER = "flattened_bid_or_ask_arrays_without_offsets (informational)", "{} statistical_outlier"
+
 
 def named(rules: list[tuple[str, Column]]) -> Column:
     """Names of the rules that hold, in order."""
     return F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules)), lambda n: n.isNotNull())
 
 
-def with_gaps(df: DataFrame, keys: list[str], order: list[str], ts: Column) -> DataFrame:
-    """df with dt, the advance from the row before; 0 where time goes back, which backwards marks."""
-    rows = df.withColumn("__ts", ts)
-    dt = F.col("__ts") - F.lag("__ts").over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("__dt", dt).withColumns({"dt": F.when(F.col("__dt").isNotNull(), F.greatest(F.col("__dt"), F.lit(0))), "backwards": F.col("__dt") < 0, "repeated": F.col("__dt") == 0}).drop("__dt")
+def with_gaps(df: DataFrame, keys: list[str], order: list[str], ts: Column, bucket: Column | None = None, more: dict[str, tuple[str, int]] | None = None) -> DataFrame:
+    """df with dt, the advance from the row before; 0 where time goes back, which backwards marks. more: further lags."""
+    rows = lagged(df.withColumn("__ts", ts), keys, order, {"__t": ("__ts", 1), **(more or {})}, bucket)
+    dt = F.col("__ts") - F.col("__t")
+    return rows.withColumns({"dt": F.when(dt.isNotNull(), F.greatest(dt, F.lit(0))), "backwards": dt < 0, "repeated": dt == 0}).drop("__t")
 
 
 def gap_measures(unit: int = MS) -> list[Column]:
@@ -55,59 +67,60 @@ def with_footers(audit: DataFrame, footers: DataFrame, key: str = "file") -> Dat
     return rows.withColumn("rows_ratio", F.when(F.col("meta_rows") > 0, F.col("rows") / F.col("meta_rows")))
 
 
-def _common(meta: bool, small: int) -> tuple[list[tuple[str, Column]], list[tuple[str, Column]]]:
-    first = [("rows_scanned == 0", F.col("rows") == 0)]
-    late: list[tuple[str, Column]] = []
-    if meta:
-        first = [("open_read_failed", F.col("open_failed")), *first, ("rows_scanned != meta_rows", F.col("rows") != F.col("meta_rows"))]
-        late = [("rows_scanned < 90% of meta_rows", F.col("rows_ratio") < 0.9), (f"meta_rows < {small}", (F.col("meta_rows") > 0) & (F.col("meta_rows") < small))]
-    return first, late
+def _first(meta: bool) -> list[tuple[str, Column]]:
+    none = (NO_ROWS, F.col("rows") == 0)
+    return [(OPEN_FAILED, F.col("open_failed")), none, (OTHER_ROWS, F.col("rows") != F.col("meta_rows"))] if meta else [none]
 
 
-def outliers(columns: list[str], most: float = 3.0) -> list[tuple[str, Column]]:
-    return [(f"{c} statistical_outlier", F.col(f"z_{c}") > most) for c in columns]
+def _small(meta: bool, name: str, rows: int) -> list[tuple[str, Column]]:
+    return [(name, (F.col("meta_rows") > 0) & (F.col("meta_rows") < rows))] if meta else []
 
 
-def trade_audit(df: DataFrame, keys: list[str], order: list[str], ts: Column, px: str, qty: str, id_: str, unit: int = MS, footers: DataFrame | None = None) -> DataFrame:
-    """Statistics and anomalies of each series of trades. One window and one aggregation on the same keys."""
-    rows = with_gaps(df, keys, order, ts)
+def outliers(scored: dict[str, str], most: float = 3.0) -> list[tuple[str, Column]]:
+    """Rules on the scores of columns, by the names that they are reported under."""
+    return [(OUTLIER.format(name), F.col(f"z_{c}") > most) for c, name in scored.items()]
+
+
+def trade_audit(df: DataFrame, keys: list[str], order: list[str], ts: Column, px: str, qty: str, id_: str, unit: int = MS, footers: DataFrame | None = None, bucket: Column | None = None) -> DataFrame:
+    """Statistics and anomalies of each series of trades; see with_last for bucket."""
+    rows = with_gaps(df, keys, order, ts, bucket)
     audit = rows.groupBy(*keys).agg(
         F.count("*").alias("rows"), F.min("__ts").alias("ts_min"), F.max("__ts").alias("ts_max"), F.count_if(F.col("__ts").isNull()).alias("ts_null"),
         *gap_measures(unit), *value_measures(px), *value_measures(qty), F.min(id_).alias("id_min"), F.max(id_).alias("id_max"),
         F.count_if(F.col(id_).isNull()).alias("id_null"), (F.count(id_) - F.count_distinct(F.col(id_))).alias("dup_ids"),
     )
-    scored = ["max_gap", "gap_mean", f"{px}_avg", f"{qty}_avg"]
-    if footers is not None:
-        audit, scored = with_footers(audit, footers), ["rows_ratio", *scored]
-    audit = with_scores(audit, scored)
-    first, late = _common(footers is not None, 100)
+    scored, meta = {"max_gap": "max_gap_ns", "gap_mean": "gap_mean", f"{px}_avg": "px_avg", f"{qty}_avg": "qty_avg"}, footers is not None
+    if meta:
+        audit, scored = with_footers(audit, footers), {"rows_ratio": "rows_ratio", **scored}
+    audit = with_scores(audit, list(scored))
     nulls = F.col("ts_null") + F.col(f"{px}_null") + F.col(f"{qty}_null") + F.col("id_null") > 0
-    rules = [*first, ("dup_tradeid > 0", F.col("dup_ids") > 0), ("null_counts > 0", nulls), ("non_monotonic_ts > 0", F.col("non_monotonic_ts") > 0), *late, *outliers(scored)]
+    rules = [
+        *_first(meta), (DUPLICATES, F.col("dup_ids") > 0), (NULLS, nulls), (BACKWARDS, F.col("non_monotonic_ts") > 0), *([(FEW_SCANNED, F.col("rows_ratio") < 0.9)] if meta else []),
+        *_small(meta, SMALL_TRADE, 100), *outliers(scored),
+    ]
     return audit.withColumn("anomalies", named(rules))
 
 
 BOOK = ["bid_px", "bid_qty", "ask_px", "ask_qty"]
 
 
-def top_audit(df: DataFrame, keys: list[str], order: list[str], ts: Column, unit: int = MS, footers: DataFrame | None = None) -> DataFrame:
+def top_audit(df: DataFrame, keys: list[str], order: list[str], ts: Column, unit: int = MS, footers: DataFrame | None = None, bucket: Column | None = None) -> DataFrame:
     """Statistics and anomalies of each series of best bids and asks; df has BOOK and valu."""
-    own = F.struct(*BOOK)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    rows = with_gaps(df, keys, order, ts).withColumn("same", own == F.lag(own).over(w))
+    rows = with_gaps(df.withColumn("__own", F.struct(*BOOK)), keys, order, ts, bucket, {"__last": ("__own", 1)}).withColumn("same", F.col("__own") == F.col("__last"))
     audit = rows.groupBy(*keys).agg(
         F.count("*").alias("rows"), F.min("__ts").alias("ts_min"), F.max("__ts").alias("ts_max"), F.count_if(F.col("__ts").isNull()).alias("ts_null"), *gap_measures(unit),
         *(m for c in (*BOOK, "valu") for m in value_measures(c, spread=True)), *crossed("bid_px", "ask_px"), F.count_if("same").alias("duplicate_snapshots"),
     )
-    scored = ["bid_px_avg", "bid_qty_avg", "max_gap"]
-    if footers is not None:
-        audit, scored = with_footers(audit, footers), ["rows_ratio", *scored]
-    audit = with_scores(audit, scored)
-    first, late = _common(footers is not None, 100)
+    scored, meta = {"bid_px_avg": "px_avg", "bid_qty_avg": "qty_avg", "max_gap": "max_gap_ns"}, footers is not None
+    if meta:
+        audit, scored = with_footers(audit, footers), {"rows_ratio": "rows_ratio", **scored}
+    audit = with_scores(audit, list(scored))
     nulls = sum((F.col(f"{c}_null") for c in (*BOOK, "valu")), F.col("ts_null")) > 0
     rules = [
-        *first, ("null_counts > 0", nulls), ("non_monotonic_ts > 0", F.col("non_monotonic_ts") > 0), ("gaps_gt_100ms > 0", F.col("gaps_100ms") > 0),
-        ("gaps_gt_1s > 0", F.col("gaps_1s") > 0), ("cross_book_count > 0", F.col("crossed") > 0), ("duplicate_snapshot_count > 0", F.col("duplicate_snapshots") > 0),
-        *((f"high_fraction_{c}_zero", F.col(f"{c}_zero") * 10 > F.col("rows")) for c in ("bid_px", "ask_px", "bid_qty", "ask_qty")), *late[1:], *outliers(scored),
+        *_first(meta), (NULLS, nulls), (BACKWARDS, F.col("non_monotonic_ts") > 0), (GAPS_100MS, F.col("gaps_100ms") > 0), (GAPS_1S, F.col("gaps_1s") > 0),
+        (CROSSED, F.col("crossed") > 0), (SAME, F.col("duplicate_snapshots") > 0),
+        *((MANY_ZERO.format(c), F.col(f"{c}_zero") * 10 > F.col("rows") - F.col(f"{c}_null")) for c in ("bid_px", "ask_px", "bid_qty", "ask_qty")),
+        *_small(meta, SMALL_TRADE, 100), *outliers(scored),
     ]
     return audit.withColumn("anomalies", named(rules))
 
@@ -117,11 +130,13 @@ def crossed(bid: str, ask: str) -> list[Column]:
     return [F.count_if(F.col(bid) > F.col(ask)).alias("crossed"), F.count_if(F.col(bid) >= F.col(ask)).alias("crossed_or_touching")]
 
 
-def with_id_checks(df: DataFrame, keys: list[str], order: list[str], first: str = "firstId", last: str = "lastId") -> DataFrame:
-    before = F.lag(last).over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("__before", before).withColumns({
-        "last_lt_first": F.col(last) < F.col(first), "id_overlap": F.col(first) <= F.col("__before"), "id_gap": F.col(first) > F.col("__before") + 1,
-    }).drop("__before")
+def id_checks(first: str, last: str, before: str) -> dict[str, Column]:
+    """Faults of update ids, before being the last id of the row before."""
+    return {"last_lt_first": F.col(last) < F.col(first), "id_overlap": F.col(first) <= F.col(before), "id_gap": F.col(first) > F.col(before) + 1}
+
+
+def with_id_checks(df: DataFrame, keys: list[str], order: list[str], first: str = "firstId", last: str = "lastId", bucket: Column | None = None) -> DataFrame:
+    return lagged(df, keys, order, {"__before": (last, 1)}, bucket).withColumns(id_checks(first, last, "__before")).drop("__before")
 
 
 def side_measures(side: str) -> list[Column]:
@@ -131,6 +146,7 @@ def side_measures(side: str) -> list[Column]:
     for field in ("px", "qty"):
         values = c.getField(field)
         out += [
+            F.sum(F.size(F.filter(values, lambda x: x.isNotNull()))).alias(f"{side}_{field}_count"),
             F.min(F.array_min(values)).alias(f"{side}_{field}_min"), F.max(F.array_max(values)).alias(f"{side}_{field}_max"),
             F.sum(F.aggregate(values, F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x, F.lit(0)))).alias(f"{side}_{field}_sum"),
             F.sum(F.size(F.filter(values, lambda x: x == 0))).alias(f"{side}_{field}_zero"),
@@ -138,28 +154,39 @@ def side_measures(side: str) -> list[Column]:
     return out
 
 
-def depth_audit(df: DataFrame, keys: list[str], order: list[str], ts: Column, unit: int = MS, footers: DataFrame | None = None) -> DataFrame:
-    """Statistics and anomalies of each series of book updates; df has firstId, lastId, ask and bid."""
-    rows = with_id_checks(with_gaps(df, keys, order, ts), keys, order)
+def depth_audit(df: DataFrame, keys: list[str], order: list[str], ts: Column, unit: int = MS, footers: DataFrame | None = None, bucket: Column | None = None) -> DataFrame:
+    """Statistics and anomalies of each series of book updates; df has firstId, lastId, ask and bid.
+
+    Of files in a flattened layout df may also have the booleans bid_per_row and ask_per_row (false: values without
+    offsets, which can't be told by row); in the nested layout every row has its levels.
+    """
+    flat = {s: F.col(f"{s}_per_row") if f"{s}_per_row" in df.columns else F.lit(None).cast("boolean") for s in ("bid", "ask")}
     # the first levels' price, and whether it jumps over tenfold
     sample = F.coalesce(F.get(F.col("ask"), F.lit(0))["px"], F.get(F.col("bid"), F.lit(0))["px"])
-    rows = rows.withColumns({"sample_px": sample, "first_bid": F.get(F.col("bid"), F.lit(0))["px"], "first_ask": F.get(F.col("ask"), F.lit(0))["px"]})
-    rows = rows.withColumn("jump", jump(F.col("sample_px"), F.lag("sample_px").over(Window.partitionBy(*keys).orderBy(*order))))
+    rows = df.withColumns({"sample_px": sample, "first_bid": F.get(F.col("bid"), F.lit(0))["px"], "first_ask": F.get(F.col("ask"), F.lit(0))["px"]})
+    rows = with_gaps(rows, keys, order, ts, bucket, {"__before": ("lastId", 1), "__px": ("sample_px", 1)})
+    rows = rows.withColumns({**id_checks("firstId", "lastId", "__before"), "jump": jump(F.col("sample_px"), F.col("__px"))})
     first_qty = F.get(F.col("ask"), F.lit(0))["qty"]
     audit = rows.groupBy(*keys).agg(
         F.count("*").alias("rows"), *gap_measures(unit), F.count_if(F.col("__ts").isNull() | F.col("firstId").isNull() | F.col("lastId").isNull()).alias("id_null"),
         *(F.count_if(c).alias(c) for c in ("last_lt_first", "id_overlap", "id_gap")), *side_measures("ask"), *side_measures("bid"), F.count_if("jump").alias("jumps"),
         *crossed("first_bid", "first_ask"), F.count_if(F.col("sample_px") % 1000 != 0).alias("px_not_div1000"), F.count_if(first_qty % 100_000_000 != 0).alias("qty_not_div1e8"),
+        *(F.bool_and(c).alias(f"{s}_per_row") for s, c in flat.items()),
     )
-    if footers is not None:
+    meta = footers is not None
+    if meta:
         audit = with_footers(audit, footers)
-    first, late = _common(footers is not None, 10)
+    values = [f"{s}_{f}" for f in ("px", "qty") for s in ("bid", "ask")]
+    per_row = {s: F.col(f"{s}_per_row") & (F.col(f"{s}_px_count") != F.col("rows")) & (F.col(f"{s}_qty_count") != F.col("rows")) for s in ("bid", "ask")}
+    flattened = reduce(Column.__or__, (~F.col(f"{s}_per_row") & (F.col(f"{s}_{f}_count") > 0) for s in ("bid", "ask") for f in ("px", "qty")))
     rules = [
-        *first, ("null_counts > 0", F.col("id_null") > 0), ("non_monotonic_ts > 0", F.col("non_monotonic_ts") > 0), ("lastId < firstId", F.col("last_lt_first") > 0),
-        ("id_overlap_count > 0", F.col("id_overlap") > 0), ("id_gap_count > 0", F.col("id_gap") > 0), *((f"has_{s} but {s}_count==0", F.col(f"{s}_levels") == 0) for s in ("bid", "ask")),
-        *((f"high_fraction_{s}_{f}_zero", F.col(f"{s}_{f}_zero") * 10 > F.col(f"{s}_levels")) for f in ("qty", "px") for s in ("bid", "ask")), *late[1:],
+        *_first(meta), (DEPTH_NULLS, F.col("id_null") > 0), (BACKWARDS, F.col("non_monotonic_ts") > 0), (IDS_SWAPPED, F.col("last_lt_first") > 0),
+        (IDS_OVERLAP, F.col("id_overlap") > 0), (IDS_APART, F.col("id_gap") > 0), *((NO_VALUES.format(v), F.col(f"{v}_count") == 0) for v in values),
+        *((MANY_ZERO.format(f"{s}_{f}"), F.col(f"{s}_{f}_zero") * 10 > F.col(f"{s}_{f}_count")) for f in ("qty", "px") for s in ("bid", "ask")),
+        *((PER_ROW.format(s), c) for s, c in per_row.items()), (FLATTENED, flattened), *_small(meta, SMALL_DEPTH, 10),
     ]
-    return audit.withColumn("anomalies", named(rules)).withColumn("problematic", problematic())
+    information = F.coalesce(flattened, F.lit(False)) | F.coalesce(per_row["bid"] | per_row["ask"], F.lit(False))
+    return audit.withColumn("anomalies", named(rules)).withColumns({"problematic": problematic(), "problematic_with_info": problematic(information)})
 
 
 def problematic(information: Column | None = None) -> Column:

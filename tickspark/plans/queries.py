@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from tickspark.functions import params, scalar
 from tickspark.operators import aggregates, algos, align, arbitrage, arma, audit, rows, sorting
-from tickspark.sources import files, sinks
+from tickspark.sources import files, sinks, store, ticks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,6 +42,14 @@ def day(ts: str) -> Column:
     return F.floor(scalar.micros(ts) / 86_400_000_000)
 
 
+#: The day of events' us: a bucket for series over time.
+DAY_US = 86_400_000_000
+
+
+def us_day() -> Column:
+    return F.floor(F.col("us") / DAY_US)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("us", scalar.micros("ts"))
 
@@ -54,15 +62,15 @@ LINE_SQL = ", ".join(LINE)
 @query("SELECT event_id, epoch_us(ts) AS us, value FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-12'")
 def range_scan(spark, sf_dir):  # S3 S4 F2
     start, end = (F.expr(f"TIMESTAMP_NTZ '2024-01-{d} 00:00:00'") for d in ("05", "12"))
-    own = table(spark, sf_dir, "events").where((F.col("ts") >= start) & (F.col("ts") < end))
+    own = table(spark, sf_dir, "events").where(rows.in_range("ts", start, end))
     return own.select("event_id", scalar.micros("ts").alias("us"), "value")
 
 
-@query("SELECT l_extendedprice AS px, l_quantity AS qty, l_orderkey AS \"tradeId\" FROM lineitem WHERE l_returnflag = 'R'")
+@query("SELECT l_extendedprice AS px, l_quantity AS qty, l_orderkey AS \"tradeId\" FROM lineitem")
 def column_alias_select(spark, sf_dir):  # F1
     names = {"px": "l_extendedprice", "qty": "l_quantity", "tradeId": "l_orderkey", "ts": "l_shipdate"}
     wanted = params.columns("trade", "Price, SIZE, tid, no_such_column")
-    return table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(*(F.col(names[c]).alias(c) for c in wanted))
+    return table(spark, sf_dir, "lineitem").select(*(F.col(names[c]).alias(c) for c in wanted))
 
 
 @query("SELECT event_id, nth FROM (SELECT event_id, CAST(row_number() OVER (ORDER BY ts, event_id) AS BIGINT) AS nth FROM events) WHERE nth % 100 = 0")
@@ -83,11 +91,10 @@ def iso_format(spark, sf_dir):  # C1 C2 C3
 
 
 @query("""SELECT event_id, CAST(event_id AS VARCHAR) || ';' || strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%g') || 'Z;' || printf('%.8f', value) AS line
-    FROM events WHERE event_type = 'click'""")
+    FROM events""")
 def reader_lines(spark, sf_dir):  # K6 K9 C5
     px = scalar.fixed(cents("value", 100) * 1_000_000)
-    own = table(spark, sf_dir, "events").where("event_type = 'click'")
-    return own.select("event_id", sinks.reader_line([F.col("event_id"), sinks.shown_time(scalar.nanos("ts")), px]).alias("line"))
+    return table(spark, sf_dir, "events").select("event_id", sinks.reader_line([F.col("event_id"), sinks.shown_time(scalar.nanos("ts")), px]).alias("line"))
 
 
 GAPS_SQL = """
@@ -99,50 +106,89 @@ SELECT user_id, 'gap' AS kind, a AS first_event_id, a_us AS first_us, event_id A
 
 @query(GAPS_SQL)
 def gap_report(spark, sf_dir):  # W1 W2
-    return rows.gap_report(events(spark, sf_dir), ["user_id"], ["us", "event_id"], F.col("us"), 43_200_000_000, ["event_id", "us"], edges=False)
+    return rows.gap_report(events(spark, sf_dir), ["user_id"], ["us", "event_id"], F.col("us"), 43_200_000_000, ["event_id", "us"], edges=False, bucket=us_day())
 
 
 @query(GAPS_SQL + """UNION ALL SELECT user_id, 'first', event_id, us, event_id, us, 0 FROM w WHERE a IS NULL
 UNION ALL SELECT user_id, 'last', event_id, us, event_id, us, 0 FROM w WHERE n IS NULL""")
 def edge_rows(spark, sf_dir):  # W1
-    return rows.gap_report(events(spark, sf_dir), ["user_id"], ["us", "event_id"], F.col("us"), 43_200_000_000, ["event_id", "us"])
+    return rows.gap_report(events(spark, sf_dir), ["user_id"], ["us", "event_id"], F.col("us"), 43_200_000_000, ["event_id", "us"], bucket=us_day())
 
 
-@query("""
-WITH w AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events),
-m AS (SELECT user_id, count(*) AS n, min(epoch_us(ts)) AS ts_min, max(epoch_us(ts)) AS ts_max, max(greatest(d, 0)) AS max_gap,
-    CAST(sum(greatest(d, 0)) AS DOUBLE) / count(d) AS gap_mean,
-    count(*) FILTER (d >= 100000) AS gaps_100ms, count(*) FILTER (d >= 1000000) AS gaps_1s, count(*) FILTER (d < 0) AS non_monotonic_ts,
-    min(round(value * 100)) AS px_min, max(round(value * 100)) AS px_max, avg(CAST(round(value * 100) AS BIGINT)) AS px_avg,
-    avg(CAST(json_extract(props, '$.k') AS BIGINT)) AS qty_avg, count(event_id) - count(DISTINCT event_id) AS dup_ids FROM w GROUP BY user_id),
-z AS (SELECT *, abs(max_gap - avg(max_gap) OVER ()) / stddev_samp(max_gap) OVER () AS zg, abs(gap_mean - avg(gap_mean) OVER ()) / stddev_samp(gap_mean) OVER () AS zm,
-    abs(px_avg - avg(px_avg) OVER ()) / stddev_samp(px_avg) OVER () AS zp, abs(qty_avg - avg(qty_avg) OVER ()) / stddev_samp(qty_avg) OVER () AS zq FROM m)
-SELECT user_id, n AS "rows", ts_min, ts_max, max_gap, gap_mean, gaps_100ms, gaps_1s, non_monotonic_ts, CAST(px_min AS BIGINT) AS px_min, CAST(px_max AS BIGINT) AS px_max,
-    px_avg, qty_avg, dup_ids, concat_ws('|', CASE WHEN dup_ids > 0 THEN 'dup_tradeid > 0' END, CASE WHEN non_monotonic_ts > 0 THEN 'non_monotonic_ts > 0' END,
-    CASE WHEN zg > 3 THEN 'max_gap statistical_outlier' END, CASE WHEN zm > 3 THEN 'gap_mean statistical_outlier' END,
-    CASE WHEN zp > 3 THEN 'px_avg statistical_outlier' END, CASE WHEN zq > 3 THEN 'qty_avg statistical_outlier' END) AS anomalies FROM z""")
+#: Rules on trades in SQL, by name; meta: with what footers tell.
+TRADE_RULES = {
+    "dup_tradeid > 0": "dup_ids > 0", "null_counts > 0": "px_null + qty_null + id_null > 0", "non_monotonic_ts > 0": "non_monotonic_ts > 0",
+    "max_gap_ns statistical_outlier": "zg > 3", "gap_mean statistical_outlier": "zm > 3", "px_avg statistical_outlier": "zp > 3", "qty_avg statistical_outlier": "zq > 3",
+}
+META_RULES = {"open_read_failed": "open_failed", "rows_scanned == 0": "n = 0", "rows_scanned != meta_rows": "n <> meta_rows"}
+SIZE_RULES = {"rows_scanned < 90% of meta_rows": "n < 0.9 * meta_rows", "meta_rows < 100 (small file)": "meta_rows > 0 AND meta_rows < 100"}
+
+
+def rules_sql(rules: dict[str, str]) -> str:
+    return "concat_ws('|', " + ", ".join(f"CASE WHEN {c} THEN '{n}' END" for n, c in rules.items()) + ")"
+
+
+def score_sql(column: str) -> str:
+    return f"CASE WHEN stddev_samp({column}) OVER () > 0 THEN abs({column} - avg({column}) OVER ()) / stddev_samp({column}) OVER () ELSE 0 END"
+
+
+#: Measures of trades(px, qty, id, d) in SQL; qty and id have nulls, ids come twice.
+TRADE_MEASURES = """count(*) AS n, max(greatest(d, 0)) AS max_gap, CAST(sum(greatest(d, 0)) AS DOUBLE) / count(d) AS gap_mean,
+    count(*) FILTER (d < 0) AS non_monotonic_ts, min(px) AS px_min, max(px) AS px_max, avg(px) AS px_avg, avg(qty) AS qty_avg, count(*) FILTER (px IS NULL) AS px_null,
+    count(*) FILTER (qty IS NULL) AS qty_null, count(*) FILTER (qty = 0) AS qty_zero, min(id) AS id_min, max(id) AS id_max, count(*) FILTER (id IS NULL) AS id_null, count(id) - count(DISTINCT id) AS dup_ids"""
+TRADE_SCORES = f"{score_sql('max_gap')} AS zg, {score_sql('gap_mean')} AS zm, {score_sql('px_avg')} AS zp, {score_sql('qty_avg')} AS zq"
+TRADE_SQL = "CAST(round(value * 100) AS BIGINT) AS px, NULLIF(CAST(json_extract(props, '$.k') AS BIGINT), 3) AS qty, CASE WHEN event_id % 500 <> 7 THEN event_id - (event_id % 90 = 1)::INT END AS id"
+
+
+def _trades(spark, sf_dir):
+    k, twice = files.json_field("props", "$.k", "long"), (F.col("event_id") % 90 == 1).cast("int")
+    return events(spark, sf_dir).withColumns({
+        "px": cents("value"), "qty": F.when(k != 3, k), "id": F.when(F.col("event_id") % 500 != 7, F.col("event_id") - twice),
+    })
+
+
+TRADE_NAMES = ["max_gap", "gap_mean", "non_monotonic_ts", "px_min", "px_max", "px_avg", "qty_avg", "px_null", "qty_null", "qty_zero", "id_min", "id_max", "id_null", "dup_ids"]
+
+
+@query(f"""
+WITH w AS (SELECT *, {TRADE_SQL}, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events),
+m AS (SELECT user_id, {TRADE_MEASURES}, min(epoch_us(ts)) AS ts_min, max(epoch_us(ts)) AS ts_max, count(*) FILTER (d >= 100000) AS gaps_100ms, count(*) FILTER (d >= 1000000) AS gaps_1s FROM w GROUP BY user_id),
+z AS (SELECT *, {TRADE_SCORES} FROM m)
+SELECT user_id, n AS "rows", ts_min, ts_max, gaps_100ms, gaps_1s, {', '.join(TRADE_NAMES)}, {rules_sql({"rows_scanned == 0": "n = 0"} | TRADE_RULES)} AS anomalies FROM z""")
 def trade_audit(spark, sf_dir):  # A1-A7 A19 R1 R6 K3
-    own = events(spark, sf_dir).select("user_id", "us", "event_id", cents("value").alias("px"), files.json_field("props", "$.k", "long").alias("qty"))
-    out = audit.trade_audit(own, ["user_id"], ["us", "event_id"], F.col("us"), "px", "qty", "event_id", unit=1000)
-    names = ["user_id", "rows", "ts_min", "ts_max", "max_gap", "gap_mean", "gaps_100ms", "gaps_1s", "non_monotonic_ts", "px_min", "px_max", "px_avg", "qty_avg", "dup_ids"]
-    return out.select(*names, F.array_join("anomalies", "|").alias("anomalies"))
+    out = audit.trade_audit(_trades(spark, sf_dir), ["user_id"], ["us", "event_id"], F.col("us"), "px", "qty", "id", unit=1000, bucket=us_day())
+    return out.select("user_id", "rows", "ts_min", "ts_max", "gaps_100ms", "gaps_1s", *TRADE_NAMES, F.array_join("anomalies", "|").alias("anomalies"))
 
 
-@query("""
+#: Rules on best bids and asks in SQL.
+TOP_RULES = {
+    "rows_scanned == 0": "n = 0", "null_counts > 0": "valu_null > 0", "non_monotonic_ts > 0": "non_monotonic_ts > 0", "gaps_gt_100ms > 0": "gaps_100ms > 0", "gaps_gt_1s > 0": "gaps_1s > 0",
+    "cross_book_count > 0 (bid_px > ask_px)": "crossed > 0", "duplicate_snapshot_count > 0": "duplicate_snapshots > 0",
+    **{f"high_fraction_{c}_zero": f"{c}_zero * 10 > n" for c in ("bid_px", "ask_px", "bid_qty", "ask_qty")},
+    "px_avg statistical_outlier": "zp > 3", "qty_avg statistical_outlier": "zq > 3", "max_gap_ns statistical_outlier": "zg > 3",
+}
+TOP_VALUES = ["bid_px", "bid_qty", "ask_px", "ask_qty", "valu"]
+TOP_NAMES = ["max_gap", "gaps_100ms", "gaps_1s", "repeated_ts", "non_monotonic_ts", "crossed", "crossed_or_touching", "duplicate_snapshots"]
+
+
+@query(f"""
 WITH t AS (SELECT l_suppkey, epoch_us(l_shipdate) AS us, CAST(round(l_extendedprice * 100) AS BIGINT) AS ask_px, CAST(round(l_quantity * 2000) AS BIGINT) * 130 AS bid_px,
-    CAST(l_quantity AS BIGINT) AS ask_qty, CAST(l_linenumber AS BIGINT) AS bid_qty, CAST(round(l_discount * 100) AS BIGINT) AS valu, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, """ + LINE_SQL + """) AS k FROM lineitem),
-w AS (SELECT *, us - lag(us) OVER o AS d, lag(bid_px) OVER o = bid_px AND lag(ask_px) OVER o = ask_px AND lag(bid_qty) OVER o = bid_qty AND lag(ask_qty) OVER o = ask_qty AS same FROM t WINDOW o AS (PARTITION BY l_suppkey ORDER BY k))
-SELECT l_suppkey, count(*) AS "rows", max(greatest(d, 0)) AS max_gap, count(*) FILTER (d >= 1000000) AS gaps_1s, count(*) FILTER (d = 0) AS repeated_ts,
-    count(*) FILTER (bid_px > ask_px) AS crossed, count(*) FILTER (bid_px >= ask_px) AS crossed_or_touching, count(*) FILTER (same) AS duplicate_snapshots,
-    count(*) FILTER (valu = 0) AS valu_zero, avg(ask_px) AS ask_px_avg, count(*) FILTER (bid_px > ask_px) > 0 AS crossed_rule FROM w GROUP BY l_suppkey""")
+    CAST(l_quantity AS BIGINT) % 8 AS ask_qty, CAST(l_linenumber AS BIGINT) AS bid_qty, NULLIF(CAST(round(l_discount * 100) AS BIGINT), 3) AS valu, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, {LINE_SQL}) AS k FROM lineitem),
+w AS (SELECT *, us - lag(us) OVER o AS d, lag(bid_px) OVER o = bid_px AND lag(ask_px) OVER o = ask_px AND lag(bid_qty) OVER o = bid_qty AND lag(ask_qty) OVER o = ask_qty AS same FROM t WINDOW o AS (PARTITION BY l_suppkey ORDER BY k)),
+m AS (SELECT l_suppkey, count(*) AS n, max(greatest(d, 0)) AS max_gap, count(*) FILTER (d >= 100000) AS gaps_100ms, count(*) FILTER (d >= 1000000) AS gaps_1s, count(*) FILTER (d = 0) AS repeated_ts,
+    count(*) FILTER (d < 0) AS non_monotonic_ts, count(*) FILTER (bid_px > ask_px) AS crossed, count(*) FILTER (bid_px >= ask_px) AS crossed_or_touching, count(*) FILTER (same) AS duplicate_snapshots,
+    {", ".join(f"min({c}) AS {c}_min, max({c}) AS {c}_max, avg({c}) AS {c}_avg, count(*) FILTER ({c} = 0) AS {c}_zero, count(*) FILTER ({c} IS NULL) AS {c}_null, round(coalesce(stddev_samp({c}), 0), 4) AS {c}_sd" for c in TOP_VALUES)} FROM w GROUP BY l_suppkey),
+z AS (SELECT *, {score_sql("bid_px_avg")} AS zp, {score_sql("bid_qty_avg")} AS zq, {score_sql("max_gap")} AS zg FROM m)
+SELECT l_suppkey, n AS "rows", {", ".join(TOP_NAMES)}, {", ".join(f"{c}_{x}" for c in TOP_VALUES for x in ("min", "max", "avg", "zero", "null", "sd"))}, {rules_sql(TOP_RULES)} AS anomalies FROM z""")
 def top_audit(spark, sf_dir):  # A2 A9 A10 A11 A12 R2
+    discount = cents("l_discount")
     own = table(spark, sf_dir, "lineitem").select(
-        "*", scalar.micros("l_shipdate").alias("us"), cents("l_extendedprice").alias("ask_px"), (cents("l_quantity", 2000) * 130).alias("bid_px"),
-        F.col("l_quantity").cast("long").alias("ask_qty"), F.col("l_linenumber").cast("long").alias("bid_qty"), cents("l_discount").alias("valu"),
+        *LINE, scalar.micros("l_shipdate").alias("us"), cents("l_extendedprice").alias("ask_px"), (cents("l_quantity", 2000) * 130).alias("bid_px"),
+        (F.col("l_quantity").cast("long") % 8).alias("ask_qty"), F.col("l_linenumber").cast("long").alias("bid_qty"), F.when(discount != 3, discount).alias("valu"),
     )
-    out = audit.top_audit(own, ["l_suppkey"], ["us", *LINE], F.col("us"), unit=1000)
-    names = ["l_suppkey", "rows", "max_gap", "gaps_1s", "repeated_ts", "crossed", "crossed_or_touching", "duplicate_snapshots", "valu_zero", "ask_px_avg"]
-    return out.select(*names, F.array_contains("anomalies", "cross_book_count > 0").alias("crossed_rule"))
+    out = audit.top_audit(own, ["l_suppkey"], ["us", *LINE], F.col("us"), unit=1000, bucket=F.floor(F.col("us") / (90 * DAY_US)))
+    measures = [F.round(f"{c}_sd", 4).alias(f"{c}_sd") if x == "sd" else f"{c}_{x}" for c in TOP_VALUES for x in ("min", "max", "avg", "zero", "null", "sd")]
+    return out.select("l_suppkey", "rows", *TOP_NAMES, *measures, F.array_join("anomalies", "|").alias("anomalies"))
 
 
 @query("""
@@ -166,7 +212,7 @@ WITH g AS (SELECT l_suppkey, l_orderkey, min(l_partkey) AS f, max(l_partkey) AS
 SELECT l_suppkey, count(*) FILTER (l < f) AS last_lt_first, count(*) FILTER (f <= p) AS id_overlap, count(*) FILTER (f > p + 1) AS id_gap FROM w GROUP BY l_suppkey""")
 def id_overlap_gap(spark, sf_dir):  # A13
     own = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_orderkey").agg(F.min("l_partkey").alias("firstId"), F.max("l_partkey").alias("lastId"))
-    own = audit.with_id_checks(own, ["l_suppkey"], ["l_orderkey"])
+    own = audit.with_id_checks(own, ["l_suppkey"], ["l_orderkey"], bucket=F.floor(F.col("l_orderkey") / 1000))
     return own.groupBy("l_suppkey").agg(*(F.count_if(c).alias(c) for c in ("last_lt_first", "id_overlap", "id_gap")))
 
 
@@ -200,8 +246,8 @@ w AS (SELECT symbol, px, lag(px) OVER (PARTITION BY symbol ORDER BY """ + LINE_S
 SELECT symbol, count(*) FILTER (px > 0 AND p > 0 AND greatest(px, p) > 10 * least(px, p)) AS jumps FROM w GROUP BY symbol""")
 def price_jump_10x(spark, sf_dir):  # A15
     own = table(spark, sf_dir, "lineitem").withColumns({"symbol": F.col("l_partkey") % 50, "px": cents("l_extendedprice")})
-    jump = audit.jump(F.col("px"), F.lag("px").over(Window.partitionBy("symbol").orderBy(*LINE)))
-    return own.withColumn("jump", jump).groupBy("symbol").agg(F.count_if("jump").alias("jumps"))
+    own = rows.lagged(own.select("symbol", "px", *LINE), ["symbol"], LINE, {"before": ("px", 1)}, F.floor(F.col("l_orderkey") / 1000))
+    return own.withColumn("jump", audit.jump(F.col("px"), F.col("before"))).groupBy("symbol").agg(F.count_if("jump").alias("jumps"))
 
 
 @query("""SELECT l_linestatus, count(*) FILTER (CAST(round(l_extendedprice * 100) AS BIGINT) % 1000 <> 0) AS px_odd, count(*) FILTER (CAST(l_quantity AS BIGINT) % 5 <> 0) AS qty_odd FROM lineitem GROUP BY l_linestatus""")
@@ -214,20 +260,20 @@ def divisibility(spark, sf_dir):  # A16
 SELECT event_id, event_type, CAST(s AS BIGINT) AS rolling_sum FROM (SELECT event_id, event_type, CAST(round(value * 100) AS BIGINT) AS v, sum(CAST(round(value * 100) AS BIGINT)) OVER w AS s, count(*) OVER w AS n
     FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id ROWS 9 PRECEDING)) WHERE n = 10 AND v * 10 > s * 2""")
 def rolling_spike(spark, sf_dir):  # W3
-    return rows.spikes(table(spark, sf_dir, "events"), ["event_type"], ["ts", "event_id"], cents("value")).select("event_id", "event_type", "rolling_sum")
+    return rows.spikes(table(spark, sf_dir, "events"), ["event_type"], ["ts", "event_id"], cents("value"), bucket=day("ts")).select("event_id", "event_type", "rolling_sum")
 
 
 @query("""
 SELECT user_id, count(*) FILTER (n > 0 AND v * n > s) AS above FROM (SELECT user_id, CAST(round(value * 100) AS BIGINT) AS v, sum(CAST(round(value * 100) AS BIGINT)) OVER w AS s, count(*) OVER w AS n
     FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) GROUP BY user_id""")
 def expanding_mean_count(spark, sf_dir):  # W4
-    return rows.above_mean_so_far(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], cents("value"))
+    return rows.above_mean_so_far(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], cents("value"), day("ts"))
 
 
 @query("""SELECT event_id, CAST(sum(CAST(round(value * 100) AS BIGINT)) OVER w AS DOUBLE) / count(*) OVER w AS running_mean FROM events
     WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def running_average(spark, sf_dir):  # W15
-    return rows.running_mean(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], cents("value")).select("event_id", "running_mean")
+    return rows.running_mean(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], cents("value"), bucket=day("ts")).select("event_id", "running_mean")
 
 
 @query("""
@@ -349,8 +395,8 @@ y AS (SELECT *, ln(value + 1) - ln(lag(value + 1) OVER (PARTITION BY user_id, se
 
 
 def _series(spark, sf_dir):
-    own = rows.segments(events(spark, sf_dir), ["user_id"], ["us", "event_id"], F.col("us"), 172_800_000_000, F.col("value") > 2)
-    return arma.returns(own, ["user_id"], ["us", "event_id"], F.col("value") + 1)
+    own = rows.segments(events(spark, sf_dir), ["user_id"], ["us", "event_id"], F.col("us"), 172_800_000_000, F.col("value") > 2, us_day())
+    return arma.returns(own, ["user_id"], ["us", "event_id"], F.col("value") + 1, bucket=us_day())
 
 
 @query(SERIES_SQL + "SELECT user_id, event_id, segment, round(y, 8) AS y FROM r")
@@ -362,8 +408,8 @@ def returns_segments(spark, sf_dir):  # F10 W6 W7
 m AS (SELECT user_id, count(*) AS used, sum(pow(lam, age) * x * x) + 0.001 AS a, sum(pow(lam, age) * x) AS b, sum(pow(lam, age)) + 0.001 AS d, sum(pow(lam, age) * x * y) AS u, sum(pow(lam, age) * y) AS v FROM k GROUP BY user_id)
 SELECT user_id, used, round((u * d - b * v) / (a * d - b * b), 6) AS phi1, round((a * v - b * u) / (a * d - b * b), 6) AS intercept FROM m WHERE used >= 20""")
 def ew_ar_fit(spark, sf_dir):  # W8 W9 M1 M3 K11
-    own = arma.lagged(_series(spark, sf_dir), ["user_id"], ["us", "event_id"], 1)
-    out = arma.solve_ar(arma.moments(own, ["user_id"], ["us", "event_id"], 1, 50), ["user_id"], 1, 0.001).where("used >= 20")
+    own = arma.lagged(_series(spark, sf_dir), ["user_id"], ["us", "event_id"], 1, us_day())
+    out = arma.solve_ar(arma.moments(own, ["user_id"], ["us", "event_id"], 1, 50, us_day()), ["user_id"], 1, 0.001).where("used >= 20")
     return out.select("user_id", "used", F.round(F.col("theta")[0], 6).alias("phi1"), F.round(F.col("theta")[1], 6).alias("intercept"))
 
 
@@ -372,9 +418,9 @@ def ew_ar_fit(spark, sf_dir):  # W8 W9 M1 M3 K11
 SELECT user_id, count(*) AS n, round(sqrt(sum((y - z) * (y - z)) / count(*)), 6) AS rmse, round(sum(abs(y - z)) / count(*), 6) AS mae, round(1 - sum((y - z) * (y - z)) / (var_pop(y) * count(*)), 4) AS r2,
     round(sum(y * z) / sqrt(sum(z * z) * sum(y * y)), 6) AS corr FROM o GROUP BY user_id HAVING count(*) >= 5""")
 def oos_metrics(spark, sf_dir):  # A29 M6
-    own = arma.split(_series(spark, sf_dir), ["user_id"], ["us", "event_id"], 0.3)
-    before = F.lag("y").over(Window.partitionBy("user_id", "segment").orderBy("us", "event_id"))
-    own = own.withColumn("z", -0.5 * before).where("test AND z IS NOT NULL")
+    own = arma.split(_series(spark, sf_dir), ["user_id"], ["us", "event_id"], 0.3, us_day())
+    own = arma.rows_before(own, ["user_id"], ["us", "event_id"], "y", 1, us_day())
+    own = own.withColumn("z", -0.5 * F.col("__y1")).where("test AND z IS NOT NULL")
     out = arma.errors(own, ["user_id"], "y", "z").where("n >= 5")
     return out.select("user_id", "n", F.round("rmse", 6).alias("rmse"), F.round("mae", 6).alias("mae"), F.round("r2", 4).alias("r2"), F.round("corr", 6).alias("corr"))
 
@@ -384,13 +430,35 @@ l AS (SELECT *, lag(d) OVER w AS d1, lag(d, 2) OVER w AS d2 FROM d WINDOW w AS (
 q AS (SELECT user_id, n, sum(d * d1) / sum(d * d) AS r1, sum(d * d2) / sum(d * d) AS r2 FROM l GROUP BY user_id, n HAVING n >= 10)
 SELECT user_id, n, round(r1, 6) AS rho_1, round(r2, 6) AS rho_2, round(n * (n + 2) * (coalesce(r1 * r1, 0) / (n - 1) + coalesce(r2 * r2, 0) / (n - 2)), 4) AS q FROM q""")
 def autocorr(spark, sf_dir):  # M4
-    out = arma.autocorrelations(_series(spark, sf_dir), ["user_id"], ["us", "event_id"], "y", 2).where("n >= 10")
+    out = arma.autocorrelations(_series(spark, sf_dir), ["user_id"], ["us", "event_id"], "y", 2, us_day()).where("n >= 10")
     return out.select("user_id", "n", F.round("rho_1", 6).alias("rho_1"), F.round("rho_2", 6).alias("rho_2"), F.round("q", 4).alias("q"))
 
 
-@query(None)
+#: The online fit of one lag and one error, a row a turn: sums, then the 3 x 3 system by Cramer's rule, then the next state.
+ARMA_SQL = SERIES_SQL.replace("WITH e AS", "WITH RECURSIVE e AS") + """, i AS (SELECT user_id, y, row_number() OVER (PARTITION BY user_id, segment ORDER BY us, event_id) = 1 AS starts, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS k FROM r),
+h AS (SELECT DISTINCT user_id, hl, pow(0.5e0, 1.0e0 / hl) AS lam FROM i, (VALUES (25.0e0), (100.0e0)) v(hl)),
+z AS (SELECT user_id, hl, lam, CAST(0 AS BIGINT) AS k, CAST(NULL AS DOUBLE) AS lag, 0.0e0 AS err, CAST(0 AS BIGINT) AS used, 0.0e0 AS a, 0.0e0 AS b, 0.0e0 AS c, 0.0e0 AS d, 0.0e0 AS e, 0.0e0 AS f, 0.0e0 AS u, 0.0e0 AS v, 0.0e0 AS w,
+    CAST(NULL AS DOUBLE) AS t1, CAST(NULL AS DOUBLE) AS t2, CAST(NULL AS DOUBLE) AS t3, 0.0e0 AS var FROM h
+  UNION ALL SELECT user_id, hl, lam, k, y, CASE WHEN fits THEN y - coalesce(x * o1 + z * o2 + o3, 0) ELSE z END, used + fits::INT, a, b, c, d, e, f, u, v, w, t1, t2, t3,
+    CASE WHEN NOT fits THEN var WHEN var = 0 THEN (y - x * t1 - z * t2 - t3) ** 2 ELSE lam * var + (1 - lam) * (y - x * t1 - z * t2 - t3) ** 2 END
+  FROM (SELECT *, CASE WHEN fits THEN (u * (q * r - e * e) - b * (v * r - e * w) + c * (v * e - q * w)) / det ELSE o1 END AS t1, CASE WHEN fits THEN (g * (v * r - e * w) - u * (b * r - c * e) + c * (b * w - c * v)) / det ELSE o2 END AS t2,
+      CASE WHEN fits THEN (g * (q * w - e * v) - b * (b * w - c * v) + u * (b * e - c * q)) / det ELSE o3 END AS t3
+    FROM (SELECT *, g * (q * r - e * e) - b * (b * r - c * e) + c * (b * e - c * q) AS det
+      FROM (SELECT *, a + 0.001 AS g, d + 0.001 AS q, f + 0.001 AS r
+        FROM (SELECT user_id, hl, lam, k, y, x, z, fits, used, var, o1, o2, o3, CASE WHEN fits THEN lam * a + x * x ELSE a END AS a, CASE WHEN fits THEN lam * b + x * z ELSE b END AS b, CASE WHEN fits THEN lam * c + x ELSE c END AS c,
+            CASE WHEN fits THEN lam * d + z * z ELSE d END AS d, CASE WHEN fits THEN lam * e + z ELSE e END AS e, CASE WHEN fits THEN lam * f + 1 ELSE f END AS f, CASE WHEN fits THEN lam * u + x * y ELSE u END AS u,
+            CASE WHEN fits THEN lam * v + z * y ELSE v END AS v, CASE WHEN fits THEN lam * w + y ELSE w END AS w
+          FROM (SELECT z.* EXCLUDE (k, lag, err, t1, t2, t3), t1 AS o1, t2 AS o2, t3 AS o3, i.k, i.y, CASE WHEN i.starts THEN NULL ELSE z.lag END AS x, CASE WHEN i.starts THEN 0 ELSE z.err END AS z, NOT i.starts AND z.lag IS NOT NULL AS fits
+            FROM z JOIN i ON i.user_id = z.user_id AND i.k = z.k + 1))))))
+SELECT user_id, hl, used, round(t1, 5) AS phi, round(t2, 5) AS psi, round(t3, 5) AS intercept, round(abs(t1), 5) AS rho_ar, round(abs(t2), 5) AS rho_ma, round(sqrt(var), 5) AS sigma
+FROM z QUALIFY row_number() OVER (PARTITION BY user_id, hl ORDER BY k DESC) = 1 AND used >= 10"""
+
+
+@query(ARMA_SQL)
 def arma_fit(spark, sf_dir):  # M2 M3 W10
-    return arma.fit_arma(_series(spark, sf_dir), ["user_id"], ["us", "event_id"], 1, 1, [25.0, 100.0], 1e-3)
+    out = arma.fit_arma(_series(spark, sf_dir), ["user_id"], ["us", "event_id"], 1, 1, [25.0, 100.0], 1e-3).where("used >= 10")
+    theta = (F.round(F.col("theta")[k], 5).alias(n) for k, n in enumerate(("phi", "psi", "intercept")))
+    return out.select("user_id", "hl", "used", *theta, *(F.round(c, 5).alias(c) for c in ("rho_ar", "rho_ma", "sigma")))
 
 
 @query(SERIES_SQL + """, d AS (SELECT event_id, y / 10 AS a, y / 20 AS b FROM r), m AS (SELECT *, exp(a) - 1 AS ra, exp(b) - 1 AS rb FROM d), x AS (SELECT *, CASE WHEN ra > 0 THEN least(ra, rb) ELSE greatest(ra, rb) END AS e FROM m)
@@ -451,7 +519,7 @@ g AS (SELECT *, CAST(sum(f) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS
 SELECT user_id, run, event_type, count(*) AS units, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS revenue, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / count(*) AS average FROM g GROUP BY ALL""")
 def adjacent_groups(spark, sf_dir):  # A21
     own = table(spark, sf_dir, "events").withColumns({"unit": F.lit(1).cast("long"), "cents": cents("value")})
-    return aggregates.adjacent_groups(own, ["user_id"], ["ts", "event_id"], "event_type", aggregates.sales("unit", "cents"))
+    return aggregates.adjacent_groups(own, ["user_id"], ["ts", "event_id"], "event_type", aggregates.sales("unit", "cents"), day("ts"))
 
 
 @query("""SELECT l_orderkey, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS qty, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(l_quantity AS BIGINT)) AS DOUBLE) / CAST(sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS vwap_cents FROM lineitem GROUP BY l_orderkey""")
@@ -486,9 +554,9 @@ def parallel_sum(spark, sf_dir):  # A26
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("total"))
 
 
-@query("SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), -1) AS k, (coalesce(CAST(json_extract(props, '$.k') AS BIGINT), -1) + 3) // 4 AS vsize, CAST(-1 AS BIGINT) AS missing FROM events WHERE event_type <> 'error'")
+@query("SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), -1) AS k, (coalesce(CAST(json_extract(props, '$.k') AS BIGINT), -1) + 3) // 4 AS vsize, CAST(-1 AS BIGINT) AS missing FROM events")
 def json_field(spark, sf_dir):  # S15 C18
-    own = table(spark, sf_dir, "events").where("event_type <> 'error'").withColumn("k", files.json_field("props", "$.k", "long", -1))
+    own = table(spark, sf_dir, "events").withColumn("k", files.json_field("props", "$.k", "long", -1))
     return own.select("event_id", "k", F.expr("(k + 3) div 4").alias("vsize"), files.json_field("props", "$.nothing", "long", -1).alias("missing"))
 
 
@@ -631,7 +699,11 @@ def shortest_path(spark, sf_dir):  # M8
     return algos.shortest_paths(edges, "0").select("node", "distance")
 
 
-@query(None)
+@query("""
+WITH RECURSIVE i AS (SELECT l_orderkey, l_linenumber AS w, CAST(l_quantity AS BIGINT) AS v, row_number() OVER (PARTITION BY l_orderkey ORDER BY """ + LINE_SQL + """) AS k FROM lineitem),
+s AS (SELECT DISTINCT l_orderkey, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS value FROM i
+    UNION SELECT s.l_orderkey, i.k, s.used + t * i.w, s.value + t * i.v FROM s JOIN i ON i.l_orderkey = s.l_orderkey AND i.k = s.k + 1, (VALUES (0), (1)) c(t) WHERE s.used + t * i.w <= 10)
+SELECT l_orderkey, max(value) AS best FROM s GROUP BY l_orderkey""")
 def knapsack(spark, sf_dir):  # M9
     own = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         F.collect_list(F.struct(F.col("l_linenumber").alias("w"), F.col("l_quantity").cast("int").alias("v"))).alias("i")
@@ -640,20 +712,55 @@ def knapsack(spark, sf_dir):  # M9
     return algos.knapsacks(own, ["l_orderkey"], "weights", "values", "capacity")
 
 
-@query("""
-WITH g AS (SELECT l_suppkey, l_orderkey, min(l_partkey) AS f, max(l_partkey) AS l, count(*) FILTER (l_returnflag <> 'R') AS a, count(*) FILTER (l_returnflag = 'R') AS b,
-    min(CAST(round(l_extendedprice * 100) AS BIGINT)) FILTER (l_returnflag <> 'R') AS apx, coalesce(sum(CAST(l_quantity AS BIGINT)) FILTER (l_returnflag <> 'R'), 0) AS aq FROM lineitem GROUP BY ALL),
-w AS (SELECT *, lag(l) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS p FROM g)
-SELECT l_suppkey, count(*) AS "rows", count(*) FILTER (f <= p) AS id_overlap, count(*) FILTER (f > p + 1) AS id_gap, CAST(sum(a) AS BIGINT) AS ask_levels, count(*) FILTER (b = 0) AS bid_empty,
-    min(apx) AS ask_px_min, CAST(sum(aq) AS BIGINT) AS ask_qty_sum, CASE WHEN count(*) FILTER (f <= p) > 0 THEN 'id_overlap_count > 0 ' ELSE '' END || CASE WHEN count(*) FILTER (f > p + 1) > 0 THEN 'id_gap_count > 0' ELSE '' END AS id_rules
-FROM w GROUP BY l_suppkey""")
+#: Rules on book updates in SQL.
+DEPTH_RULES = {
+    "rows_scanned == 0": "n = 0", "non_monotonic_ts > 0": "non_monotonic_ts > 0", "lastId < firstId (counted)": "last_lt_first > 0", "id_overlap_count > 0 (firstId <= prev.lastId)": "id_overlap > 0",
+    "id_gap_count > 0 (firstId > prev.lastId+1)": "id_gap > 0", **{f"has_{s}_{f} but {s}_{f}_count==0": f"{s}_levels = 0" for f in ("px", "qty") for s in ("bid", "ask")},
+    **{f"high_fraction_{s}_{f}_zero": f"{s}_{f}_zero * 10 > {s}_levels" for f in ("qty", "px") for s in ("bid", "ask")},
+    **{f"per-row {s} counts mismatch rows_scanned": f"{s}_per_row AND {s}_levels <> n" for s in ("bid", "ask")},
+    "flattened_bid_or_ask_arrays_without_offsets (informational)": "NOT bid_per_row AND bid_levels > 0 OR NOT ask_per_row AND ask_levels > 0",
+}
+DEPTH_NAMES = ["non_monotonic_ts", "last_lt_first", "id_overlap", "id_gap", "ask_levels", "bid_levels", "ask_empty", "bid_empty", "ask_px_min", "ask_qty_sum", "ask_qty_zero", "bid_qty_zero", "jumps"]
+
+
+@query(f"""
+WITH v AS (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS px, CAST(l_quantity AS BIGINT) % 9 AS qty FROM lineitem),
+g AS (SELECT l_suppkey, l_orderkey, min(l_partkey) - (l_orderkey % 41 = 0)::INT * 5000 AS l, min(l_partkey) AS f, count(*) FILTER (l_returnflag <> 'R') AS a, count(*) FILTER (l_returnflag = 'R' AND l_suppkey % 10 <> 3) AS b,
+    min(px) FILTER (l_returnflag <> 'R') AS apx, min(px) FILTER (l_returnflag = 'R' AND l_suppkey % 10 <> 3) AS bpx, coalesce(sum(qty) FILTER (l_returnflag <> 'R'), 0) AS aq,
+    count(*) FILTER (l_returnflag <> 'R' AND qty = 0) AS az, count(*) FILTER (l_returnflag = 'R' AND l_suppkey % 10 <> 3 AND qty = 0) AS bz FROM v GROUP BY l_suppkey, l_orderkey),
+w AS (SELECT *, lag(l) OVER o AS p, coalesce(apx, bpx) AS s, lag(coalesce(apx, bpx)) OVER o AS sp FROM g WINDOW o AS (PARTITION BY l_suppkey ORDER BY l_orderkey)),
+m AS (SELECT l_suppkey, count(*) AS n, 0 AS non_monotonic_ts, count(*) FILTER (l < f) AS last_lt_first, count(*) FILTER (f <= p) AS id_overlap, count(*) FILTER (f > p + 1) AS id_gap, CAST(sum(a) AS BIGINT) AS ask_levels, CAST(sum(b) AS BIGINT) AS bid_levels,
+    count(*) FILTER (a = 0) AS ask_empty, count(*) FILTER (b = 0) AS bid_empty, min(apx) AS ask_px_min, CAST(sum(aq) AS BIGINT) AS ask_qty_sum, CAST(sum(az) AS BIGINT) AS ask_qty_zero, CAST(sum(bz) AS BIGINT) AS bid_qty_zero,
+    count(*) FILTER (s > 0 AND sp > 0 AND greatest(s, sp) > 10 * least(s, sp)) AS jumps, 0 AS ask_px_zero, 0 AS bid_px_zero, CASE WHEN l_suppkey % 4 = 1 THEN true WHEN l_suppkey % 4 = 2 THEN false END AS bid_per_row,
+    CASE WHEN l_suppkey % 4 = 1 THEN true END AS ask_per_row FROM w GROUP BY l_suppkey)
+SELECT l_suppkey, n AS "rows", {", ".join(DEPTH_NAMES)}, {rules_sql(DEPTH_RULES)} AS anomalies, true AS problematic,
+    coalesce(bid_per_row AND bid_levels <> n, false) OR coalesce(ask_per_row AND ask_levels <> n, false) OR coalesce(NOT bid_per_row AND bid_levels > 0, false) AS information FROM m""")
 def depth_audit(spark, sf_dir):  # R3 R4 A13-A17
-    level = F.struct(cents("l_extendedprice").alias("px"), F.col("l_quantity").cast("long").alias("qty"))
-    sides = {side: F.array_sort(F.collect_list(F.when(c, level))).alias(side) for side, c in (("ask", F.col("l_returnflag") != "R"), ("bid", F.col("l_returnflag") == "R"))}
-    own = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_orderkey").agg(F.min("l_partkey").alias("firstId"), F.max("l_partkey").alias("lastId"), *sides.values())
-    out = audit.depth_audit(own, ["l_suppkey"], ["l_orderkey"], F.col("l_orderkey"), unit=1000)
-    rules = F.concat(*(F.when(F.array_contains("anomalies", n), n + e).otherwise("") for n, e in (("id_overlap_count > 0", " "), ("id_gap_count > 0", ""))))
-    return out.select("l_suppkey", "rows", "id_overlap", "id_gap", "ask_levels", "bid_empty", "ask_px_min", "ask_qty_sum", rules.alias("id_rules"))
+    level = F.struct(cents("l_extendedprice").alias("px"), (F.col("l_quantity").cast("long") % 9).alias("qty"))
+    bid = (F.col("l_returnflag") == "R") & (F.col("l_suppkey") % 10 != 3)
+    sides = (F.array_sort(F.collect_list(F.when(c, level))).alias(side) for side, c in (("ask", F.col("l_returnflag") != "R"), ("bid", bid)))
+    own = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_orderkey").agg(F.min("l_partkey").alias("firstId"), *sides)
+    kind = F.col("l_suppkey") % 4
+    own = own.withColumns({
+        "lastId": F.col("firstId") - (F.col("l_orderkey") % 41 == 0).cast("int") * 5000, "bid_per_row": F.when(kind == 1, True).when(kind == 2, False), "ask_per_row": F.when(kind == 1, True),
+    })
+    out = audit.depth_audit(own, ["l_suppkey"], ["l_orderkey"], F.col("l_orderkey"), unit=1000, bucket=F.floor(F.col("l_orderkey") / 1000))
+    information = F.exists("anomalies", lambda a: a.endswith("(informational)") | a.startswith("per-row"))
+    return out.select("l_suppkey", "rows", *DEPTH_NAMES, F.array_join("anomalies", "|").alias("anomalies"), "problematic", information.alias("information"))
+
+
+@query("""
+WITH g AS (SELECT o_custkey, o_orderkey, o_orderkey % 3 = 0 AS empty FROM orders)
+SELECT o_custkey, count(*) AS "rows", count(*) FILTER (empty) > 0 AS problematic, count(*) FILTER (empty) > 0 OR count(*) <> count(*) FILTER (NOT empty) OR o_custkey % 2 = 0 AND count(*) FILTER (NOT empty) > 0 AS problematic_with_info FROM g GROUP BY o_custkey""")
+def audit_information(spark, sf_dir):  # R4
+    """Books without a fault but empty sides: what counts as a problem with and without the flags that only inform."""
+    n, level = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).cast("long"), F.struct(F.lit(5_000_000).cast("long").alias("px"), F.lit(10**8).cast("long").alias("qty"))
+    over = F.struct(F.lit(6_000_000).cast("long").alias("px"), F.lit(10**8).cast("long").alias("qty"))
+    none = F.array().cast("array<struct<px:bigint,qty:bigint>>")
+    own = table(spark, sf_dir, "orders").select("o_custkey", n.alias("firstId"), n.alias("lastId"), *(F.when(F.col("o_orderkey") % 3 == 0, none).otherwise(F.array(x)).alias(s) for s, x in (("bid", level), ("ask", over))))
+    own = own.withColumns({f"{s}_per_row": F.when(F.col("o_custkey") % 2 == 0, False) for s in ("bid", "ask")})
+    out = audit.depth_audit(own, ["o_custkey"], ["firstId"], F.col("firstId"))
+    return out.select("o_custkey", "rows", "problematic", "problematic_with_info")
 
 
 @query("""
@@ -668,10 +775,14 @@ def audit_report(spark, sf_dir):  # K5
     return sinks.report_lines(table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("rows")), "audit")
 
 
-@query(None)
+@query(SERIES_SQL + f""", d AS (SELECT user_id, us, event_id, segment, y - avg(y) OVER (PARTITION BY user_id) AS d, count(*) OVER (PARTITION BY user_id) AS n FROM r),
+l AS (SELECT *, {", ".join(f"lag(d, {k}) OVER w AS d{k}" for k in range(1, 6))} FROM d WINDOW w AS (PARTITION BY user_id, segment ORDER BY us, event_id)),
+a AS (SELECT user_id, n, sum(d * d) AS g0, {", ".join(f"coalesce(sum(d * d{k}), 0) AS g{k}" for k in range(1, 6))} FROM l GROUP BY user_id, n HAVING n >= 10),
+q AS (SELECT user_id, n, n * (n + 2) * ({" + ".join(f"(g{k} / g0) * (g{k} / g0) / (n - {k})" for k in range(1, 6))}) AS q FROM a)
+SELECT user_id, n, round(q, 6) AS q, round(exp(-q / 2) * (1 + q / 2), 6) AS p_value FROM q""")
 def ljung_box(spark, sf_dir):  # M4 M5
-    out = arma.autocorrelations(_series(spark, sf_dir), ["user_id"], ["us", "event_id"], "y", 5).where("n >= 10")
-    return out.select("user_id", "n", "q", arma.p_value(F.col("q"), F.lit(4)).alias("p_value"))
+    out = arma.autocorrelations(_series(spark, sf_dir), ["user_id"], ["us", "event_id"], "y", 5, us_day()).where("n >= 10")
+    return out.select("user_id", "n", F.round("q", 6).alias("q"), F.round(arma.p_value(F.col("q"), F.lit(4)), 6).alias("p_value"))
 
 
 @query(None)
@@ -684,3 +795,77 @@ def takeuchi(spark, sf_dir):  # M13
 def random_pick(spark, sf_dir):  # J9
     lists = {n: table(spark, sf_dir, t).select(F.col(c).alias("value")) for n, t, c in (("subject", "nation", "n_name"), ("place", "region", "r_name"))}
     return sorting.one_of_each(lists, 100, 3)
+
+
+#: Events as a store of trades, a file for each market and day: ticks of clicks and views are futures, the others spot.
+STORE_SQL = f"""WITH e AS (SELECT CASE WHEN event_type IN ('click', 'view') THEN 'fut' ELSE 'spot' END AS market, epoch_us(ts) * 1000 AS ts, event_id, {TRADE_SQL} FROM events)"""
+STORE_DAY = 1_704_067_200 * 10**9  # the first day of events
+
+
+def _store(spark, sf_dir) -> str:
+    market = F.when(F.col("event_type").isin("click", "view"), "fut").otherwise("spot")
+    own = _trades(spark, sf_dir).select(market.alias("market"), (F.col("us") * 1000).alias("ts"), "px", "qty", F.col("id").alias("tradeId"), F.col("event_id").alias("eventTime"))
+    return store.written_days(own, store.new_folder(spark, "store"), "trade", "EV")
+
+
+@query(STORE_SQL + f" SELECT market, CAST(market = 'spot' AS INTEGER) AS market_order, ts, px, id AS \"tradeId\" FROM e WHERE ts >= {STORE_DAY + 5 * 86_400 * 10**9 + 7} AND ts < {STORE_DAY + 11 * 86_400 * 10**9}")
+def store_scan(spark, sf_dir):  # S1 S2 S4 F1c F2 F3
+    out = ticks.scan(spark, _store(spark, sf_dir), "trade", "EV", None, STORE_DAY + 5 * 86_400 * 10**9 + 7, STORE_DAY + 11 * 86_400 * 10**9, "time, price, tid")
+    return out.select("market", "market_order", "ts", "px", "tradeId")
+
+
+@query(STORE_SQL + f""", f AS (SELECT *, 'bn_trade_' || market || '_EV_' || year(d) || '_' || month(d) || '_' || day(d) || '.parquet' AS file FROM (SELECT *, make_timestamp(ts // 1000) AS d FROM e)),
+w AS (SELECT * EXCLUDE (d), ts - lag(ts) OVER (PARTITION BY file ORDER BY event_id) AS d FROM f),
+m AS (SELECT file, {TRADE_MEASURES}, count(*) AS meta_rows, CAST(1 AS BIGINT) AS row_groups, false AS open_failed FROM w GROUP BY file
+    UNION ALL BY NAME SELECT 'broken.parquet' AS file, 0 AS n, true AS open_failed UNION ALL BY NAME SELECT 'missing.parquet' AS file, 0 AS n, true AS open_failed),
+z AS (SELECT *, {TRADE_SCORES} FROM m)
+SELECT file, n AS "rows", meta_rows, row_groups, max_gap, dup_ids, qty_null, id_null, id_min, id_max, {rules_sql(META_RULES | TRADE_RULES | SIZE_RULES)} AS unordered FROM z""")
+def store_audit(spark, sf_dir):  # S9 S10 A4 A5 A6 A8 R1 R5
+    root = _store(spark, sf_dir)
+    paths = [p for own in ticks.found_files(spark, root, "trade", "EV", None, 0, (1 << 63) - 1).values() for p in own]
+    store.write_bytes(spark, f"{root}/broken.parquet", b"PAR1 and no more")
+    name = F.regexp_extract("file", r"([^/]+\.parquet)(/[^/]*)?$", 1)
+    feet = store.footers(spark, [*paths, f"{root}/broken.parquet", f"{root}/missing.parquet"]).withColumn("file", name)
+    own = ticks.listed(spark, [*paths, f"{root}/missing.parquet"]).withColumn("file", name).withColumnsRenamed({"tradeId": "id", "eventTime": "event_id"})
+    out = audit.trade_audit(own, ["file"], ["event_id"], F.col("ts"), "px", "qty", "id", footers=feet)
+    # in the order of the rules above
+    names = F.array(*(F.lit(n) for n in META_RULES | TRADE_RULES | SIZE_RULES))
+    rules = F.array_join(F.filter(names, lambda n: F.array_contains("anomalies", n)), "|")
+    return out.select("file", "rows", "meta_rows", "row_groups", "max_gap", "dup_ids", "qty_null", "id_null", "id_min", "id_max", rules.alias("unordered"))
+
+
+@query("""WITH e AS (SELECT CAST(round(value * 100) AS BIGINT) AS v, epoch_us(ts) * 1000 AS us, date_trunc('hour', ts) AS h FROM events)
+SELECT epoch_us(h) * 1000 AS ts, min(v) AS min_bid_px, max(v) AS max_bid_px, min(us) FILTER (v = lo) AS min_bid_ts, min(us) FILTER (v = hi) AS max_bid_ts
+FROM (SELECT *, min(v) OVER (PARTITION BY h) AS lo, max(v) OVER (PARTITION BY h) AS hi FROM e) WHERE h >= TIMESTAMP '2024-01-03 12:00:00' GROUP BY h""")
+def store_sampled(spark, sf_dir):  # S7
+    hour = 3600 * 10**9
+    own = events(spark, sf_dir).select((F.col("us") * 1000).alias("at"), F.expr(f"us * 1000 div {hour} * {hour}").alias("ts"), cents("value").alias("bid_px"), F.lit("fut").alias("market"))
+    own = rows.extremes(own, ["ts", "market"], "at", ["bid_px"]).withColumnsRenamed({"min_bid_px_ts": "min_bid_ts", "max_bid_px_ts": "max_bid_ts"})
+    root = store.written_days(own, store.new_folder(spark, "sampled"), "top", "EV", months=True)
+    out = ticks.scan(spark, root, "top", "EV", "fut", STORE_DAY + 60 * hour, STORE_DAY + 365 * 24 * hour, "ts,min_bid_px,max_bid_px,min_bid_ts,max_bid_ts", sampled=True)
+    return out.select("ts", "min_bid_px", "max_bid_px", "min_bid_ts", "max_bid_ts")
+
+
+@query("""WITH v AS (SELECT epoch_us(o_orderdate) * 1000 + o_orderkey AS ts, l_extendedprice, l_quantity, l_returnflag FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderdate >= TIMESTAMP '1995-03-01' AND o_orderdate < TIMESTAMP '1995-04-11')
+SELECT ts, coalesce(CAST(sum(CAST(l_quantity AS BIGINT)) FILTER (l_returnflag <> 'R') AS BIGINT), 0) AS ask_qty, count(*) FILTER (l_returnflag = 'R') AS bids FROM v GROUP BY ts""")
+def store_depth(spark, sf_dir):  # S3 S5 S6
+    level = F.struct(cents("l_extendedprice").alias("px"), F.col("l_quantity").cast("long").alias("qty"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.array_sort(F.collect_list(F.when(F.col("l_returnflag") != "R", level))).alias("ask"), F.array_sort(F.collect_list(F.when(F.col("l_returnflag") == "R", level))).alias("bid")
+    )
+    ts = (scalar.micros("o_orderdate") * 1000 + F.col("o_orderkey")).alias("ts")
+    start, end = (F.expr(f"TIMESTAMP_NTZ '1995-{d} 00:00:00'") for d in ("02-20", "05-01"))
+    own = table(spark, sf_dir, "orders").where(rows.in_range("o_orderdate", start, end)).join(lines, "o_orderkey").select(F.lit("spot").alias("market"), ts, "ask", "bid")
+    root, first = store.written_days(own, store.new_folder(spark, "depth"), "depth", "OR"), 794_016_000 * 10**9
+    out = ticks.scan(spark, root, "depth", "OR", None, first, first + 41 * 86_400 * 10**9, "ts,askqty,bidpx")
+    return out.select("ts", F.aggregate("ask_qty", F.lit(0).cast("long"), lambda s, x: s + x).alias("ask_qty"), F.size("bid_px").cast("long").alias("bids"))
+
+
+@query("""SELECT CAST(2024 AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, event_id, CAST(round(value * 100) AS BIGINT) AS px FROM events""")
+def store_bars(spark, sf_dir):  # S8
+    root = store.new_folder(spark, "bars")
+    own = events(spark, sf_dir).select("event_id", cents("value").alias("px"))
+    store.write_file(own, f"{root}/deep/er/bn_bars_EV_2024_1_1s.parquet")
+    store.write_file(own.limit(0), f"{root}/bn_bars_EV_2024_2_1s.parquet")
+    store.write_file(own, f"{root}/deep/bn_bars_OTHER_2024_1_1s.parquet")
+    return ticks.bars(spark, root, "EV", "1s").select("year", "month", "event_id", "px")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from concurrent.futures import ThreadPoolExecutor
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Footers that are read at a time.
 AT_ONCE = 32
@@ -26,6 +30,86 @@ def entries(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); a local one only in local mode without it."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tickspark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: its lineage ends there, and lost executors cost nothing done so far."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def moved(spark: SparkSession, source: str, target: str) -> None:
+    """Renames within a file system; the folders of target are made, and an existing target is an error."""
+    p, fs = _path(spark, source)
+    t, _ = _path(spark, target)
+    fs.mkdirs(t.getParent())
+    if fs.exists(t) or not fs.rename(p, t):
+        raise FileExistsError(f"{source} can't become {target}")
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    p, fs = _path(spark, path)
+    fs.delete(p, True)
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    p, fs = _path(spark, path)
+    out = fs.create(p)
+    out.write(data)
+    out.close()
+
+
+def write_file(df: DataFrame, path: str) -> None:
+    """df, which one task can hold, as a single Parquet file of that name."""
+    spark, folder = df.sparkSession, f"{path}-{uuid.uuid4().hex}"
+    df.coalesce(1).write.parquet(folder)
+    part = next(n for n in entries(spark, folder) if n.endswith(".parquet"))
+    moved(spark, f"{folder}/{part}", path)
+    removed(spark, folder)
+
+
+def written_days(rows: DataFrame, root: str, kind: str, symbol: str, months: bool = False) -> str:
+    """Writes rows(market, ts, ...), a file of the store for each market and UTC day, or month of sampled tops; gives root.
+
+    One write deals the rows to their days, whose folders then get their names; the tasks are as many as days.
+    """
+    from tickspark.sources.ticks import day_file, month_file
+
+    spark, made = rows.sparkSession, f"{root}/new-{uuid.uuid4().hex}"
+    at = F.timestamp_micros(F.expr("ts div 1000"))
+    parts = {"__y": F.year(at), "__m": F.month(at)} | ({} if months else {"__d": F.dayofmonth(at)})
+    dated = rows.withColumns(parts)
+    dated.repartition("market", *parts).sortWithinPartitions("ts").write.partitionBy("market", *parts).parquet(made)
+
+    def below(path: str, name: str) -> list[tuple[str, str]]:
+        return [(f"{path}/{n}", n.partition("=")[2]) for n in entries(spark, path) if n.startswith(f"{name}=")]
+
+    for of_market, market in below(made, "market"):
+        for of_year, y in below(of_market, "__y"):
+            for of_month, m in below(of_year, "__m"):
+                if months:
+                    moved(spark, of_month, month_file(root, symbol, market, int(y), int(m)))
+                    continue
+                for of_day, d in below(of_month, "__d"):
+                    moved(spark, of_day, day_file(root, kind, symbol, market, datetime(int(y), int(m), int(d), tzinfo=UTC)))
+    removed(spark, made)
+    return root
+
+
 def footers(spark: SparkSession, paths: list[str]) -> DataFrame:
     """(file, meta_rows, row_groups, open_failed) of files' footers, by Spark's own reader on any file system it knows.
 
