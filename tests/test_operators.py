@@ -324,3 +324,12 @@ def test_buckets_give_what_one_task_gives(spark):
     same(lambda b: arma.moments(arma.lagged(series, keys, order, 1), keys, order, 1, 20, b).select("used", F.round("s0_0", 9), F.round("b1", 9)))
     held = rows.with_last(df, keys, order, 3, bucket).groupBy("__bucket").count().collect()
     assert len(held) > 20 and max(r["count"] for r in held) < 60
+
+
+def test_zstd_round_trip(spark, tmp_path):
+    lines = [f"{k},é {k * k}" for k in range(5000)]
+    frames = sinks.zstd_frames(spark.createDataFrame([(x,) for x in lines], "value string").coalesce(2)).collect()
+    for k, own in enumerate((frames[:1], frames[1:])):
+        (tmp_path / f"{k}.zst").write_bytes(b"".join(bytes(r.frame) for r in own))
+    got = files.zstd_lines(spark, f"{tmp_path}/0.zst", f"{tmp_path}/1.zst")
+    assert sorted(r.value for r in got.collect()) == sorted(lines) and got.select("file").distinct().count() == 2

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +76,29 @@ def pending(manifest: DataFrame, done: DataFrame) -> DataFrame:
 def manifest_with(manifest: DataFrame, new: DataFrame, most: int) -> DataFrame:
     """The newest entries, most of them, the new ones included."""
     return new.unionByName(manifest).orderBy(F.col("t").desc(), "name").limit(most)
+
+
+#: Compressed and plain bytes that a task holds at a time.
+CHUNK = 1 << 20
+
+
+def zstd_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """(file, value): lines of zstd files, which may be many frames one after another; plain text is a chunk at a time.
+
+    Spark has no codec for them, so an executor takes a file's compressed bytes and gives its lines batch by batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rest = b""
+                with zstandard.ZstdDecompressor().stream_reader(io.BytesIO(content.as_buffer()), read_across_frames=True) as stream:
+                    while chunk := stream.read(CHUNK):
+                        *lines, rest = (rest + chunk).split(b"\n")
+                        yield pa.record_batch([pa.array([path] * len(lines), pa.string()), pa.array([x.decode() for x in lines], pa.string())], ["file", "value"])
+                if rest:
+                    yield pa.record_batch([pa.array([path]), pa.array([rest.decode()])], ["file", "value"])
+
+    return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInArrow(run, "file string, value string")

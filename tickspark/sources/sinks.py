@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,3 +82,18 @@ def order_line(*columns: str) -> Column:
 def write_models(models: DataFrame, path: str) -> None:
     """A folder of CSV for each half-life."""
     models.write.partitionBy("hl").option("header", "true").csv(path)
+
+
+def zstd_frames(lines: DataFrame, level: int = 3) -> DataFrame:
+    """(frame): lines(value) as zstd frames, each a batch's lines; frames one after another are a zstd file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=level)
+        for batch in batches:
+            if batch.num_rows:
+                text = "".join(f"{x or ''}\n" for x in batch.column(0).to_pylist())
+                yield pa.record_batch([pa.array([packer.compress(text.encode())], pa.binary())], ["frame"])
+
+    return lines.select("value").mapInArrow(run, "frame binary")

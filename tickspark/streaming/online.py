@@ -8,9 +8,10 @@ from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tickspark.operators.arma import OnlineFit, dominant_root
+from tickspark.operators.arma import OnlineFit, decision, dominant_root, effective_size
 
 
 def fitted(rows: DataFrame, key: str, order: str, p: int, half_life: float, ridge: float = 1e-6) -> DataFrame:
@@ -37,6 +38,37 @@ def fitted(rows: DataFrame, key: str, order: str, p: int, half_life: float, ridg
     return rows.groupBy(key).applyInPandasWithState(run, schema, "fit binary", "append", GroupStateTimeout.NoTimeout)
 
 
+def signals(rows: DataFrame, key: str, order: str, p: int, short: float, medium: float, ridge: float = 1e-6) -> DataFrame:
+    """(key, order, y, short, medium, sigma, side, size, hold_bars) of a stream of rows(key, order, y, starts), by key.
+
+    Two fits of half-lives short and medium are kept as state; their predictions of the next return are decided on as in
+    the batch (arma.decision), with the short fit's deviation and root. A row comes out once both fits predict.
+    """
+
+    def run(group: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        fits = pickle.loads(state.get[0]) if state.exists else [OnlineFit(p, 0, h, ridge) for h in (short, medium)]
+        own = pd.concat(list(parts)).sort_values(order)
+        out = []
+        for at, y, starts in own[[order, "y", "starts"]].itertuples(index=False):
+            if starts:
+                for fit in fits:
+                    fit.restart()
+            if None in [fit.add(y) for fit in fits] or any(fit.theta is None for fit in fits):
+                continue
+            roots = [dominant_root(fit.theta[:p].tolist()) for fit in fits]
+            out.append((group[0], at, y, *(fit.next() for fit in fits), fits[0].variance**0.5, *roots))
+        state.update((pickle.dumps(fits),))
+        yield pd.DataFrame(out, columns=[key, order, "y", "short", "medium", "sigma", "rho_short", "rho_medium"])
+
+    types = dict(rows.dtypes)
+    schema = f"{key} {types[key]}, {order} {types[order]}, y double, short double, medium double, sigma double, rho_short double, rho_medium double"
+    made = rows.groupBy(key).applyInPandasWithState(run, schema, "fits binary", "append", GroupStateTimeout.NoTimeout)
+    n_short, n_medium = (F.lit(effective_size(h)) for h in (short, medium))
+    c = F.col
+    signal = decision(c("short"), c("medium"), c("sigma"), c("rho_short"), c("rho_medium"), n_short, n_medium, F.lit(1.0))
+    return made.withColumn("signal", signal).select(key, order, "y", "short", "medium", "sigma", "signal.side", "signal.size", "signal.hold_bars")
+
+
 def reserved(orders: DataFrame, key: str) -> DataFrame:
     """(key, order_id, open, reserved): capital reserved after each event of a stream of orders(key, order_id, cost, open, at).
 
