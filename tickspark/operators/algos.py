@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickspark.sources.store import shared_dir
+
 
 def fibonacci(spark: SparkSession, n: int) -> DataFrame:
     """(n, value) of the numbers 1 to n by a recursive query."""
@@ -48,6 +50,7 @@ def shortest_paths(edges: DataFrame, start: str, rounds: int | None = None) -> D
     A round is one join and one aggregation over the nodes that changed; ties take the first path in order.
     """
     spark = edges.sparkSession
+    shared_dir(spark)  # where checkpoints go
     best = spark.createDataFrame([(start, 0, [start])], "node string, distance long, path array<string>")
     changed, turn = best, 0
     while rounds is None or turn < rounds:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickspark.operators.rows import numbered
+
 
 def numeric_then_text(column: Column) -> list[Column]:
     """Numbers by value, then everything else by text: one total order, also where both kinds are mixed."""
@@ -47,11 +49,15 @@ def permutations(values: DataFrame, column: str, n: int) -> DataFrame:
 
 
 def one_of_each(lists: dict[str, DataFrame], n: int, seed: int) -> DataFrame:
-    """n rows of one value drawn from each list(value), which are small; the seed decides the draws."""
+    """n rows of one value drawn from each list(value); the seed decides the draws; null from an empty list.
+
+    Values are numbered and drawn by number, so a list may be of any size.
+    """
     spark = next(iter(lists.values())).sparkSession
     out = spark.range(n).withColumnRenamed("id", "nth")
     for k, (name, df) in enumerate(lists.items()):
-        values = F.broadcast(df.agg(F.array_sort(F.collect_list("value")).alias("__v")))
-        drawn = F.floor(F.rand(seed + k) * F.size("__v")).cast("int")
-        out = out.crossJoin(values).withColumn(name, F.get("__v", drawn)).drop("__v")
+        text = F.col("value").cast("string")
+        values = numbered(df.select("value", text.alias("__text")), ["__text"], F.substring(text, 1, 1), "__drawn").select("__drawn", F.col("value").alias(name))
+        drawn = out.withColumn("__drawn", F.floor(F.rand(seed + k) * df.count()) + 1)
+        out = drawn.join(values, "__drawn", "left").drop("__drawn")
     return out

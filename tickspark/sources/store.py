@@ -45,11 +45,32 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends there, and lost executors cost nothing done so far."""
+#: Folders of the tables written so far.
+_TABLES: list[str] = []
+
+
+def tables() -> list[str]:
+    """Folders of the tables that written() made and nothing dropped, in order."""
+    return list(_TABLES)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes such tables, on which no result may depend any more."""
+    for path in paths:
+        removed(spark, path)
+        _TABLES.remove(path)
+
+
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a Parquet table in the shared folder, and its folder: lineage ends there, lost executors cost nothing done so far."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _TABLES.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    return written_at(df, name)[0]
 
 
 def moved(spark: SparkSession, source: str, target: str) -> None:
