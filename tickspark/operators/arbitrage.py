@@ -48,11 +48,15 @@ def profitable(rows: DataFrame) -> DataFrame:
     return rows.where("profit_direct > 0 OR profit_reverse > 0")
 
 
-def totals(rows: DataFrame, either: bool = False) -> DataFrame:
-    """Summed profits of profitable rows: of the positive side, or with either of both sides whenever one is positive."""
-    if either:
-        return profitable(rows).agg(F.sum("profit_direct").alias("total_direct"), F.sum("profit_reverse").alias("total_reverse"))
-    return rows.agg(*(F.sum(F.when(F.col(f"profit_{s}") > 0, F.col(f"profit_{s}")).otherwise(0.0)).alias(f"total_{s}") for s in ("direct", "reverse")))
+def totals(rows: DataFrame) -> DataFrame:
+    """(mode, total_direct, total_reverse): summed profits of the positive sides, and of both sides whenever one is positive.
+
+    One pass gives all four sums.
+    """
+    sides, either = ("direct", "reverse"), (F.col("profit_direct") > 0) | (F.col("profit_reverse") > 0)
+    kept = {"positive side": lambda s: F.col(f"profit_{s}") > 0, "either side": lambda s: either}
+    sums = [F.struct(F.lit(mode).alias("mode"), *(F.sum(F.when(keep(s), F.col(f"profit_{s}")).otherwise(0.0)).alias(f"total_{s}") for s in sides)) for mode, keep in kept.items()]
+    return rows.agg(F.array(*sums).alias("t")).select(F.inline("t"))
 
 
 def best(rows: DataFrame, n: int, tie: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickspark.operators.rows import lagged
+from tickspark.sources.store import written
 
 MS = 1_000_000
 
@@ -53,8 +54,10 @@ def value_measures(column: str, spread: bool = False) -> list[Column]:
 def with_scores(audit: DataFrame, columns: list[str]) -> DataFrame:
     """audit with z_<column>: deviations from the mean over all rows; 0 where there is no spread.
 
-    The moments are one row, which every task gets; there is no window over all rows.
+    The moments are one row, which every task gets; there is no window over all rows. audit, a row for each series, is
+    written first, so that it is made once.
     """
+    audit = written(audit, "audit")
     moments = audit.agg(*(f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("sd", F.stddev_samp))))
     rows = audit.crossJoin(F.broadcast(moments))
     score = {f"z_{c}": F.when(F.col(f"__sd_{c}") > 0, F.abs((F.col(c) - F.col(f"__mean_{c}")) / F.col(f"__sd_{c}"))).otherwise(0.0) for c in columns}

@@ -177,7 +177,7 @@ WITH t AS (SELECT l_suppkey, epoch_us(l_shipdate) AS us, CAST(round(l_extendedpr
 w AS (SELECT *, us - lag(us) OVER o AS d, lag(bid_px) OVER o = bid_px AND lag(ask_px) OVER o = ask_px AND lag(bid_qty) OVER o = bid_qty AND lag(ask_qty) OVER o = ask_qty AS same FROM t WINDOW o AS (PARTITION BY l_suppkey ORDER BY k)),
 m AS (SELECT l_suppkey, count(*) AS n, max(greatest(d, 0)) AS max_gap, count(*) FILTER (d >= 100000) AS gaps_100ms, count(*) FILTER (d >= 1000000) AS gaps_1s, count(*) FILTER (d = 0) AS repeated_ts,
     count(*) FILTER (d < 0) AS non_monotonic_ts, count(*) FILTER (bid_px > ask_px) AS crossed, count(*) FILTER (bid_px >= ask_px) AS crossed_or_touching, count(*) FILTER (same) AS duplicate_snapshots,
-    {", ".join(f"min({c}) AS {c}_min, max({c}) AS {c}_max, avg({c}) AS {c}_avg, count(*) FILTER ({c} = 0) AS {c}_zero, count(*) FILTER ({c} IS NULL) AS {c}_null, round(coalesce(stddev_samp({c}), 0), 4) AS {c}_sd" for c in TOP_VALUES)} FROM w GROUP BY l_suppkey),
+    {", ".join(f"min({c}) AS {c}_min, max({c}) AS {c}_max, avg({c}) AS {c}_avg, count(*) FILTER ({c} = 0) AS {c}_zero, count(*) FILTER ({c} IS NULL) AS {c}_null, round(coalesce(stddev_samp({c}), 0), 1) AS {c}_sd" for c in TOP_VALUES)} FROM w GROUP BY l_suppkey),
 z AS (SELECT *, {score_sql("bid_px_avg")} AS zp, {score_sql("bid_qty_avg")} AS zq, {score_sql("max_gap")} AS zg FROM m)
 SELECT l_suppkey, n AS "rows", {", ".join(TOP_NAMES)}, {", ".join(f"{c}_{x}" for c in TOP_VALUES for x in ("min", "max", "avg", "zero", "null", "sd"))}, {rules_sql(TOP_RULES)} AS anomalies FROM z""")
 def top_audit(spark, sf_dir):  # A2 A9 A10 A11 A12 R2
@@ -187,7 +187,7 @@ def top_audit(spark, sf_dir):  # A2 A9 A10 A11 A12 R2
         (F.col("l_quantity").cast("long") % 8).alias("ask_qty"), F.col("l_linenumber").cast("long").alias("bid_qty"), F.when(discount != 3, discount).alias("valu"),
     )
     out = audit.top_audit(own, ["l_suppkey"], ["us", *LINE], F.col("us"), unit=1000, bucket=F.floor(F.col("us") / (90 * DAY_US)))
-    measures = [F.round(f"{c}_sd", 4).alias(f"{c}_sd") if x == "sd" else f"{c}_{x}" for c in TOP_VALUES for x in ("min", "max", "avg", "zero", "null", "sd")]
+    measures = [F.round(f"{c}_sd", 1).alias(f"{c}_sd") if x == "sd" else f"{c}_{x}" for c in TOP_VALUES for x in ("min", "max", "avg", "zero", "null", "sd")]
     return out.select("l_suppkey", "rows", *TOP_NAMES, *measures, F.array_join("anomalies", "|").alias("anomalies"))
 
 
@@ -367,8 +367,7 @@ def tri_limits(spark, sf_dir):  # C9
     UNION ALL SELECT 'either side', round(sum(profit_direct), 2), round(sum(profit_reverse), 2) FROM p WHERE profit_direct > 0 OR profit_reverse > 0""")
 def tri_totals(spark, sf_dir):  # A20
     out = arbitrage.profits(_legs(spark, sf_dir))
-    both = [arbitrage.totals(out, either).withColumn("mode", F.lit(m)) for m, either in (("positive side", False), ("either side", True))]
-    return both[0].unionByName(both[1]).select("mode", *(F.round(f"total_{s}", 2).alias(f"total_{s}") for s in ("direct", "reverse")))
+    return arbitrage.totals(out).select("mode", *(F.round(f"total_{s}", 2).alias(f"total_{s}") for s in ("direct", "reverse")))
 
 
 @query(LEGS_SQL + "SELECT tie, round(greatest(profit_direct, profit_reverse), 4) AS profit FROM p ORDER BY greatest(profit_direct, profit_reverse) DESC, tie LIMIT 20")
