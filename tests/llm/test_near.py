@@ -94,6 +94,18 @@ def test_plans_lose_no_pair(n):
     assert sum(thresholds) == 4 - len(masks) + 1
 
 
+def test_correlated_bits_are_estimated_from_pairs():
+    """Bits that are always equal: pairs of a sample show how many fingerprints a probe meets, independent bits don't."""
+    rng = np.random.default_rng(3)
+    one = rng.integers(0, 2, 600).astype(np.uint64)
+    sample = one * np.uint64(0xFFFF) | rng.integers(0, 1 << 47, 600).astype(np.uint64) << np.uint64(16)
+    chance = S.sampled_chance(sample, list(range(16)), 4)
+    pairs = [(int(a ^ b) & 0xFFFF).bit_count() for k, a in enumerate(sample) for b in sample[:k]]
+    assert chance == pytest.approx([np.mean([d <= t for d in pairs]) for t in range(5)]) and chance[0] > 0.45
+    assert S.near_chance(np.full(16, 0.5), 0)[0] < 1e-4
+    assert (S.sampled_chance(sample[:1], [0], 2) == 0).all() and (S.sampled_chance(sample[:0], [0], 2) == 0).all()
+
+
 @pytest.mark.parametrize("plan", [([0xFFFF, 0xFFFFFFFFFFFF0000], [1, 2]), ([(1 << 21) - 1, ((1 << 21) - 1) << 21, ((1 << 22) - 1) << 42], [0, 1, 1])])
 def test_wide_probes(spark, monkeypatch, plan):
     """Thresholds over 0, which only large corpora get, find the same links."""
@@ -309,3 +321,21 @@ def test_rare_shingles_of_similar_sets_meet():
             other = np.sort(rng.permutation(own)[lost:])  # similarity 0.8 or more
             a, b = (S.rare_shingles(x, 0.8, frequent, np.arange(50) + 3) for x in (own, other))
             assert np.isin(a, b).any()
+
+
+def test_all_links_of_documents(spark):
+    """Documents and four of a larger table whose fingerprints are far apart: every pair of similarity 0.8 comes together."""
+    far = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id IN (1, 4, 205, 9622)").select("doc_id", "text")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id") + 100_000, "text").toDF("doc_id", "text").unionByName(far)
+    sets = {r.doc_id: S._shingle_set(r.text, 5) for r in docs.collect()}
+    own = sorted(sets, key=lambda k: len(sets[k]))
+    links = []
+    for i, a in enumerate(own):
+        for b in own[i + 1 :]:
+            if 0.8 * len(sets[b]) > len(sets[a]):
+                break
+            if S._similar(sets[a], sets[b], 0.8):
+                links.append((a, b))
+    wanted = components(own, links)
+    got = {r.doc_id: r.component_id for r in S.similar_components(docs).collect()}
+    assert got == wanted and got[205] == got[4] == 4 and got[9622] == got[1] == 1

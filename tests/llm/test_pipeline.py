@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.compare import same
 from tickspark.llm import queries
+from tickspark.sources import store
 
 
 def test_stages(spark):
@@ -21,7 +22,9 @@ def test_stages(spark):
 
 
 def test_run(spark):
+    before = store.tables()
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert len(store.tables()) == len(before) + 1  # what the stages wrote on their way is gone
     assert out.count() > 0 and {"doc_id", "sequence_id", "offset"} <= set(out.columns)
 
 

@@ -33,14 +33,6 @@ def slices(batch: pa.RecordBatch, rows: int = 64) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
-def dropped(df: DataFrame) -> None:
-    """Deletes the files that written() made for df."""
-    spark = df.sparkSession
-    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -66,7 +58,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     component together. Edges with a null end are ignored, as are loops and repeats.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
-    e = written(e, "edges")
+    e, at = store.written_at(e, "edges")
     before = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -80,9 +72,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .unionByName(low.select("u", F.col("m").alias("v")))
             .where("u > v").distinct()
         )
-        done, e = e, written(small, "edges")
+        done = at
+        e, at = store.written_at(small, "edges")
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        dropped(done)
+        store.drop_tables(edges.sparkSession, [done])
         if before is not None and (now.n, now.h) == before:
             break
         before = (now.n, now.h)

@@ -105,6 +105,17 @@ def near_chance(p: np.ndarray, most: int) -> np.ndarray:
     return np.cumsum(dist)[: most + 1]
 
 
+def sampled_chance(sample: np.ndarray, own: list[int], most: int, step: int = 256) -> np.ndarray:
+    """Share of the pairs of sampled fingerprints that differ in at most 0..most of the bits own, which may correlate."""
+    mask, counts, n = np.uint64(sum(1 << b for b in own)), np.zeros(BITS + 1, np.int64), len(sample)
+    part = sample & mask
+    for at in range(0, n, step):
+        differ = np.bitwise_count(part[at : at + step, None] ^ part[None, :])
+        later = np.arange(n)[None, :] > np.arange(at, min(n, at + step))[:, None]
+        counts += np.bincount(differ[later], minlength=BITS + 1)
+    return (np.cumsum(counts) / max(1, n * (n - 1) // 2))[: most + 1]
+
+
 def allocation(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
     """Thresholds of least summed cost with the given sum; costs[i][t + 1] is that of threshold t in partition i."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -118,8 +129,13 @@ def allocation(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
     return best[total]
 
 
-def plan_probes(together: np.ndarray, n: int, radius: int, row_cost: float = ROW_COST) -> tuple[list[int], list[int]]:
-    """(bit masks, thresholds) of least estimated cost over all partition counts from 2 to radius + 1."""
+def plan_probes(together: np.ndarray, n: int, radius: int, row_cost: float = ROW_COST, sample: np.ndarray | None = None) -> tuple[list[int], list[int]]:
+    """(bit masks, thresholds) of least estimated cost over all partition counts from 2 to radius + 1.
+
+    How many pairs a probe meets is estimated from pairs of a sample, which sees the correlation within a partition; and
+    from the bits' frequencies as if they were independent, where the sample is too small to have such pairs. The plan
+    decides the cost only: any plan finds all pairs.
+    """
     n = max(n, 1)
     p, best = together.diagonal() / n, None
     for parts in range(2, radius + 2):
@@ -127,6 +143,8 @@ def plan_probes(together: np.ndarray, n: int, radius: int, row_cost: float = ROW
         costs = []
         for own in groups:
             chance, row = near_chance(p[own], radius), [0.0]
+            if sample is not None:
+                chance = np.maximum(chance, sampled_chance(sample, own, radius))
             for t in range(radius - parts + 2):
                 variants = sum(comb(len(own), d) for d in range(t + 1))
                 row.append(n * row_cost * variants + n * n / (2 if t == 0 else 1) * chance[t])
@@ -250,13 +268,24 @@ def _links(radius: int):
     return _by_group(links, 4)
 
 
+#: Fingerprints whose pairs estimate how many a probe meets.
+PAIRED = 1024
+
+
+def probe_plan(fps: DataFrame, n: int, radius: int, row_cost: float = ROW_COST) -> tuple[list[int], list[int]]:
+    """plan_probes for n rows fps(fp): frequencies and correlations of all of them, pairs of PAIRED in hash order."""
+    share = F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) * F.lit(n / (1 << 40))
+    some = fps.where(share < 4 * PAIRED).select("fp").orderBy(F.xxhash64("fp")).limit(PAIRED).collect()
+    return plan_probes(co_occurrence(fps), n, radius, row_cost, np.array([r.fp for r in some], np.int64).view(np.uint64))
+
+
 def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """(a, b) of distinct fingerprints fps(fp) such that the links' components are those of all pairs within radius.
 
     Each bucket gives at most one row per member, so a large group of near copies doesn't become all of its pairs.
     """
     n = fps.count()
-    masks, thresholds = plan_probes(co_occurrence(fps), n, radius)
+    masks, thresholds = probe_plan(fps, n, radius)
     probes = fps.select("fp").mapInArrow(_probes(masks, thresholds), "part int, key long, guest boolean, fp long")
     probes = probes.repartition(parallelism(fps.sparkSession), "part", "key")
     return probes.sortWithinPartitions("part", "key", "guest").mapInArrow(_links(radius), "a long, b long")
@@ -630,7 +659,7 @@ def _similar_components(docs: DataFrame, width: int, similarity: float, radius:
         nodes = written(_one_of_each(_as_nodes(found, clashes), "node"), "nodes")
     rows, found = _as_nodes(rows, clashes).select("doc_id", "node", "text"), _as_nodes(found, clashes)
     n = nodes.count()
-    masks, thresholds = plan_probes(co_occurrence(nodes), n, radius, BANDED_ROW_COST)
+    masks, thresholds = probe_plan(nodes, n, radius, BANDED_ROW_COST)
     schema = "part int, key long, guest boolean, fp long, node long, n long, marks binary"
     probes = nodes.select("node", "fp", "n", "marks").mapInArrow(_banded_probes(masks, thresholds, similarity), schema)
     probes = probes.repartition(parallelism(spark), "part", "key").sortWithinPartitions("part", "key", "guest", "fp", "node")
