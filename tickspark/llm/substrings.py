@@ -295,7 +295,7 @@ def _settled(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     first = F.min(F.struct("doc_id", "text_hash", "start", "windows", "gram")).alias("first")
     contents = written(rows.groupBy("part", "c1", "c2").agg(F.sum("times").alias("same"), first), "contents")
     several = contents.groupBy("part").agg(F.count("*").alias("contents")).where("contents > 1")
-    open_ = contents.join(several, "part").select("part", "first.*", "same", "contents")
+    open_ = written(contents.join(several, "part").select("part", "first.*", "same", "contents"), "open")
     whole = rows.join(contents.where("same > 1").select("part", "c1", "c2"), ["part", "c1", "c2"])
     whole = whole.select("doc_id", "text_hash", F.col("start").alias("a"), (F.col("start") + F.col("covered") + (length - 1)).alias("b"))
     return whole, open_
@@ -321,7 +321,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     whole, open_ = _settled(rows, length)
     spans, compared, places = [whole], [open_.where(F.col("contents") <= FEW)], length - GRAM + 1
     for each in (-(-places // 8), 1):
-        many = written(open_.where(F.col("contents") > FEW), "many")
+        many = open_.where(F.col("contents") > FEW)
         if many.isEmpty():
             break
         whole, open_ = _settled(written(with_texts(many).mapInArrow(_finer(length, each), ROWS), "regions"), length)
