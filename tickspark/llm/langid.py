@@ -22,7 +22,7 @@ from tickspark.llm.common import picked, small_side, written
 FEATURE_BITS = 17
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0x27D4EB2F165667C5], np.uint64)
 #: Chunk of words that is scanned at once, words scored together, and words whose scores a worker keeps.
-CHUNK, AT_ONCE, CACHED_WORDS = 32, 150_000, 300_000
+CHUNK, AT_ONCE, CACHED_WORDS = 32, 30_000, 100_000
 UNKNOWN = "und"
 
 

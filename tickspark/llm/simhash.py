@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickspark.llm.common import connected_components, free_name, parallelism, small_side, written
+from tickspark.llm.common import connected_components, free_name, parallelism, slices, small_side, written
 
 BITS = 64
 CHUNK = 1 << 16
@@ -190,7 +190,7 @@ def _joined(size: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None =
     return label
 
 
-def _pairs(group: np.ndarray, guest: np.ndarray, fp: np.ndarray, radius: int, step: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(group: np.ndarray, guest: np.ndarray, fp: np.ndarray, radius: int, step: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (a, b), a < b, of rows of a group within radius, of which a is at home; rows are sorted by group, then guest.
 
     Small groups are compared together, large ones as blocks of a matrix, about step comparisons at a time.
@@ -318,7 +318,7 @@ BINS, SMALL = 32, 24
 #: Nodes in which frequent shingles are counted, and how many of them are known; both only decide an order.
 SAMPLE, FREQUENT = 8_000, 30_000
 #: Nodes and shingles of a block that is compared in one task.
-BLOCK, BLOCK_SHINGLES = 256, 200_000
+BLOCK, BLOCK_SHINGLES = 256, 60_000
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -354,7 +354,7 @@ def _described(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known: dict[str | None, tuple[int, int, bytes]] = {}
-            rows = [known[t] if t in known else known.setdefault(t, described(t, width)) for t in batch.column(3).to_pylist()]
+            rows = [known[t] if t in known else known.setdefault(t, described(t, width)) for part in slices(batch) for t in part.column(3).to_pylist()]
             fp, n, marks = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.record_batch(
                 [*batch.columns[:3], pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(n, pa.int64()), pa.array(marks, pa.binary())],
@@ -384,7 +384,7 @@ def _banded_probes(masks: list[int], thresholds: list[int], similarity: float):
 def _hashes(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [shingle_hashes(t, width) for t in batch.column(0).to_pylist()]
+            own = [shingle_hashes(t, width) for part in slices(batch) for t in part.column(0).to_pylist()]
             yield pa.record_batch([np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64)], ["key"])
 
     return run
@@ -410,7 +410,7 @@ def _rare(width: int, similarity: float, frequent: np.ndarray, counts: np.ndarra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, first = np.unique(batch.column(0).to_numpy(), return_index=True)
-            texts = batch.column(1).take(pa.array(first)).to_pylist()
+            texts = (batch.column(1)[k].as_py() for k in first.tolist())
             own = [rare_shingles(shingle_hashes(t, width), similarity, frequent, counts) for t in texts]
             node = np.repeat(nodes, [len(x) for x in own])
             yield pa.record_batch([np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64), node], ["key", "node"])
@@ -519,11 +519,12 @@ def _against_hub(width: int, similarity: float):
         last, of = None, set()
         for batch in batches:
             out = []
-            for a, b, text, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if last != b:
-                    last, of = b, _shingle_set(other, width)
-                if _similar(_shingle_set(text, width), of, similarity):
-                    out.append((a, b))
+            for part in slices(batch):
+                for a, b, text, other in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if last != b:
+                        last, of = b, _shingle_set(other, width)
+                    if _similar(_shingle_set(text, width), of, similarity):
+                        out.append((a, b))
             yield pa.record_batch([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
@@ -592,7 +593,7 @@ def _in_blocks(width: int, similarity: float):
         kept: list[tuple] = []
         out: list[tuple[int, int]] = []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for row in (r for part in slices(batch) for r in zip(*(c.to_pylist() for c in part.columns), strict=True)):
                 if kept and kept[0][:2] != row[:2]:
                     out += spanning(kept)
                     kept = []
@@ -687,7 +688,7 @@ def _similar_components(docs: DataFrame, width: int, similarity: float, radius:
     return found.select("doc_id", "h1", "h2", "node").join(of_node, "node").select("doc_id", "h1", "h2", "component_id", kept.alias("kept"))
 
 
-def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 14) -> DataFrame:
+def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """(doc_id, component_id) of every row: documents whose width-word shingle sets have that Jaccard similarity or more.
 
     Equal texts, by 128 bits of hashes, are one node. Nodes within radius bits of their fingerprints are candidates, and
@@ -700,7 +701,7 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     return _similar_components(docs, width, similarity, radius).select("doc_id", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 14) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """One row of docs of each component: the first by doc_id (null last), then by its text's hash; all columns are kept.
 
     Rows are told apart by doc_id and text, so rows that share a doc_id with other texts are judged by themselves. Of
