@@ -1,12 +1,15 @@
 """The pipeline's stages and the registered queries."""
 
+import weakref
+
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.compare import same
-from tickspark.llm import queries
+from tickspark.llm import langid, packing, queries
 from tickspark.sources import store
 
 
@@ -66,3 +69,16 @@ def test_foreign_and_junk_texts_go(spark):
     kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs.unionByName(more), sf).select("doc_id").collect()}
     assert {k for k in kept if k < 0} == {-k - 1 for k in range(len(clean))}
     assert len([k for k in kept if k >= 0]) > 0.99 * docs.count()
+
+
+def test_workers_keep_one_operator():
+    """What packing keeps from task to task goes when the worker turns to another stage; texts are read some rows at a time."""
+    known = weakref.ref(packing.word_ids(queries.tokenizer_path()))
+    assert known() is packing.word_ids(queries.tokenizer_path())
+    texts = ["plain words of a text", None, "", "12 34", *(f"words {k}" for k in range(300))]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    model = langid.fit([("en", " ".join(t or "" for t in texts).split())])
+    out = list(langid._kept(model, langid.Lexicon({}, 0.0))(iter([batch])))
+    assert known() is None
+    assert max(b.num_rows for b in out) <= 64
+    assert pa.Table.from_batches(out).equals(pa.Table.from_batches([batch.filter(pa.array([k not in (1, 2, 3) for k in range(len(texts))]))]).combine_chunks())

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Hashable, Iterator
+from functools import cache
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +37,50 @@ def slices(batch: pa.RecordBatch, rows: int = 64) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
+#: What this worker keeps from task to task: of one operator at a time.
+_KEPT: dict[Hashable, Any] = {}
+
+
+def worker_kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """make()'s result, kept for later tasks of this worker that name key; what was kept for another key goes."""
+    if key not in _KEPT:
+        forget()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    _KEPT.clear()
+
+
+@cache
+def _trim() -> Callable[[int], int]:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError, TypeError):  # not glibc
+        return lambda _: 0
+
+
+def give_back() -> None:
+    """Gives the system the memory that this worker has freed: workers stay from stage to stage, allocators keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
+def tidy(run):
+    """run, for mapInArrow, in a worker that keeps nothing of other operators, and whose freed memory goes back after it."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

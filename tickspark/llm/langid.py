@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickspark.llm.common import picked, small_side, written
+from tickspark.llm.common import picked, slices, small_side, tidy, written
 
 FEATURE_BITS = 17
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0x27D4EB2F165667C5], np.uint64)
@@ -306,11 +306,12 @@ def _kept(model: Model | None, lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model, lexicon) if model else None
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            found = labeller.documents(texts) if labeller else [(UNKNOWN, 0.0, True)] * len(texts)
-            yield batch.filter(pa.array([not none for _, _, none in found], pa.bool_()))
+            for part in slices(batch):
+                texts = part.column("text").to_pylist()
+                found = labeller.documents(texts) if labeller else [(UNKNOWN, 0.0, True)] * len(texts)
+                yield part.filter(pa.array([not none for _, _, none in found], pa.bool_()))
 
-    return run
+    return tidy(run)
 
 
 def in_known_languages(docs: DataFrame, model: Model | None, lexicon: Lexicon) -> DataFrame:

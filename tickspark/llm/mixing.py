@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tickspark.llm.common import free_name, picked, small_side, written
+from tickspark.llm.common import free_name, picked, slices, small_side, tidy, written
 
 #: ASCII letters in lower case; other ASCII but digits as spaces.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
@@ -95,9 +95,9 @@ def _shapes(words: list[bytes]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [shape(t) for t in batch.column(1).to_pylist()]
+            found = [(stats, sorted(at[w] for w in own & at.keys())) for part in slices(batch) for _, stats, own in map(shape, part.column(1).to_pylist())]
             yield pa.record_batch(
-                [batch.column(0), pa.array([f[1].tolist() for f in found], pa.list_(pa.float64())), pa.array([sorted(at[w] for w in f[2] & at.keys()) for f in found], pa.list_(pa.int32()))],
+                [batch.column(0), pa.array([f[0].tolist() for f in found], pa.list_(pa.float64())), pa.array([f[1] for f in found], pa.list_(pa.int32()))],
                 ["domain", "shape", "has"],
             )
 
@@ -109,7 +109,7 @@ def telling_words(rows: DataFrame, sizes: dict[str, int], most: int) -> list[byt
 
     A word's figure is the largest over the domains of (rows with it - expected)^2 / expected; at least four rows have it.
     """
-    seen = rows.mapInArrow(_words, "domain string, word binary").groupBy("word").pivot("domain", list(sizes)).count().na.fill(0)
+    seen = rows.mapInArrow(tidy(_words), "domain string, word binary").groupBy("word").pivot("domain", list(sizes)).count().na.fill(0)
     all_of, n = sum((F.col(f"`{d}`") for d in sizes), F.lit(0)), max(1, sum(sizes.values()))
     tells = F.greatest(*(F.pow(F.col(f"`{d}`") - (e := all_of * (size / n)), 2) / F.greatest(e, F.lit(0.5)) for d, size in sizes.items()), F.lit(0.0))
     return sorted(bytes(r.word) for r in seen.where(all_of >= 4).orderBy(tells.desc(), "word").limit(most).collect())
@@ -126,7 +126,7 @@ def learn(docs: DataFrame, labels: DataFrame, domain: Column, domains: list[str]
     rows = written(docs.select("doc_id", "text").join(small_side(own), "doc_id").select("domain", "text"), "labelled-texts")
     sizes = {r.domain: r["count"] for r in rows.groupBy("domain").count().collect()}
     words = telling_words(rows, {d: sizes.get(d, 0) for d in domains}, most_words)
-    got = rows.mapInArrow(_shapes(words), "domain string, shape array<double>, has array<int>").collect()
+    got = rows.mapInArrow(tidy(_shapes(words)), "domain string, shape array<double>, has array<int>").collect()
     got = sorted(((domains.index(r.domain), r.shape, r.has) for r in got))
     return fit(np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got]).reshape(-1, SHAPES), [r[2] for r in got], domains, words)
 
@@ -135,10 +135,11 @@ def _posteriors(model: Classifier, tokens_name: str, p_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, p = [], []
-            for text in batch.column("text").to_pylist():
-                n, stats, own = shape(text)
-                tokens.append(n)
-                p.append(model.posterior(stats, own))
+            for part in slices(batch):
+                for text in part.column("text").to_pylist():
+                    n, stats, own = shape(text)
+                    tokens.append(n)
+                    p.append(model.posterior(stats, own))
             made = [pa.array(tokens, pa.int64()), pa.array([x.tolist() for x in p], pa.list_(pa.float64()))]
             yield pa.record_batch([*batch.columns, *made], [*batch.schema.names, tokens_name, p_name])
 
@@ -148,7 +149,7 @@ def _posteriors(model: Classifier, tokens_name: str, p_name: str):
 def posteriors(docs: DataFrame, model: Classifier, tokens: str = "tokens", p: str = "p") -> DataFrame:
     """docs with the text's tokens and its posterior in columns of these names, which docs doesn't have."""
     schema = T.StructType([*docs.schema.fields, T.StructField(tokens, T.LongType()), T.StructField(p, T.ArrayType(T.DoubleType()))])
-    return docs.mapInArrow(_posteriors(model, tokens, p), schema)
+    return docs.mapInArrow(tidy(_posteriors(model, tokens, p)), schema)
 
 
 def _rates(p: np.ndarray, steps: list[tuple[float, np.ndarray]], most: float) -> np.ndarray:
@@ -206,7 +207,7 @@ def fit_rates(table: DataFrame, weights: list[float], anchor: int | None = None,
 
     def totals(steps: list[tuple[float, np.ndarray]]) -> np.ndarray:
         out = np.zeros(k)
-        for r in table.select("tokens", "p").mapInArrow(_totals(steps, most, k), "k int, total double").groupBy("k").agg(F.sum("total").alias("total")).collect():
+        for r in table.select("tokens", "p").mapInArrow(tidy(_totals(steps, most, k)), "k int, total double").groupBy("k").agg(F.sum("total").alias("total")).collect():
             out[r.k] = r.total
         return out
 

@@ -12,7 +12,6 @@ import gc
 import os
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
-from functools import cache
 from unicodedata import is_normalized
 from zlib import crc32
 
@@ -22,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickspark.llm.common import written
+from tickspark.llm.common import give_back, worker_kept, written
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECES}, part long, bin long, offset long, load long, n_bins long, bound long"
@@ -115,9 +114,8 @@ class WordIds:
             self.known[w] = np.array(x.ids, "<u4").tobytes()
 
 
-@cache
 def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    return worker_kept((WordIds, path), lambda: WordIds(path))
 
 
 def some(batch: pa.RecordBatch, most: int = 64, size: int = 400_000) -> Iterator[pa.RecordBatch]:
@@ -146,6 +144,7 @@ def _pieces(path: str, capacity: int, end_id: int):
             cols = list(zip(*rows, strict=True)) or [[]] * 5
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        give_back()
 
     return run
 

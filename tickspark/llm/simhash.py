@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickspark.llm.common import connected_components, free_name, parallelism, slices, small_side, written
+from tickspark.llm.common import connected_components, free_name, parallelism, slices, small_side, tidy, written
 
 BITS = 64
 CHUNK = 1 << 16
@@ -615,17 +615,17 @@ def verified_links(clusters: DataFrame, texts: DataFrame, width: int, similarity
     spark = clusters.sparkSession
     rows = clusters.select("root", F.lit(0).cast("long").alias("key"), "node", "n", "marks")
     rows = rows.repartition(parallelism(spark), "root").sortWithinPartitions("root", "node")
-    stars = written(rows.mapInArrow(_by_group(_hub, 5), "a long, b long"), "stars")
+    stars = written(rows.mapInArrow(tidy(_by_group(_hub, 5)), "a long, b long"), "stars")
     pairs = stars.where("a <> b").join(texts.select(F.col("node").alias("a"), "text"), "a")
     pairs = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("other")), "b").select("a", "b", "text", "other")
-    first = written(pairs.mapInArrow(_against_hub(width, similarity), "a long, b long"), "with-hub")
+    first = written(pairs.mapInArrow(tidy(_against_hub(width, similarity)), "a long, b long"), "with-hub")
     settled = first.select(F.col("a").alias("node")).unionByName(stars.where("a = b").select(F.col("a").alias("node"))).withColumn("joined", F.lit(True))
     left = clusters.select("node", "root", "n").join(settled, "node", "left").select("root", F.lit(0).cast("long").alias("key"), "node", "n", F.coalesce("joined", F.lit(False)).alias("joined"))
     left = left.repartition(parallelism(spark), "root").sortWithinPartitions("root", "node")
-    blocks = written(left.mapInArrow(_dealt(similarity), "root long, pair long, side long, node long, joined long"), "blocks")
+    blocks = written(left.mapInArrow(tidy(_dealt(similarity)), "root long, pair long, side long, node long, joined long"), "blocks")
     meet = blocks.join(texts, "node").select("root", "pair", "side", "node", "text", "joined")
     meet = meet.repartition(parallelism(spark), "root", "pair").sortWithinPartitions("root", "pair", "side", "node")
-    return first.unionByName(meet.mapInArrow(_in_blocks(width, similarity), "a long, b long"))
+    return first.unionByName(meet.mapInArrow(tidy(_in_blocks(width, similarity)), "a long, b long"))
 
 
 def identity(text: Column) -> tuple[Column, Column]:
@@ -653,7 +653,7 @@ def _similar_components(docs: DataFrame, width: int, similarity: float, radius:
     text = F.coalesce("text", F.lit(""))
     h1, h2 = identity(text)
     rows = docs.select(F.col("doc_id").cast("long"), h1.alias("h1"), h2.alias("h2"), text.alias("text"))
-    found = written(rows.mapInArrow(_described(width), "doc_id long, h1 long, h2 long, fp long, n long, marks binary"), "described")
+    found = written(rows.mapInArrow(tidy(_described(width)), "doc_id long, h1 long, h2 long, fp long, n long, marks binary"), "described")
     nodes, clashes = written(_one_of_each(found, "h1").withColumnRenamed("h1", "node"), "nodes"), None
     if not (two := nodes.where("low <> high").select(F.col("node").alias("h1"), F.lit(True).alias("clash"))).isEmpty():
         clashes = written(two, "clashes")
@@ -662,19 +662,19 @@ def _similar_components(docs: DataFrame, width: int, similarity: float, radius:
     n = nodes.count()
     masks, thresholds = probe_plan(nodes, n, radius, BANDED_ROW_COST)
     schema = "part int, key long, guest boolean, fp long, node long, n long, marks binary"
-    probes = nodes.select("node", "fp", "n", "marks").mapInArrow(_banded_probes(masks, thresholds, similarity), schema)
+    probes = nodes.select("node", "fp", "n", "marks").mapInArrow(tidy(_banded_probes(masks, thresholds, similarity)), schema)
     probes = probes.repartition(parallelism(spark), "part", "key").sortWithinPartitions("part", "key", "guest", "fp", "node")
-    near = written(probes.mapInArrow(_candidates(radius, similarity), "a long, b long").distinct(), "candidates")
-    sample = rows.where(F.pmod("node", F.lit(max(1, n // SAMPLE))) == 0).select("text").mapInArrow(_hashes(width), "key long")
+    near = written(probes.mapInArrow(tidy(_candidates(radius, similarity)), "a long, b long").distinct(), "candidates")
+    sample = rows.where(F.pmod("node", F.lit(max(1, n // SAMPLE))) == 0).select("text").mapInArrow(tidy(_hashes(width)), "key long")
     often = sample.groupBy("key").count().where("count > 2").orderBy(F.desc("count"), "key").limit(FREQUENT).toArrow()
     frequent, counts = often["key"].to_numpy().view(np.uint64), often["count"].to_numpy()
     order = np.argsort(frequent)
-    rare = rows.select("node", "text").mapInArrow(_rare(width, similarity, frequent[order], counts[order]), "key long, node long")
-    rare = rare.repartition(parallelism(spark), "key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key long, node long")
+    rare = rows.select("node", "text").mapInArrow(tidy(_rare(width, similarity, frequent[order], counts[order])), "key long, node long")
+    rare = rare.repartition(parallelism(spark), "key").sortWithinPartitions("key", "node").mapInArrow(tidy(_shared), "key long, node long")
     rare = written(rare, "rare").join(nodes.select("node", "fp", "n", "marks"), "node")
     rare = rare.select(F.lit(0).alias("part"), "key", F.lit(False).alias("guest"), "fp", "node", "n", "marks")
     rare = rare.repartition(parallelism(spark), "part", "key").sortWithinPartitions("part", "key", "node")
-    more = written(rare.mapInArrow(_candidates(BITS, similarity), "a long, b long").distinct(), "candidates")
+    more = written(rare.mapInArrow(tidy(_candidates(BITS, similarity)), "a long, b long").distinct(), "candidates")
     clusters = connected_components(near.unionByName(more)).join(nodes.select("node", F.col("least.doc_id").alias("doc_id"), "n", "marks"), "node")
     clusters = written(clusters, "clusters")
     one = F.col("d.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("d.node") == F.col("e.node"))
