@@ -316,6 +316,21 @@ def test_common_grams_are_dealt(spark, monkeypatch, few):
     assert [got[k] for k in range(len(texts))] == plain_repeats(texts)
 
 
+def test_texts_are_dealt_once(spark, small, monkeypatch):
+    """However often regions are cut from texts, no shuffle has them again; repeated rows, null doc_ids too, are rows of their own."""
+    monkeypatch.setattr(U, "FEW", 1)
+    lines = U.without_repeats(small)._jdf.queryExecution().executedPlan().toString().splitlines()
+    scans = [line for line in lines if "FileScan" in line and "text#" in line]
+    assert len(scans) >= 2 and all("Bucketed: true" in line for line in scans)
+    rng = random.Random(4)
+    core, texts = prose(rng, 60)[:300], []
+    for k in range(20):
+        texts += [prose(rng, 9) + core[k % 3 :] + prose(rng, 9)] * (1 + k % 4)
+    rows = [(None if len(t) % 2 else 7, t) for t in texts]
+    got = sorted((r.doc_id or 0, *tuple(r)[1:]) for r in U.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted((k or 0, *p) for (k, _), p in zip(rows, plain_repeats(texts), strict=True))
+
+
 def test_shared_prefixes():
     rng = np.random.default_rng(1)
     for length in (5, 8, 16, 19):

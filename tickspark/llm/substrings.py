@@ -8,6 +8,9 @@ permutation, held for steps of eight bytes, gives the common prefixes of neighbo
 increasing length, intervals of suffixes that share a prefix are extended to the left, until the length is reached; what
 is never separated shares that many bytes. A gram with more contents than a task compares has its windows dealt by the
 gram's place in them, first to an eighth of the places, then to each place, until few contents are together.
+
+Texts get a number and are dealt by it once, into a table whose parts meet the regions wanted of them: however many
+levels there are, texts are shuffled once, and rows that repeat a doc_id and its text are rows of their own.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickspark.llm.common import parallelism, written
+from tickspark.sources import store
 
 GRAM, CUT, AT_ONCE = 64, 1 << 19, 1_000_000
 POSITION = np.uint64((1 << 20) - 1)
@@ -30,7 +34,7 @@ POSITION = np.uint64((1 << 20) - 1)
 END = b"\xff"
 #: Contents that one task compares at once; a gram (or a part of its windows) with more is dealt further.
 FEW = 512
-ROWS = "part long, c1 long, c2 long, doc_id long, text_hash long, start long, windows int, gram int, times int, covered long"
+ROWS = "part long, c1 long, c2 long, row long, start long, windows int, gram int, times int, covered long"
 FACTOR = 0x9E3779B97F4A7C15 | 1
 
 
@@ -98,7 +102,7 @@ def _regions(length: int):
         for batch in batches:
             made: list[list[np.ndarray]] = []
             held = 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = text.encode()
                 h, start, windows, gram = regions(data, length)
                 if not len(h):
@@ -106,13 +110,12 @@ def _regions(length: int):
                 ends = start + windows + (length - 1)
                 digest = xxhash.xxh3_128_digest
                 c = np.frombuffer(b"".join([digest(data[a:b]) for a, b in zip(start.tolist(), ends.tolist(), strict=True)]), np.int64).reshape(-1, 2)
-                key = np.array([xxhash.xxh64_intdigest(data, 42)], np.uint64).view(np.int64)
                 # equal regions one after another, as a text of one repeated word has, are one row
                 again = (h[1:] == h[:-1]) & (c[1:] == c[:-1]).all(axis=1) & (start[1:] == start[:-1] + windows[:-1])
                 first = np.flatnonzero(np.r_[True, ~again])
                 last = np.r_[first[1:], len(h)] - 1
                 covered = start[last] + windows[last] - start[first]
-                kept = [x[first] for x in (h.view(np.int64), c[:, 0], c[:, 1], np.full(len(h), doc_id), np.repeat(key, len(h)), start, windows, gram)]
+                kept = [x[first] for x in (h.view(np.int64), c[:, 0], c[:, 1], np.full(len(h), row), start, windows, gram)]
                 made.append([*kept, (last - first + 1).astype(np.int32), covered])
                 held += len(first)
                 if held > 50_000:
@@ -130,13 +133,13 @@ def _finer(length: int, each: int):
     The windows of such a part have more than the gram in common: all bytes that are in every window, which name the part.
     """
     names = [c.split()[0] for c in ROWS.split(", ")]
-    types = [pa.int64()] * 6 + [pa.int32()] * 3 + [pa.int64()]
+    types = [pa.int64()] * 5 + [pa.int32()] * 3 + [pa.int64()]
     width = length - GRAM + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text_hash, text, needs in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for row, text, needs in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 data = text.encode()
                 for need in needs:
                     gram = need["start"] + need["gram"]
@@ -145,7 +148,7 @@ def _finer(length: int, each: int):
                         a, b = max(least, q * each), min(most, q * each + each - 1)  # the gram's distance from the windows
                         core = data[gram - q * each : gram - min(width, q * each + each) + 1 + length]
                         c1, c2 = np.frombuffer(xxhash.xxh3_128_digest(data[gram - b : gram - a + length]), np.int64).tolist()
-                        rows.append((xxhash.xxh64_intdigest(core, q) - (1 << 63), c1, c2, doc_id, text_hash, gram - b, b - a + 1, b, 1, b - a + 1))
+                        rows.append((xxhash.xxh64_intdigest(core, q) - (1 << 63), c1, c2, row, gram - b, b - a + 1, b, 1, b - a + 1))
                     if len(rows) > 20_000:
                         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                         rows = []
@@ -157,17 +160,17 @@ def _finer(length: int, each: int):
 
 def _cut(length: int):
     """Cuts regions from their texts."""
-    names = ["part", "doc_id", "text_hash", "start", "wanted", "content"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+    names = ["part", "row", "start", "wanted", "content"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text_hash, text, needs in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for row, text, needs in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 data = text.encode()
                 for need in needs:
                     start = need["start"]
-                    rows.append((need["part"], doc_id, text_hash, start, need["same"] == 1, data[start : start + need["windows"] - 1 + length]))
+                    rows.append((need["part"], row, start, need["same"] == 1, data[start : start + need["windows"] - 1 + length]))
                     if len(rows) > 20_000:
                         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
                         rows = []
@@ -231,21 +234,21 @@ def shared_prefixes(text: np.ndarray, length: int) -> np.ndarray:
 
 
 def _expanded(length: int):
-    names = ["doc_id", "text_hash", "a", "b"]
+    names = ["row", "a", "b"]
 
     def repeats(rows: list[tuple]) -> pa.RecordBatch:
-        text = np.frombuffer(END.join(r[4] for r in rows) + END, np.uint8)
+        text = np.frombuffer(END.join(r[3] for r in rows) + END, np.uint8)
         starts = shared_prefixes(text, length)
         out, at = [], 0
-        for doc_id, text_hash, start, wanted, content in rows:
+        for row, start, wanted, content in rows:
             if wanted:
                 found = np.flatnonzero(starts[at : at + len(content) - length + 1])
                 if len(found):
                     first = np.r_[True, np.diff(found) > 1]
                     a, b = found[first], found[np.r_[first[1:], True]]
-                    out += [(doc_id, text_hash, start + x, start + y + length) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+                    out += [(row, start + x, start + y + length) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
             at += len(content) + 1
-        cols = list(zip(*out, strict=True)) or [[]] * 4
+        cols = list(zip(*out, strict=True)) or [[]] * 3
         return pa.record_batch([pa.array(c, pa.int64()) for c in cols], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +260,7 @@ def _expanded(length: int):
                     yield repeats(rows)
                     rows, held = [], 0
                 rows.append(tuple(row))
-                held, last = held + len(row[4]), part
+                held, last = held + len(row[3]), part
         if rows:
             yield repeats(rows)
 
@@ -292,31 +295,30 @@ def _settled(rows: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
 
     Counts are aggregated before they are shuffled and joined back, so that no task has all rows of a part.
     """
-    first = F.min(F.struct("doc_id", "text_hash", "start", "windows", "gram")).alias("first")
+    first = F.min(F.struct("row", "start", "windows", "gram")).alias("first")
     contents = written(rows.groupBy("part", "c1", "c2").agg(F.sum("times").alias("same"), first), "contents")
     several = contents.groupBy("part").agg(F.count("*").alias("contents")).where("contents > 1")
     open_ = written(contents.join(several, "part").select("part", "first.*", "same", "contents"), "open")
     whole = rows.join(contents.where("same > 1").select("part", "c1", "c2"), ["part", "c1", "c2"])
-    whole = whole.select("doc_id", "text_hash", F.col("start").alias("a"), (F.col("start") + F.col("covered") + (length - 1)).alias("b"))
+    whole = whole.select("row", F.col("start").alias("a"), (F.col("start") + F.col("covered") + (length - 1)).alias("b"))
     return whole, open_
 
 
-def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
-    """(doc_id, text_hash, a, b): bytes a to b of a text, end exclusive, are in repeated strings; spans may overlap.
+def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
+    """(row, a, b): bytes a to b of a row's text, end exclusive, are in repeated strings; spans may overlap.
 
-    doc_id is 0 where null; text_hash is xxhash64 of the text, so that rows with equal or null doc_id are told apart.
+    texts(row, text) is a table that is dealt by row, which no two rows share, in as many parts as a shuffle has.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    grams = docs.select("text").mapInArrow(_grams(length), "part long, n long").groupBy("part").agg(F.sum("n").alias("n")).where("n > 1")
+    spark = texts.sparkSession
+    texts = texts.select("row", F.coalesce("text", F.lit("")).alias("text"))
+    grams = texts.select("text").mapInArrow(_grams(length), "part long, n long").groupBy("part").agg(F.sum("n").alias("n")).where("n > 1")
     grams = written(grams.select("part"), "grams")
-    rows = written(docs.mapInArrow(_regions(length), ROWS).join(grams, "part"), "regions")
+    rows = written(texts.mapInArrow(_regions(length), ROWS).join(grams, "part"), "regions")
 
     def with_texts(open_: DataFrame) -> DataFrame:
         need = F.struct("part", "start", "windows", "gram", "same")
-        needs = open_.groupBy("doc_id", "text_hash").agg(F.collect_list(need).alias("needs"))
-        texts = docs.withColumn("text_hash", F.xxhash64("text")).join(needs.hint("shuffle_hash"), ["doc_id", "text_hash"])
-        return texts.select("doc_id", "text_hash", "text", "needs")
+        needs = open_.groupBy("row").agg(F.collect_list(need).alias("needs"))
+        return texts.join(needs.hint("shuffle_hash"), "row").select("row", "text", "needs")
 
     whole, open_ = _settled(rows, length)
     spans, compared, places = [whole], [open_.where(F.col("contents") <= FEW)], length - GRAM + 1
@@ -330,9 +332,9 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     need = compared[0]
     for more in compared[1:]:
         need = need.unionByName(more)
-    cut = with_texts(need).mapInArrow(_cut(length), "part long, doc_id long, text_hash long, start long, wanted boolean, content binary")
+    cut = with_texts(need).mapInArrow(_cut(length), "part long, row long, start long, wanted boolean, content binary")
     cut = cut.repartition(parallelism(spark), "part").sortWithinPartitions("part")
-    out = cut.mapInArrow(_expanded(length), "doc_id long, text_hash long, a long, b long")
+    out = cut.mapInArrow(_expanded(length), "row long, a long, b long")
     for whole in spans:
         out = out.unionByName(whole)
     return out
@@ -348,9 +350,9 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
-    spans = repeated_spans(docs, length).groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    spans = spans.withColumnRenamed("doc_id", "k")
-    rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    rows = docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
+    texts = store.written_dealt(rows, "texts", "row", parallelism(docs.sparkSession))
+    spans = repeated_spans(texts, length).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    both = rows.join(spans.hint("shuffle_hash"), ["k", "text_hash"], "left").select("doc_id", "text", "spans")
+    both = texts.join(spans.hint("shuffle_hash"), "row", "left").select("doc_id", "text", "spans")
     return both.mapInArrow(_kept(), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

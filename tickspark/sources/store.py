@@ -73,6 +73,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return written_at(df, name)[0]
 
 
+def written_dealt(df: DataFrame, name: str, by: str, parts: int) -> DataFrame:
+    """df as such a table in parts by the hash of by: joins and aggregations by it, in as many partitions, don't shuffle df."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession, name)
+    entry = path.rpartition("/")[2].replace("-", "_")
+    dealt = df.repartition(parts, by).write.bucketBy(parts, by).format("parquet").option("compression", "zstd")
+    dealt.option("path", path).saveAsTable(entry)
+    _TABLES.append(path)
+    table = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")  # only the catalog's entry: the table is where path says
+    return table
+
+
 def moved(spark: SparkSession, source: str, target: str) -> None:
     """Renames within a file system; the folders of target are made, and an existing target is an error."""
     p, fs = _path(spark, source)
