@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 from collections.abc import Callable, Hashable, Iterator
 from functools import cache
 from typing import Any
@@ -63,7 +62,6 @@ def _trim() -> Callable[[int], int]:
 
 def give_back() -> None:
     """Gives the system the memory that this worker has freed: workers stay from stage to stage, allocators keep it."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     _trim()(0)
 
